@@ -1,0 +1,41 @@
+"""Declared schemas of the data model (the reference has none)."""
+
+from pyspark.sql import types as T
+
+RAW_LINE = T.StructType([
+    T.StructField("line_id", T.LongType(), False),
+    T.StructField("line", T.StringType(), True),
+])
+
+PARSED_LINE = T.StructType([
+    T.StructField("line_id", T.LongType(), False),
+    T.StructField("pri", T.IntegerType(), True),
+    T.StructField("ts", T.TimestampNTZType(), True),
+    T.StructField("t", T.LongType(), True),
+    T.StructField("host", T.StringType(), True),
+    T.StructField("program", T.StringType(), True),
+    T.StructField("pid", T.StringType(), True),
+    T.StructField("message", T.StringType(), True),
+    T.StructField("line", T.StringType(), True),
+])
+
+TEMPLATE_COUNT = T.StructType([
+    T.StructField("template", T.StringType(), False),
+    T.StructField("cnt", T.LongType(), False),
+])
+
+TEMPLATE_DICTIONARY = T.StructType([
+    T.StructField("template", T.StringType(), False),
+    T.StructField("idx", T.IntegerType(), False),
+])
+
+EMBEDDING_DICTIONARY = T.StructType([
+    T.StructField("word", T.StringType(), False),
+    T.StructField("vector", T.ArrayType(T.FloatType()), False),
+])
+
+TERM_PAIR = T.StructType([
+    T.StructField("line_id", T.LongType(), False),
+    T.StructField("a", T.StringType(), True),
+    T.StructField("b", T.StringType(), True),
+])
