@@ -42,12 +42,10 @@ def token(arr: Column, i: int) -> Column:
 def timestamp_of(ts_token: Column) -> Column:
     """Wall-clock time of the timestamp token, its UTC offset ignored.
 
-    The token is cut at ``-``, ``:`` and ``T``; the first six fields are
-    year, month, day, hour, minute and second.  Bad tokens give null.
+    The first 19 characters (``yyyy-MM-ddTHH:mm:ss``) are cast to
+    TIMESTAMP_NTZ: no time zone takes part, and bad tokens give null.
     """
-    parts = F.split(ts_token, "[-:T]")
-    field = [F.get(parts, i).try_cast("int") for i in range(6)]
-    return F.try_make_timestamp_ntz(*field)
+    return F.substring(ts_token, 1, 19).try_cast("timestamp_ntz")
 
 
 def epoch_seconds(ts_ntz: Column) -> Column:

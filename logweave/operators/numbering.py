@@ -3,11 +3,14 @@
 ``row_number() over (order by k)`` moves every row into one task.  Instead the
 rows are range-partitioned on the order key, sorted inside each partition, and
 numbered as  offset(partition) + position in partition + 1.  The offsets come
-from a per-partition count (one row per partition, so its size is bounded by
-the partition count) and a running sum over that tiny table.  The range
-exchange is shared by both branches (exchange reuse), and it has an explicit
-partition count, so adaptive execution does not re-cut it: both branches see
-the same partitions.
+from a per-partition count (one row per partition, bounded by the partition
+count) and a running sum over that tiny table.
+
+Both the counting and the numbering pass must see the very same partitions.
+A range exchange samples its bounds with a seed taken from its RDD id, so two
+plans over the same data can cut differently; the sorted data is therefore
+checkpointed (reliably, in the shared checkpoint folder) once and both passes
+read the checkpoint.  This is the DataFrame form of RDD ``zipWithIndex``.
 """
 
 from __future__ import annotations
@@ -15,20 +18,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1   # monotonically_increasing_id: record number in the low 33 bits
 
 
+def offsets_by_group(sizes: DataFrame, keys: list[str], size: str = "_size") -> DataFrame:
+    """Running sum of ``size`` over ``keys`` (exclusive): one row per group in, one out."""
+    running = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_offset", F.coalesce(F.sum(size).over(running), F.lit(0)))
+
+
 def number_rows(df: DataFrame, order: list[str | Column], name: str = "line_no",
                 partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order`` (a unique key)."""
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    ranged = ranged.checkpoint(eager=True)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_offset"))
+    offsets = offsets_by_group(sizes, ["_part"]).select("_part", "_offset")
     # one row per partition: the broadcast is bounded by ``n``
     numbered = ranged.join(F.broadcast(offsets), "_part")
     return numbered.withColumn(name, F.col("_offset") + F.col("_pos") + 1).drop("_part", "_pos", "_offset")

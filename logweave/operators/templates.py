@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logline as L
 
 
+def _field(k: int) -> Column:
+    """Token ``k`` (from 0) of the line, null when the line is shorter."""
+    return F.nullif(F.regexp_extract("line", r"^\s*(?:\S+\s+){%d}(\S+)" % k, 1), F.lit(""))
+
+
 def _parsed_columns(lines: DataFrame) -> DataFrame:
-    toks = L.tokens("line")
-    ts = L.timestamp_of(F.get(toks, 1))
+    # one regular expression per field: filters pushed below this projection
+    # repeat only the fields they use
+    ts = L.timestamp_of(_field(1))
     return lines.select(
         "line_id",
-        L.priority(F.get(toks, 0)).alias("pri"),
+        L.priority(_field(0)).alias("pri"),
         ts.alias("ts"),
         L.epoch_seconds(ts).alias("t"),
-        F.get(toks, 2).alias("host"),
-        F.get(toks, 3).alias("program"),
-        F.get(toks, 4).alias("pid"),
+        _field(2).alias("host"),
+        _field(3).alias("program"),
+        _field(4).alias("pid"),
         L.message("line").alias("message"),
         "line",
     )

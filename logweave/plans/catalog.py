@@ -96,3 +96,97 @@ def oov_templates(spark, sf_dir):
     m = masked(spark, sf_dir)
     top = TP.top_templates(TP.template_counts(m), OOV_TOP)
     return TP.oov_templates(m, top)
+
+
+# ---- milestone 2: numbering, windows, features, labels -------------------------------
+
+from ..operators import features as FT  # noqa: E402
+from ..operators import labels as LB  # noqa: E402
+from ..operators import windows as WN  # noqa: E402
+from ..operators.numbering import number_rows  # noqa: E402
+
+
+@query
+def line_numbers(spark, sf_dir):
+    m = masked(spark, sf_dir).select("line_id", "template")
+    return number_rows(m, ["line_id"], name="line_no")
+
+
+@query
+def time_sorted_log(spark, sf_dir):
+    m = masked(spark, sf_dir).select("t", "line_id", "template")
+    return number_rows(m, ["t", "line_id"], name="rank")
+
+
+@query
+def count_windows_fixed(spark, sf_dir):
+    return WN.count_window_contents(masked(spark, sf_dir), COUNT_W, "fixed")
+
+
+@query
+def count_windows_sliding(spark, sf_dir):
+    return WN.count_window_contents(masked(spark, sf_dir), COUNT_W, "sliding", mode="reference")
+
+
+def main_windows(spark, sf_dir) -> DataFrame:
+    return WN.time_window_contents(masked(spark, sf_dir), W_SIZE, W_STEP)
+
+
+@query
+def time_windows(spark, sf_dir):
+    return main_windows(spark, sf_dir)
+
+
+@query
+def calendar_windows(spark, sf_dir):
+    return WN.calendar_window_contents(masked(spark, sf_dir), CAL_UNIT, CAL_W)
+
+
+@query
+def target_events(spark, sf_dir):
+    return LB.target_events(masked(spark, sf_dir), TARGET).select("line_id", "t", "template")
+
+
+def target_contents(spark, sf_dir) -> DataFrame:
+    return WN.target_window_contents(masked(spark, sf_dir), TARGET, W_SIZE)
+
+
+@query
+def target_windows(spark, sf_dir):
+    return target_contents(spark, sf_dir)
+
+
+def main_frequencies(spark, sf_dir) -> DataFrame:
+    return FT.window_frequencies(main_windows(spark, sf_dir), ["win", "ws", "we"],
+                                 dictionary(spark, sf_dir))
+
+
+@query
+def window_frequencies(spark, sf_dir):
+    return main_frequencies(spark, sf_dir).select("win", "ws", "we", "idx", "template", "cnt", "freq")
+
+
+@query
+def window_mean_vector(spark, sf_dir):
+    contents = FT.with_index(main_windows(spark, sf_dir), dictionary(spark, sf_dir))
+    vectors = FT.embedding_dictionary(tables.table(spark, sf_dir, "embeddings"))
+    return FT.window_mean_vector(contents, ["win", "ws", "we"], vectors)
+
+
+def main_labels(spark, sf_dir) -> DataFrame:
+    return LB.labeled_windows(main_windows(spark, sf_dir), masked(spark, sf_dir), TARGET, W_SIZE)
+
+
+@query
+def labeled_windows(spark, sf_dir):
+    return main_labels(spark, sf_dir)
+
+
+def training_long(spark, sf_dir) -> DataFrame:
+    tgt = FT.window_frequencies(target_contents(spark, sf_dir), ["ws", "we"], dictionary(spark, sf_dir))
+    return LB.training_set(main_frequencies(spark, sf_dir), main_labels(spark, sf_dir), tgt)
+
+
+@query
+def training_set(spark, sf_dir):
+    return training_long(spark, sf_dir)

@@ -70,3 +70,73 @@ FROM dict d, (SELECT CAST(range AS INTEGER) AS pos FROM range((SELECT count(*) F
 sql("oov_templates", """
 SELECT c.template, c.cnt FROM counts c
 WHERE c.template NOT IN (SELECT template FROM counts ORDER BY cnt DESC, template LIMIT 10)""")
+
+# ---- milestone 2 ----------------------------------------------------------------------
+
+WINDOWS = """,
+bounds AS (SELECT min(t) AS S, max(t) AS E FROM masked),
+nwin AS (SELECT S, E, greatest(CAST(trunc((E - S - 1800) / 600.0 + 1) AS BIGINT), 0) AS n FROM bounds),
+wins AS (
+  SELECT i AS win, S + i * 600 AS ws, S + i * 600 + 1800 AS we
+  FROM (SELECT S, unnest(range(n)) AS i FROM nwin)
+  UNION ALL SELECT n AS win, S + n * 600 AS ws, E AS we FROM nwin
+),
+tw AS (
+  SELECT w.win, w.ws, w.we, m.template, count(*) AS cnt
+  FROM masked m JOIN wins w ON m.t BETWEEN w.ws AND w.we
+  GROUP BY w.win, w.ws, w.we, m.template
+),
+targets AS (SELECT DISTINCT t AS t0 FROM masked WHERE contains(template, ' error ')),
+tgw AS (
+  SELECT t0 - 1800 AS ws, t0 AS we, m.template, count(*) AS cnt
+  FROM masked m JOIN targets ON m.t BETWEEN t0 - 1800 AND t0
+  GROUP BY t0, m.template
+),
+freqs AS (
+  SELECT tw.win, tw.ws, tw.we, d.idx, tw.template, tw.cnt,
+         tw.cnt / sum(tw.cnt) OVER (PARTITION BY tw.win, tw.ws, tw.we) AS freq
+  FROM tw JOIN dict d USING (template)
+),
+labels AS (
+  SELECT k.win, k.ws, k.we, CASE WHEN tg.t0 IS NULL THEN 0.0 ELSE 1.0 END AS label
+  FROM (SELECT DISTINCT win, ws, we FROM tw) k
+  LEFT JOIN targets tg ON k.ws = tg.t0 - 1800 AND k.we = tg.t0
+)
+"""
+
+
+def wsql(name: str, body: str) -> None:
+    ORACLE[name] = "WITH " + LOG.strip() + WINDOWS + body
+
+
+sql("line_numbers", "SELECT line_id, template, row_number() OVER (ORDER BY line_id) AS line_no FROM masked")
+sql("time_sorted_log", "SELECT t, line_id, template, row_number() OVER (ORDER BY t, line_id) AS rank FROM masked")
+sql("count_windows_fixed", """
+SELECT CAST(ceil(line_id / 5) AS BIGINT) AS win, template, count(*) AS cnt FROM masked GROUP BY 1, 2""")
+sql("count_windows_sliding", """
+SELECT win, template, count(*) AS cnt FROM (
+  SELECT line_id AS win, template FROM masked WHERE line_id < 5
+  UNION ALL
+  SELECT unnest(range(line_id - 4, line_id)) AS win, template FROM masked WHERE line_id >= 5
+) GROUP BY win, template""")
+wsql("time_windows", "SELECT win, ws, we, template, cnt FROM tw")
+sql("calendar_windows", """
+SELECT date_trunc('day', ts) AS wkey, CAST(hour(ts) // 3 + 1 AS INTEGER) AS code, template, count(*) AS cnt
+FROM masked GROUP BY 1, 2, 3""")
+sql("target_events", "SELECT line_id, t, template FROM masked WHERE contains(template, ' error ')")
+wsql("target_windows", "SELECT ws, we, template, cnt FROM tgw")
+wsql("window_frequencies", "SELECT win, ws, we, idx, template, cnt, freq FROM freqs")
+wsql("window_mean_vector", """,
+vecpos AS (SELECT CAST(vec_id AS INTEGER) AS idx, embedding, unnest(range(len(embedding))) AS p FROM embeddings),
+vec AS (SELECT idx, CAST(p AS INTEGER) AS pos, CAST(embedding[p + 1] AS DOUBLE) AS v FROM vecpos)
+SELECT tw.win, tw.ws, tw.we, vec.pos, round(sum(tw.cnt * vec.v) / sum(tw.cnt), 6) + 0.0 AS val
+FROM tw JOIN dict USING (template) JOIN vec USING (idx)
+GROUP BY tw.win, tw.ws, tw.we, vec.pos""")
+wsql("labeled_windows", "SELECT win, ws, we, label FROM labels")
+wsql("training_set", """
+SELECT 'main' AS kind, f.ws, f.we, l.label, f.idx, f.freq
+FROM freqs f JOIN labels l ON f.ws = l.ws AND f.we = l.we
+UNION ALL
+SELECT 'target' AS kind, g.ws, g.we, 1.0 AS label, d.idx,
+       g.cnt / sum(g.cnt) OVER (PARTITION BY g.ws, g.we) AS freq
+FROM tgw g JOIN dict d USING (template)""")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_rows
+from ..operators.numbering import offsets_by_group
 
 
 def read_log_text(spark: SparkSession, glob: str, number: bool = True) -> DataFrame:
     """Lines of every file matching ``glob`` as ``(line_id, line, path)``.
 
     ``line_id`` counts lines from 1 in file order (path, then position in the
-    file), as ``zipWithIndex() + 1`` would over the sorted file list.  Spark
-    packs file splits into read partitions by size, so the order key is built
-    from the file path, the split start and the position inside the split.
+    file), as ``zipWithIndex() + 1`` would over the sorted file list.  No sort
+    of the lines is needed: each file split is read by one task in order, so a
+    line's position is  offset(split) + (id - first id of the split), where
+    the offsets are a running sum over one row per split.
     """
     raw = spark.read.text(glob).select(
         F.col("value").alias("line"),
@@ -24,8 +25,12 @@ def read_log_text(spark: SparkSession, glob: str, number: bool = True) -> DataFr
     )
     if not number:
         return raw.select(F.col("_seq").alias("line_id"), "line", "path")
-    numbered = number_rows(raw, ["path", "_block", "_seq"], name="line_id")
-    return numbered.select("line_id", "line", "path")
+    splits = raw.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_size"),
+                                               F.min("_seq").alias("_first"))
+    offsets = offsets_by_group(splits, ["path", "_block"]).select("path", "_block", "_first", "_offset")
+    numbered = raw.join(offsets, ["path", "_block"])
+    line_id = F.col("_offset") + (F.col("_seq") - F.col("_first")) + 1
+    return numbered.select(line_id.alias("line_id"), "line", "path")
 
 
 def read_program_list(spark: SparkSession, path: str) -> DataFrame:
