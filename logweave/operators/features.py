@@ -67,7 +67,9 @@ def dense_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
     so the per-window list is bounded by the dictionary, not by the log.
     """
     entries = F.map_from_entries(F.collect_list(F.struct("idx", "freq")))
-    packed = freqs.groupBy(*keys).agg(entries.alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size) - 1 if isinstance(size, int) else size - 1),
+    n = F.lit(size) if isinstance(size, int) else size
+    # ``size`` may be a scalar subquery: project it before the lambda uses it
+    packed = freqs.groupBy(*keys).agg(entries.alias("_m")).withColumn("_n", n)
+    dense = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1),
                         lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
     return packed.select(*keys, dense.alias("features"))

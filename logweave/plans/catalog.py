@@ -190,3 +190,75 @@ def training_long(spark, sf_dir) -> DataFrame:
 @query
 def training_set(spark, sf_dir):
     return training_long(spark, sf_dir)
+
+
+# ---- milestone 3: metrics and models -------------------------------------------------
+
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import models as MD  # noqa: E402
+from ..operators import similarity as SM  # noqa: E402
+
+TRAIN_HOSTS = "c0-0c0s"   # held-out evaluation: train on one controller group ...
+TEST_HOSTS = "c0-0c1s"    # ... test on another, same dictionary
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    labels = tables.table(spark, sf_dir, "labels")
+    return EV.confusion_matrix(labels, label="quality", prediction="toxic")
+
+
+def training_from(m: DataFrame, d: DataFrame) -> DataFrame:
+    """U1 over any masked log ``m`` with dictionary ``d``."""
+    main = WN.time_window_contents(m, W_SIZE, W_STEP)
+    freqs = FT.window_frequencies(main, ["win", "ws", "we"], d)
+    lab = LB.labeled_windows(main, m, TARGET, W_SIZE)
+    tgt = FT.window_frequencies(WN.target_window_contents(m, TARGET, W_SIZE), ["ws", "we"], d)
+    return LB.training_set(freqs, lab, tgt)
+
+
+def vectors_from(m: DataFrame, d: DataFrame) -> DataFrame:
+    size = d.select(F.count(F.lit(1))).scalar()
+    return MD.labelled_vectors(training_from(m, d), size)
+
+
+@query
+def svm_metrics(spark, sf_dir):
+    data = vectors_from(masked(spark, sf_dir), dictionary(spark, sf_dir))
+    return MD.fit_and_evaluate(MD.linear_svm(100), data)[1]
+
+
+@query
+def logreg_metrics(spark, sf_dir):
+    data = vectors_from(masked(spark, sf_dir), dictionary(spark, sf_dir))
+    return MD.fit_and_evaluate(MD.logistic_regression(), data)[1]
+
+
+@query
+def tree_metrics(spark, sf_dir):
+    m, d = masked(spark, sf_dir), dictionary(spark, sf_dir)
+    train = vectors_from(m.where(F.col("host").startswith(TRAIN_HOSTS)), d)
+    test = vectors_from(m.where(F.col("host").startswith(TEST_HOSTS)), d)
+    return MD.fit_and_evaluate(MD.decision_tree(5, 32), train, test)[1]
+
+
+def word2vec_model(spark, sf_dir):
+    return MD.word2vec(50, 42, 1).fit(MD.sentences(masked(spark, sf_dir)))
+
+
+@query
+def template_embeddings(spark, sf_dir):
+    return MD.embedding_table(word2vec_model(spark, sf_dir))
+
+
+@query
+def template_synonyms(spark, sf_dir):
+    m = masked(spark, sf_dir)
+    top_error = (TP.template_counts(LB.target_events(m, TARGET))
+                 .orderBy(F.col("cnt").desc(), "template").select("template").first()[0])
+    return MD.synonyms(word2vec_model(spark, sf_dir), top_error, 5)
+
+
+@query
+def similar_vectors(spark, sf_dir):
+    return SM.similar_vectors(tables.table(spark, sf_dir, "embeddings"), 0, 5)

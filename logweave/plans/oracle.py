@@ -140,3 +140,24 @@ UNION ALL
 SELECT 'target' AS kind, g.ws, g.we, 1.0 AS label, d.idx,
        g.cnt / sum(g.cnt) OVER (PARTITION BY g.ws, g.we) AS freq
 FROM tgw g JOIN dict d USING (template)""")
+
+# ---- milestone 3 ----------------------------------------------------------------------
+
+ORACLE["confusion_matrix"] = """
+SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 0 AND toxic = 0) AS tn,
+       count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 1 AND toxic = 0) AS fn,
+       count(*) AS n, count_if(quality <> toxic) / count(*) AS error
+FROM labels"""
+
+ORACLE["similar_vectors"] = """
+WITH q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qv FROM embeddings WHERE vec_id = 0),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id <> 0),
+s AS (
+  SELECT vec_id,
+         list_reduce(list_prepend(0.0, list_transform(list_zip(v, qv), lambda p: p[1] * p[2])), lambda a, b: a + b) AS d,
+         sqrt(list_reduce(list_prepend(0.0, list_transform(v, lambda x: x * x)), lambda a, b: a + b)) AS nv,
+         sqrt(list_reduce(list_prepend(0.0, list_transform(qv, lambda x: x * x)), lambda a, b: a + b)) AS nq
+  FROM e, q
+)
+SELECT vec_id, round(d / (nv * nq), 6) + 0.0 AS similarity FROM s
+ORDER BY similarity DESC, vec_id LIMIT 5"""
