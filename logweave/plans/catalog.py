@@ -262,3 +262,117 @@ def template_synonyms(spark, sf_dir):
 @query
 def similar_vectors(spark, sf_dir):
     return SM.similar_vectors(tables.table(spark, sf_dir, "embeddings"), 0, 5)
+
+
+# ---- milestone 4: files and sentences ------------------------------------------------
+
+from ..operators import files as FL  # noqa: E402
+from ..operators import sentences as SN  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def program_list(spark, sf_dir) -> DataFrame:
+    """S3: the program list, here the event types of the events table."""
+    return tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("program")).distinct()
+
+
+def _split(spark, sf_dir) -> str:
+    return FL.split_by_program(parsed(spark, sf_dir), program_list(spark, sf_dir),
+                               scratch_path(spark, "split"))
+
+
+@query
+def split_by_program(spark, sf_dir):
+    back = spark.read.parquet(_split(spark, sf_dir))
+    return back.select(F.col("program").cast("string").alias("program"), "line_id", "line")
+
+
+@query
+def compact_counts(spark, sf_dir):
+    split = spark.read.parquet(_split(spark, sf_dir))
+    out = FL.compact(split, "program", scratch_path(spark, "compact"), 1_000_000, order="line_id")
+    counts = FL.file_counts(spark, out, "program")
+    return counts.select(F.col("program").cast("string").alias("program"), "n_lines", "n_files")
+
+
+@query
+def gather_templates(spark, sf_dir):
+    counts = TP.template_counts(masked(spark, sf_dir), ("program",))
+    path = FL.write_template_counts(counts, "program", scratch_path(spark, "templates"))
+    back = FL.gather(spark, path)
+    return back.select(F.col("program").cast("string").alias("program"), "template", "cnt")
+
+
+@query
+def sentences_by_source(spark, sf_dir):
+    return SN.sentence_stats(tables.document_lines(spark, sf_dir), "source", "line")
+
+
+# ---- milestone 5: LogSig ---------------------------------------------------------------
+
+from ..functions import tokens as TK  # noqa: E402
+from ..operators import logsig as LS  # noqa: E402
+
+K = 10          # clusters
+LOGSIG_ITER = 5
+
+
+def logsig_input(spark, sf_dir, premask: bool = False) -> DataFrame:
+    lines = log_lines(spark, sf_dir)
+    return TK.with_logsig_tokens(lines, "line", premask).select("line_id", "tokens")
+
+
+def clustered(spark, sf_dir) -> DataFrame:
+    return LS.init_clusters(logsig_input(spark, sf_dir), K, "round_robin")
+
+
+@query
+def logsig_tokens(spark, sf_dir):
+    tok = logsig_input(spark, sf_dir)
+    return tok.select("line_id", F.size("tokens").alias("n_tokens"),
+                      F.array_join("tokens", " ").alias("token_text"))
+
+
+@query
+def term_pairs(spark, sf_dir):
+    return TK.term_pairs(logsig_input(spark, sf_dir))
+
+
+@query
+def cluster_init(spark, sf_dir):
+    return clustered(spark, sf_dir).select("line_id", "cluster")
+
+
+@query
+def pair_counts(spark, sf_dir):
+    return LS.pair_counts(clustered(spark, sf_dir))
+
+
+@query
+def cluster_potential(spark, sf_dir):
+    return LS.cluster_potential(clustered(spark, sf_dir))
+
+
+@query
+def logsig_scores(spark, sf_dir):
+    return LS.move_scores(clustered(spark, sf_dir), K)
+
+
+@query
+def logsig_reassign(spark, sf_dir):
+    moves = LS.best_moves(clustered(spark, sf_dir), K)
+    return moves.select("line_id", "cluster", "new_cluster", (F.round("gain", 6) + F.lit(0.0)).alias("gain"))
+
+
+@query
+def logsig_clusters(spark, sf_dir):
+    final = LS.logsig(logsig_input(spark, sf_dir), K, LOGSIG_ITER, init="hash")
+    return LS.cluster_potential(final)
+
+
+@query
+def logsig_signatures(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    cluster = F.concat_ws(" ", F.col("program"), F.regexp_extract("message", r"^(\S+)", 1))
+    lines = TK.with_logsig_tokens(p.select("line_id", cluster.alias("cluster"), "line"), premask=True)
+    return LS.signatures(lines.select("line_id", "cluster", "tokens"), "skip_star")

@@ -161,3 +161,120 @@ s AS (
 )
 SELECT vec_id, round(d / (nv * nq), 6) + 0.0 AS similarity FROM s
 ORDER BY similarity DESC, vec_id LIMIT 5"""
+
+# ---- milestone 4 ----------------------------------------------------------------------
+
+sql("split_by_program", "SELECT program, line_id, line FROM masked WHERE program IN (SELECT DISTINCT event_type FROM events)")
+sql("compact_counts", """
+SELECT program, count(*) AS n_lines, CAST(1 AS BIGINT) AS n_files
+FROM masked WHERE program IN (SELECT DISTINCT event_type FROM events) GROUP BY program""")
+sql("gather_templates", "SELECT program, template, count(*) AS cnt FROM masked GROUP BY program, template")
+ORACLE["sentences_by_source"] = """
+WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source, count(*) AS n_lines,
+       count(DISTINCT regexp_replace(regexp_replace(line, '0x[0-9a-f]+', 'mem_addr', 'g'), '[0-9]+', '*', 'g')) AS n_words
+FROM l GROUP BY source"""
+
+# ---- milestone 5: LogSig ----------------------------------------------------------------
+
+
+def _tokens_sql(text: str) -> str:
+    """P6 + P7 (intent weekday rule) in DuckDB."""
+    s = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '[:|;,]', ' ', 'g')"
+    s = f"regexp_replace({s}, '=', ' = ', 'g')"
+    s = f"regexp_replace({s}, ' [0-9]* ', ' * ', 'g')"
+    return f"list_slice(string_split_regex({s}, '\\s+'), 11, 2147483647)"
+
+
+_DAYS = "('Mon', 'Tue', 'Wed', 'Thr', 'Fri', 'Sat', 'Sun', 'Thu')"
+
+
+def _weekday_sql(arr: str) -> str:
+    return (f"CASE WHEN {arr}[1] = '*' AND {arr}[2] IN {_DAYS} THEN list_slice({arr}, 11, 2147483647) "
+            f"WHEN {arr}[1] IN {_DAYS} THEN list_slice({arr}, 10, 2147483647) ELSE {arr} END")
+
+
+LOGSIG = f"""
+WITH raw_log AS (
+  SELECT event_id + 1 AS line_id,
+         '<13>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-00:00 c0-0c' || CAST(user_id % 3 AS VARCHAR)
+         || 's' || CAST(user_id AS VARCHAR) || ' ' || event_type || ' ' || CAST(event_id AS VARCHAR)
+         || ' - -  ' || CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'mid' ELSE 'high' END
+         || ' reading: addr=0x' || lower(to_hex(event_id)) || ' value=' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+         AS line
+  FROM events
+),
+t0 AS (SELECT line_id, {_tokens_sql('line')} AS toks FROM raw_log),
+ls AS (SELECT line_id, CAST(line_id % 10 AS INTEGER) AS cluster, {_weekday_sql('toks')} AS tokens FROM t0),
+pos AS (SELECT line_id, cluster, tokens, unnest(range(1, len(tokens))) AS i FROM ls),
+pr AS (SELECT line_id, cluster, tokens[i] AS a, unnest(list_slice(tokens, i + 1, len(tokens))) AS b FROM pos),
+lp AS (SELECT line_id, cluster, a, b, count(*) AS occ FROM pr WHERE NOT (a = '*' AND b = '*') GROUP BY ALL),
+nt AS (SELECT cluster, a, b, count(*) AS n FROM lp GROUP BY ALL),
+ln AS (SELECT cluster, count(*) AS len FROM ls GROUP BY cluster),
+aa AS (
+  SELECT lp.line_id, lp.cluster AS ci, nt.cluster AS cj, sum(CAST(lp.occ AS HUGEINT) * nt.n * nt.n) AS A
+  FROM lp JOIN nt ON lp.a = nt.a AND lp.b = nt.b GROUP BY ALL
+),
+tg AS (
+  SELECT line_id, cluster, CAST(j AS INTEGER) AS target
+  FROM (SELECT line_id, cluster, unnest(range(10)) AS j FROM ls) WHERE j <> cluster
+),
+sc AS (
+  SELECT tg.line_id, tg.cluster, tg.target,
+         CAST(3 * coalesce(aj.A, 0) AS DOUBLE) / CAST(lj.len * lj.len AS DOUBLE)
+         - CAST(3 * coalesce(ai.A, 0) AS DOUBLE) / CAST(li.len * li.len AS DOUBLE) AS score
+  FROM tg
+  LEFT JOIN aa aj ON aj.line_id = tg.line_id AND aj.cj = tg.target
+  LEFT JOIN aa ai ON ai.line_id = tg.line_id AND ai.cj = tg.cluster
+  JOIN ln lj ON lj.cluster = tg.target
+  JOIN ln li ON li.cluster = tg.cluster
+)
+"""
+
+ORACLE["logsig_tokens"] = LOGSIG + "SELECT line_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS token_text FROM ls"
+ORACLE["term_pairs"] = LOGSIG + "SELECT line_id, a, b FROM pr"
+ORACLE["cluster_init"] = LOGSIG + "SELECT line_id, cluster FROM ls"
+ORACLE["pair_counts"] = LOGSIG + "SELECT cluster, a, b, n FROM nt"
+ORACLE["cluster_potential"] = LOGSIG + """
+SELECT ln.cluster, ln.len,
+       CAST(coalesce(pp.num, 0) AS DOUBLE) / CAST(ln.len * ln.len AS DOUBLE) AS potential
+FROM ln LEFT JOIN (
+  SELECT lp.cluster, sum(CAST(lp.occ AS HUGEINT) * nt.n * nt.n * nt.n) AS num
+  FROM lp JOIN nt USING (cluster, a, b) GROUP BY lp.cluster
+) pp USING (cluster)"""
+ORACLE["logsig_scores"] = LOGSIG + "SELECT line_id, cluster, target, round(score, 6) + 0.0 AS score FROM sc"
+ORACLE["logsig_reassign"] = LOGSIG + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, target) AS r FROM sc)
+SELECT line_id, cluster,
+       CASE WHEN score > 0 THEN target ELSE cluster END AS new_cluster,
+       round(CASE WHEN score > 0 THEN score ELSE 0.0 END, 6) + 0.0 AS gain
+FROM rk WHERE r = 1"""
+
+_SIG_TOKENS = _tokens_sql(
+    "regexp_replace(regexp_replace(line, '0x[0-9a-f]+', 'mem_addr', 'g'), '[0-9]+', '*', 'g')")
+
+sql("logsig_signatures", f""",
+st AS (
+  SELECT line_id, program || ' ' || regexp_extract(message, '^(\\S+)', 1) AS cluster, {_SIG_TOKENS} AS toks
+  FROM masked
+),
+sg AS (SELECT line_id, cluster, {_weekday_sql('toks')} AS tokens FROM st),
+spos AS (SELECT line_id, cluster, tokens, unnest(range(1, len(tokens))) AS i FROM sg),
+spr AS (SELECT line_id, cluster, tokens[i] AS a, unnest(list_slice(tokens, i + 1, len(tokens))) AS b FROM spos),
+slp AS (SELECT DISTINCT line_id, cluster, a, b FROM spr WHERE NOT (a = '*' AND b = '*')),
+snt AS (SELECT cluster, a, b, count(*) AS n FROM slp GROUP BY ALL),
+sln AS (SELECT cluster, count(*) AS len FROM sg GROUP BY cluster),
+bad AS (
+  SELECT DISTINCT slp.line_id FROM slp JOIN snt USING (cluster, a, b) JOIN sln USING (cluster)
+  WHERE 2 * snt.n < sln.len
+),
+kept AS (SELECT * FROM sg WHERE line_id NOT IN (SELECT line_id FROM bad)),
+sig AS (
+  SELECT cluster,
+         CASE WHEN len(tokens) <= 1 THEN ''
+              ELSE array_to_string(list_filter(list_slice(tokens, 1, len(tokens) - 1),
+                                               lambda x, i: i = 1 OR x <> tokens[i - 1]), ' ') END AS signature
+  FROM kept
+)
+SELECT cluster, signature, count(*) AS cnt FROM sig GROUP BY ALL""")
