@@ -37,19 +37,33 @@ def init_clusters(lines: DataFrame, k: int, mode: str = "hash", seed: int = 42)
     return lines.withColumn("cluster", c.cast("int"))
 
 
+def _fingerprint(tokens: str = "tokens"):
+    """Two independent 64-bit hashes of a token array (a 128-bit key for joins)."""
+    return [F.xxhash64(F.col(tokens)).alias("_h1"),
+            F.xxhash64(F.lit("logsig"), F.col(tokens)).alias("_h2")]
+
+
 def distinct_lines(clustered: DataFrame) -> DataFrame:
-    """One row per (cluster, token array): ``rep`` (lowest line id) and ``mult`` (lines)."""
-    return clustered.groupBy("cluster", "tokens").agg(F.min("line_id").alias("rep"),
-                                                      F.count(F.lit(1)).alias("mult"))
+    """One row per (cluster, token array): ``rep`` (lowest line id), ``mult``
+    (lines) and the array's 128-bit fingerprint ``_h1, _h2``."""
+    return (clustered.select("line_id", "cluster", "tokens", *_fingerprint())
+            .groupBy("cluster", "tokens")
+            .agg(F.min("line_id").alias("rep"), F.count(F.lit(1)).alias("mult"),
+                 F.first("_h1").alias("_h1"), F.first("_h2").alias("_h2")))
 
 
 def line_pairs(groups: DataFrame, skip_star: bool = True) -> DataFrame:
     """Distinct pairs of each distinct line with their occurrence count ``occ``.
 
-    The explode and the partial aggregate run in the same task, so duplicates
-    of a line's pairs are merged before the shuffle.
+    The distinct lines are hash-partitioned by ``rep`` first (a shuffle of one
+    row per distinct line); every pair of a line is then formed in the task
+    that holds the line, and the aggregate on (cluster, rep, mult, a, b) needs
+    no second shuffle of the much larger pair rows.
     """
-    pairs = term_pairs(groups, keep=("cluster", "rep", "mult"))
+    # an explicit partition count: adaptive coalescing would size this shuffle by
+    # its (small) input bytes, not by the pairs each line explodes into
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = term_pairs(groups.repartition(n, "rep"), keep=("cluster", "rep", "mult"))
     if skip_star:
         pairs = pairs.where(~((F.col("a") == STAR) & (F.col("b") == STAR)))
     return pairs.groupBy("cluster", "rep", "mult", "a", "b").agg(F.count(F.lit(1)).alias("occ"))
@@ -71,8 +85,12 @@ def pair_counts(clustered: DataFrame) -> DataFrame:
 
 
 def cluster_potential(clustered: DataFrame) -> DataFrame:
-    """``(cluster, len, potential)``."""
-    groups = distinct_lines(clustered)
+    """A12, A14 on ``(line_id, cluster, tokens)``: ``(cluster, len, potential)``."""
+    return potential_of(distinct_lines(clustered))
+
+
+def potential_of(groups: DataFrame) -> DataFrame:
+    """Potential per cluster from distinct lines ``(cluster, tokens, rep, mult)``."""
     lp = line_pairs(groups)
     n = pair_counts_of(lp)
     num = (lp.join(n, ["cluster", "a", "b"])
@@ -85,93 +103,119 @@ def cluster_potential(clustered: DataFrame) -> DataFrame:
     return out.select("cluster", "len", potential.alias("potential"))
 
 
-def _rep_scores(clustered: DataFrame, k: int):
-    groups = distinct_lines(clustered)
+def rep_scores(groups: DataFrame, k: int) -> DataFrame:
+    """Scores ``(rep, ci, cj, score)`` of every distinct line for every other cluster 0..k-1.
+
+    Each pair gets the vector of its k per-cluster counts (one aggregate with
+    k conditional sums), each line pair is joined to it once, and one
+    aggregate per line builds A_c = sum over the line's pair occurrences of
+    n_c(p)^2 for all c at once: no k-fold fan-out of the pair rows.
+    """
     lp = line_pairs(groups)
-    n = pair_counts_of(lp)
     lens = cluster_lengths(groups)
-    # A(x, c) = sum over x's pair occurrences of n_c(p)^2, for every cluster c sharing a pair with x
-    shared = (lp.select("rep", F.col("cluster").alias("ci"), "occ", "a", "b")
-              .join(n.select(F.col("cluster").alias("cj"), "a", "b", "n"), ["a", "b"])
-              .groupBy("rep", "ci", "cj")
-              .agg(F.sum(F.col("occ").cast(BIG) * F.col("n") * F.col("n")).alias("A")))
-    # every other cluster j of 0..k-1, also those without a shared pair (A = 0)
-    targets = groups.select("rep", F.col("cluster").alias("ci"),
-                            F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cj"))
+    counts = lp.groupBy("a", "b").agg(
+        *[F.sum(F.when(F.col("cluster") == c, F.col("mult"))).alias(f"_n{c}") for c in range(k)])
+    joined = lp.select("rep", "occ", "a", "b").join(counts, ["a", "b"])
+    sums = joined.groupBy("rep").agg(
+        *[F.sum(F.col("occ").cast(BIG) * F.col(f"_n{c}") * F.col(f"_n{c}")).alias(f"_A{c}")
+          for c in range(k)])
+    zero = F.lit(0).cast(BIG)
+    vec = F.array(*[F.coalesce(F.col(f"_A{c}"), zero) for c in range(k)])
+    # lines without any pair still get a score (0) for every cluster
+    per_rep = (groups.select("rep", F.col("cluster").alias("ci")).join(sums, "rep", "left")
+               .select("rep", "ci", vec.alias("_A")))
+    targets = per_rep.select("rep", "ci", "_A", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cj"))
     targets = targets.where(F.col("cj") != F.col("ci"))
-    own = shared.where(F.col("cj") == F.col("ci")).select("rep", F.col("A").alias("A_i"))
     len_i = lens.select(F.col("cluster").alias("ci"), F.col("len").alias("len_i"))
     len_j = lens.select(F.col("cluster").alias("cj"), F.col("len").alias("len_j"))
-    scored = (targets.join(shared, ["rep", "ci", "cj"], "left")
-              .join(own, "rep", "left")
-              .join(F.broadcast(len_i), "ci")      # k rows
-              .join(F.broadcast(len_j), "cj"))     # k rows
+    # clusters without lines have no length row: moving there scores as an empty cluster
+    scored = (targets.join(F.broadcast(len_i), "ci")
+              .join(F.broadcast(len_j), "cj", "left"))   # k rows each
 
     def term(a, ln):
-        return ((F.coalesce(a, F.lit(0).cast(BIG)) * 3).cast("double")
-                / (F.col(ln) * F.col(ln)).cast("double"))
+        return (a * 3).cast("double") / (F.col(ln) * F.col(ln)).cast("double")
 
-    score = term(F.col("A"), "len_j") - term(F.col("A_i"), "len_i")
-    rep_scores = scored.select("rep", "ci", "cj", score.alias("score"))
-    return groups, rep_scores
+    a_j = F.element_at(F.col("_A"), F.col("cj") + 1)
+    a_i = F.element_at(F.col("_A"), F.col("ci") + 1)
+    gain_j = F.when(F.col("len_j").isNull(), F.lit(0.0)).otherwise(term(a_j, "len_j"))
+    score = gain_j - term(a_i, "len_i")
+    return scored.select("rep", "ci", "cj", score.alias("score"))
 
 
 def _line_reps(clustered: DataFrame, groups: DataFrame) -> DataFrame:
-    return clustered.select("line_id", "cluster", "tokens").join(
-        groups.select("cluster", "tokens", "rep"), ["cluster", "tokens"])
+    """Each line with the ``rep`` of its distinct line, joined on (cluster, fingerprint)
+    rather than on the token array."""
+    keyed = clustered.select("line_id", "cluster", *_fingerprint())
+    return keyed.join(groups.select("cluster", "_h1", "_h2", "rep"), ["cluster", "_h1", "_h2"])
 
 
 def move_scores(clustered: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """L3: ``(line_id, cluster, target, score)`` for every line and every other cluster."""
-    groups, rs = _rep_scores(clustered, k)
+    groups = distinct_lines(clustered)
+    rs = rep_scores(groups, k)
     score = F.round("score", digits) + F.lit(0.0) if digits is not None else F.col("score")
     per_line = _line_reps(clustered, groups).join(rs.select("rep", "cj", score.alias("score")), "rep")
     return per_line.select("line_id", "cluster", F.col("cj").alias("target"), "score")
 
 
+def _decide(scores: DataFrame) -> DataFrame:
+    """Best other cluster per distinct line: ``(rep, _to, gain)``; ``_to`` null = stay."""
+    best = scores.groupBy("rep").agg(
+        F.max(F.struct(F.col("score"), (-F.col("cj")).alias("neg_j"))).alias("_b"))
+    moved = F.col("_b.score") > 0
+    return best.select("rep",
+                       F.when(moved, -F.col("_b.neg_j")).alias("_to"),
+                       F.when(moved, F.col("_b.score")).otherwise(F.lit(0.0)).alias("gain"))
+
+
 def best_moves(clustered: DataFrame, k: int) -> DataFrame:
     """L4, one synchronous round: each line goes to its best other cluster if the
     score is positive (ties to the lowest cluster), else stays.
 
     ``(line_id, cluster, new_cluster, gain)``; ``gain`` is the exact double.
     """
-    groups, rs = _rep_scores(clustered, k)
-    best = rs.groupBy("rep").agg(F.max(F.struct(F.col("score"), (-F.col("cj")).alias("neg_j"))).alias("_b"))
-    moved = F.col("_b.score") > 0
-    decided = best.select("rep",
-                          F.when(moved, -F.col("_b.neg_j")).otherwise(F.lit(None)).alias("_to"),
-                          F.when(moved, F.col("_b.score")).otherwise(F.lit(0.0)).alias("gain"))
+    groups = distinct_lines(clustered)
+    decided = _decide(rep_scores(groups, k))
     per_line = _line_reps(clustered, groups).join(decided, "rep")
     return per_line.select("line_id", "cluster",
                            F.coalesce(F.col("_to"), F.col("cluster")).cast("int").alias("new_cluster"),
                            "gain")
 
 
-def total_potential(clustered: DataFrame) -> float:
-    return cluster_potential(clustered).agg(F.sum("potential")).first()[0] or 0.0
+def _total(groups: DataFrame) -> float:
+    return potential_of(groups).agg(F.sum("potential")).first()[0] or 0.0
 
 
 def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash",
            seed: int = 42) -> DataFrame:
     """L1-L4: iterate synchronous moves while the total potential rises.
 
-    ``tokens``: ``(line_id, tokens)``.  Each round is checkpointed in the shared
-    checkpoint folder, so lineage stays short and a lost executor costs at most
-    one round.  Only one number per round (the potential) reaches the driver.
+    ``tokens``: ``(line_id, tokens)`` -> ``(line_id, cluster, tokens)``.  The state is
+    one row per distinct line of the initial clustering (identical lines of a
+    cluster always score alike, so they move together); each round is
+    checkpointed in the shared checkpoint folder, so lineage stays short and a
+    lost executor costs at most one round.  Only one number per round (the
+    potential) reaches the driver.
     """
     checkpoint_dir(tokens.sparkSession)
-    current = init_clusters(tokens.select("line_id", "tokens"), k, init, seed).checkpoint()
-    best = total_potential(current)
+    lines = init_clusters(tokens.select("line_id", "tokens"), k, init, seed)
+    groups = distinct_lines(lines).checkpoint()
+    state = groups.select("rep", "cluster", "tokens", "mult")
+    best = _total(state)
     for _ in range(max_iter):
-        moves = best_moves(current, k).select("line_id", "new_cluster")
-        proposal = (current.join(moves, "line_id")
-                    .select("line_id", "tokens", F.col("new_cluster").alias("cluster"))
+        decided = _decide(rep_scores(state, k))
+        proposal = (state.join(decided, "rep")
+                    .select("rep", F.coalesce(F.col("_to"), F.col("cluster")).cast("int").alias("cluster"),
+                            "tokens", "mult")
                     .checkpoint())
-        value = total_potential(proposal)
+        value = _total(proposal)
         if value <= best:
             break
-        current, best = proposal, value
-    return current
+        state, best = proposal, value
+    final = state.select("rep", F.col("cluster").alias("final"))
+    keyed = lines.select("line_id", "cluster", "tokens", *_fingerprint())
+    located = keyed.join(groups.select("cluster", "_h1", "_h2", "rep"), ["cluster", "_h1", "_h2"])
+    return located.join(final, "rep").select("line_id", F.col("final").alias("cluster"), "tokens")
 
 
 def signatures(clustered: DataFrame, rule: str = "skip_star") -> DataFrame:
