@@ -36,8 +36,12 @@ def compact(table: DataFrame, key: str, path: str, rows_per_file: int = 1_000_00
     salt_src = [F.col(order)] if order else [F.col(c) for c in table.columns]
     salted = (table.join(files, key)   # one row per key: small
               .withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.col("_files"))))
-    out = salted.repartition(key, "_salt").drop("_files", "_salt")
-    out.write.mode("errorifexists").partitionBy(key).parquet(path)
+    # explicit partition count: adaptive coalescing must not fold the salts of a
+    # hot key back into one task; maxRecordsPerFile caps a file when salts collide
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = salted.repartition(n, key, "_salt").drop("_files", "_salt")
+    (out.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
+     .partitionBy(key).parquet(path))
     return path
 
 

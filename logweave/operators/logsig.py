@@ -91,12 +91,15 @@ def cluster_potential(clustered: DataFrame) -> DataFrame:
 
 def potential_of(groups: DataFrame) -> DataFrame:
     """Potential per cluster from distinct lines ``(cluster, tokens, rep, mult)``."""
-    lp = line_pairs(groups)
+    return potential_from(line_pairs(groups), cluster_lengths(groups))
+
+
+def potential_from(lp: DataFrame, lens: DataFrame) -> DataFrame:
+    """A14 from line pairs ``(cluster, rep, mult, a, b, occ)`` and lengths ``(cluster, len)``."""
     n = pair_counts_of(lp)
     num = (lp.join(n, ["cluster", "a", "b"])
            .groupBy("cluster")
            .agg(F.sum(F.col("mult").cast(BIG) * F.col("occ") * F.col("n") * F.col("n") * F.col("n")).alias("_num")))
-    lens = cluster_lengths(groups)
     out = lens.join(num, "cluster", "left")
     potential = (F.coalesce(F.col("_num"), F.lit(0).cast(BIG)).cast("double")
                  / (F.col("len") * F.col("len")).cast("double"))
