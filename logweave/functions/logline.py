@@ -49,9 +49,13 @@ def timestamp_of(ts_token: Column) -> Column:
 
 
 def epoch_seconds(ts_ntz: Column) -> Column:
-    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", epoch, ts_ntz)
+    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, from its date and clock fields.
+
+    No time zone takes part (``timestamp_diff`` would convert through the
+    session zone and shift by an hour across daylight-saving changes).
+    """
+    days = F.datediff(F.to_date(ts_ntz), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(ts_ntz) * 3600 + F.minute(ts_ntz) * 60 + F.second(ts_ntz)
 
 
 def priority(first_token: Column) -> Column:

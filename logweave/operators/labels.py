@@ -13,15 +13,15 @@ def target_events(masked: DataFrame, target: str) -> DataFrame:
     return masked.where(F.col("template").contains(target))
 
 
-def labeled_windows(windows: DataFrame, masked: DataFrame, target: str, w: int,
+def labeled_windows(windows: DataFrame, counts: DataFrame, target: str, w: int,
                     mode: str = "exact", horizon: int | None = None) -> DataFrame:
-    """Label main windows ``(win, ws, we)``.
+    """Label main windows ``(win, ws, we)``; targets come from per-second counts.
 
     ``exact``: 1.0 when (ws, we) equals a target window (t0 - w, t0).
     ``horizon``: 1.0 when a target occurs within ``horizon`` seconds after we.
     """
     keys = windows.select("win", "ws", "we").distinct()
-    targets = target_times(masked, target)
+    targets = target_times(counts, target)
     if mode == "exact":
         hits = targets.select((F.col("t") - w).alias("ws"), F.col("t").alias("we"),
                               F.lit(1.0).alias("label"))

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .evaluation import confusion_matrix, with_rates
 from .features import dense_features
 
@@ -40,10 +41,17 @@ def decision_tree(max_depth: int = 5, max_bins: int = 32) -> DecisionTreeClassif
 
 
 def fit_and_evaluate(estimator, train: DataFrame, test: DataFrame | None = None):
-    """Fit on ``train``, predict ``test`` (default: ``train``), return (model, metrics row)."""
+    """Fit on ``train``, predict ``test`` (default: ``train``), return (model, metrics row).
+
+    The solvers pass over their input many times; the vectors are written
+    once to the shared checkpoint folder, so no pass recomputes the window
+    pipeline and a lost executor does not either.
+    """
+    checkpoint_dir(train.sparkSession)
+    train = train.checkpoint(eager=True)
+    test = train if test is None else test.checkpoint(eager=True)
     model = estimator.fit(train)
-    predictions = model.transform(train if test is None else test)
-    return model, with_rates(confusion_matrix(predictions))
+    return model, with_rates(confusion_matrix(model.transform(test)))
 
 
 def tree_description(model) -> str:

@@ -75,6 +75,11 @@ def template_counts_by_host(masked: DataFrame, all_label: str = "ALL") -> DataFr
     return agg.select(host.alias("host"), "template", "cnt")
 
 
+def totals(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Re-aggregate partial counts ``(..., template, cnt)`` to ``(*keys, template, cnt)``."""
+    return counts.groupBy(*keys, "template").agg(F.sum("cnt").alias("cnt"))
+
+
 def template_dictionary(counts: DataFrame) -> DataFrame:
     """Index templates from 0 by count ascending, ties by template.
 

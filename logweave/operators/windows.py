@@ -92,14 +92,19 @@ def assign_time_windows(log: DataFrame, w: int, s: int, t: str = "t") -> DataFra
     return exploded.withColumn("ws", b.start(F.col("win"))).withColumn("we", b.end(F.col("win")))
 
 
-def time_window_contents(masked: DataFrame, w: int, s: int) -> DataFrame:
-    """Lines per (window, template): ``(win, ws, we, template, cnt)``.
+def per_second(masked: DataFrame) -> DataFrame:
+    """Lines per (second, template): ``(t, template, cnt)``.
 
-    Lines are first counted per (second, template), so the explode and the
-    shuffle carry one row per distinct (t, template), not one per line.
+    The common input of the time-window, target and dictionary operators: one
+    aggregate (partial before the shuffle) that every branch of a plan shares,
+    and that carries one row per distinct (t, template) instead of one per line.
     """
-    per_second = masked.groupBy("t", "template").agg(F.count(F.lit(1)).alias("cnt"))
-    assigned = assign_time_windows(per_second, w, s)
+    return masked.groupBy("t", "template").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def time_window_contents(counts: DataFrame, w: int, s: int) -> DataFrame:
+    """Lines per (window, template) from per-second counts: ``(win, ws, we, template, cnt)``."""
+    assigned = assign_time_windows(counts, w, s)
     return assigned.groupBy("win", "ws", "we", "template").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -134,27 +139,27 @@ def calendar_window_contents(masked: DataFrame, unit: str, w: int, ts: str = "ts
 # ---- target (pre-failure) windows ----------------------------------------------------
 
 
-def target_times(masked: DataFrame, target: str) -> DataFrame:
+def target_times(counts: DataFrame, target: str) -> DataFrame:
     """F2 + distinct: seconds at which a target error occurs (literal substring of the template)."""
-    return masked.where(F.col("template").contains(target)).select("t").distinct()
+    return counts.where(F.col("template").contains(target)).select("t").distinct()
 
 
-def target_window_contents(masked: DataFrame, target: str, w: int,
+def target_window_contents(counts: DataFrame, target: str, w: int,
                            include_target: bool = True) -> DataFrame:
     """For each target second t0, the window [t0-w, t0] (closed; with
     ``include_target=False`` the end is open) as ``(ws, we, template, cnt)``.
 
-    Range join as a bucketed equi-join: lines keyed by floor(t/w); a target's
-    window spans at most buckets floor(t0/w)-1 and floor(t0/w).  Lines are
-    counted per (second, template) before the join.  A hot bucket is split by
-    adaptive skew-join handling.
+    ``counts``: per-second counts ``(t, template, cnt)``.  Range join as a
+    bucketed equi-join: rows keyed by floor(t/w); a target's window spans at
+    most buckets floor(t0/w)-1 and floor(t0/w).  A hot bucket is split by
+    adaptive skew-join handling; the target side is broadcast only when
+    adaptive execution has measured it below the broadcast threshold.
     """
-    per_second = (masked.groupBy("t", "template").agg(F.count(F.lit(1)).alias("cnt"))
-                  .withColumn("bucket", F.floor(F.col("t") / F.lit(w))))
-    targets = target_times(masked, target).select(
+    keyed = counts.withColumn("bucket", F.floor(F.col("t") / F.lit(w)))
+    targets = target_times(counts, target).select(
         F.col("t").alias("t0"),
         F.explode(F.array(F.floor(F.col("t") / F.lit(w)) - 1, F.floor(F.col("t") / F.lit(w)))).alias("bucket"))
-    joined = per_second.join(targets, "bucket")
+    joined = keyed.join(targets, "bucket")
     upper = (F.col("t") <= F.col("t0")) if include_target else (F.col("t") < F.col("t0"))
     inside = joined.where((F.col("t") >= F.col("t0") - w) & upper)
     return (inside.groupBy((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), "template")

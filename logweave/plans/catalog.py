@@ -77,8 +77,14 @@ def template_counts_by_host(spark, sf_dir):
     return TP.template_counts_by_host(masked(spark, sf_dir))
 
 
+def seconds(spark, sf_dir) -> DataFrame:
+    """Per-second template counts: the shared input of windows, targets and the dictionary."""
+    from ..operators.windows import per_second
+    return per_second(masked(spark, sf_dir))
+
+
 def dictionary(spark, sf_dir) -> DataFrame:
-    return TP.template_dictionary(TP.template_counts(masked(spark, sf_dir)))
+    return TP.template_dictionary(TP.totals(seconds(spark, sf_dir)))
 
 
 @query
@@ -129,7 +135,7 @@ def count_windows_sliding(spark, sf_dir):
 
 
 def main_windows(spark, sf_dir) -> DataFrame:
-    return WN.time_window_contents(masked(spark, sf_dir), W_SIZE, W_STEP)
+    return WN.time_window_contents(seconds(spark, sf_dir), W_SIZE, W_STEP)
 
 
 @query
@@ -148,7 +154,7 @@ def target_events(spark, sf_dir):
 
 
 def target_contents(spark, sf_dir) -> DataFrame:
-    return WN.target_window_contents(masked(spark, sf_dir), TARGET, W_SIZE)
+    return WN.target_window_contents(seconds(spark, sf_dir), TARGET, W_SIZE)
 
 
 @query
@@ -174,7 +180,7 @@ def window_mean_vector(spark, sf_dir):
 
 
 def main_labels(spark, sf_dir) -> DataFrame:
-    return LB.labeled_windows(main_windows(spark, sf_dir), masked(spark, sf_dir), TARGET, W_SIZE)
+    return LB.labeled_windows(main_windows(spark, sf_dir), seconds(spark, sf_dir), TARGET, W_SIZE)
 
 
 @query
@@ -210,10 +216,11 @@ def confusion_matrix(spark, sf_dir):
 
 def training_from(m: DataFrame, d: DataFrame) -> DataFrame:
     """U1 over any masked log ``m`` with dictionary ``d``."""
-    main = WN.time_window_contents(m, W_SIZE, W_STEP)
+    sec = WN.per_second(m)
+    main = WN.time_window_contents(sec, W_SIZE, W_STEP)
     freqs = FT.window_frequencies(main, ["win", "ws", "we"], d)
-    lab = LB.labeled_windows(main, m, TARGET, W_SIZE)
-    tgt = FT.window_frequencies(WN.target_window_contents(m, TARGET, W_SIZE), ["ws", "we"], d)
+    lab = LB.labeled_windows(main, sec, TARGET, W_SIZE)
+    tgt = FT.window_frequencies(WN.target_window_contents(sec, TARGET, W_SIZE), ["ws", "we"], d)
     return LB.training_set(freqs, lab, tgt)
 
 

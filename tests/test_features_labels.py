@@ -33,7 +33,7 @@ def test_dense_features(spark):
 
 def test_labels_exact_and_horizon(spark):
     windows = spark.createDataFrame([(0, 0, 5), (1, 5, 10), (2, 10, 15)], "win long, ws long, we long")
-    masked = spark.createDataFrame([(1, 10, "x error y")], "line_id long, t long, template string")
+    masked = spark.createDataFrame([(10, "x error y", 1)], "t long, template string, cnt long")
     exact = rows(LB.labeled_windows(windows, masked, " error ", 5), "win", "label")
     assert exact == [(0, 0.0), (1, 1.0), (2, 0.0)]
     horizon = rows(LB.labeled_windows(windows, masked, " error ", 5, mode="horizon", horizon=6),

@@ -32,14 +32,15 @@ def test_parse_cases(spark):
 
 
 def test_parse_independent_of_session_zone(spark):
-    lines = spark.createDataFrame([(1, GOOD)], "line_id long, line string")
+    summer = GOOD.replace("2015-02-11T17", "2015-07-11T17")
+    lines = spark.createDataFrame([(1, GOOD), (2, summer)], "line_id long, line string")
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
-        t = TP.parse_log(lines).select("t").first()[0]
+        got = rows(TP.parse_log(lines), "line_id", "t")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert t == 1423674547
+    assert got == [(1, 1423674547), (2, 1436634547)]
 
 
 def test_counts_add_up(spark):

@@ -89,9 +89,10 @@ def test_target_windows(spark):
     masked = spark.createDataFrame(
         [(1, 4, "a"), (2, 5, "b"), (3, 9, "c"), (4, 10, "x error y"), (5, 10, "x error y")],
         "line_id long, t long, template string")
-    got = rows(WN.target_window_contents(masked, " error ", 5))
+    sec = WN.per_second(masked)
+    got = rows(WN.target_window_contents(sec, " error ", 5))
     assert got == [(5, 10, "b", 1), (5, 10, "c", 1), (5, 10, "x error y", 2)]
-    open_end = rows(WN.target_window_contents(masked, " error ", 5, include_target=False))
+    open_end = rows(WN.target_window_contents(sec, " error ", 5, include_target=False))
     assert open_end == [(5, 10, "b", 1), (5, 10, "c", 1)]
 
 
