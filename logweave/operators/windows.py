@@ -88,7 +88,10 @@ def time_window_codes(t: Column, b: TimeBounds) -> Column:
 def assign_time_windows(log: DataFrame, w: int, s: int, t: str = "t") -> DataFrame:
     """One row per (line, window): adds ``win, ws, we``.  Empty windows are absent."""
     b = TimeBounds(log, w, s, t)
-    exploded = log.withColumn("win", F.explode(time_window_codes(F.col(t), b)))
+    # explode_outer + filter: a plain explode makes the optimizer infer
+    # size(codes) > 0 and push it, with the whole expression behind t, to the scan
+    exploded = (log.withColumn("win", F.explode_outer(time_window_codes(F.col(t), b)))
+                .where(F.col("win").isNotNull()))
     return exploded.withColumn("ws", b.start(F.col("win"))).withColumn("we", b.end(F.col("win")))
 
 
@@ -156,9 +159,9 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
     adaptive execution has measured it below the broadcast threshold.
     """
     keyed = counts.withColumn("bucket", F.floor(F.col("t") / F.lit(w)))
+    b0 = F.floor(F.col("t") / F.lit(w))
     targets = target_times(counts, target).select(
-        F.col("t").alias("t0"),
-        F.explode(F.array(F.floor(F.col("t") / F.lit(w)) - 1, F.floor(F.col("t") / F.lit(w)))).alias("bucket"))
+        F.col("t").alias("t0"), F.explode_outer(F.array(b0 - 1, b0)).alias("bucket"))
     joined = keyed.join(targets, "bucket")
     upper = (F.col("t") <= F.col("t0")) if include_target else (F.col("t") < F.col("t0"))
     inside = joined.where((F.col("t") >= F.col("t0") - w) & upper)

@@ -12,7 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokens as TK
+from ..operators import evaluation as EV
+from ..operators import features as FT
+from ..operators import files as FL
+from ..operators import labels as LB
+from ..operators import logsig as LS
+from ..operators import models as MD
+from ..operators import sentences as SN
+from ..operators import similarity as SM
 from ..operators import templates as TP
+from ..operators import windows as WN
+from ..operators.numbering import number_rows
+from ..session import materialize, scratch_path
 from ..sources import tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -78,13 +90,18 @@ def template_counts_by_host(spark, sf_dir):
 
 
 def seconds(spark, sf_dir) -> DataFrame:
-    """Per-second template counts: the shared input of windows, targets and the dictionary."""
-    from ..operators.windows import per_second
-    return per_second(masked(spark, sf_dir))
+    """Per-second template counts: the shared input of windows, targets and the
+    dictionary, materialized once so the log is parsed once per query."""
+    return materialize(WN.per_second(masked(spark, sf_dir)))
+
+
+def dictionary_of(sec: DataFrame) -> DataFrame:
+    """W7 dictionary from per-second counts."""
+    return TP.template_dictionary(TP.totals(sec))
 
 
 def dictionary(spark, sf_dir) -> DataFrame:
-    return TP.template_dictionary(TP.totals(seconds(spark, sf_dir)))
+    return dictionary_of(seconds(spark, sf_dir))
 
 
 @query
@@ -105,12 +122,7 @@ def oov_templates(spark, sf_dir):
 
 
 # ---- milestone 2: numbering, windows, features, labels -------------------------------
-
-from ..operators import features as FT  # noqa: E402
-from ..operators import labels as LB  # noqa: E402
-from ..operators import windows as WN  # noqa: E402
-from ..operators.numbering import number_rows  # noqa: E402
-
+# Each query builds the per-second counts once and passes them to every branch.
 
 @query
 def line_numbers(spark, sf_dir):
@@ -134,13 +146,17 @@ def count_windows_sliding(spark, sf_dir):
     return WN.count_window_contents(masked(spark, sf_dir), COUNT_W, "sliding", mode="reference")
 
 
-def main_windows(spark, sf_dir) -> DataFrame:
-    return WN.time_window_contents(seconds(spark, sf_dir), W_SIZE, W_STEP)
+def main_windows_of(sec: DataFrame) -> DataFrame:
+    return WN.time_window_contents(sec, W_SIZE, W_STEP)
+
+
+def target_contents_of(sec: DataFrame) -> DataFrame:
+    return WN.target_window_contents(sec, TARGET, W_SIZE)
 
 
 @query
 def time_windows(spark, sf_dir):
-    return main_windows(spark, sf_dir)
+    return main_windows_of(seconds(spark, sf_dir))
 
 
 @query
@@ -153,44 +169,44 @@ def target_events(spark, sf_dir):
     return LB.target_events(masked(spark, sf_dir), TARGET).select("line_id", "t", "template")
 
 
-def target_contents(spark, sf_dir) -> DataFrame:
-    return WN.target_window_contents(seconds(spark, sf_dir), TARGET, W_SIZE)
-
-
 @query
 def target_windows(spark, sf_dir):
-    return target_contents(spark, sf_dir)
-
-
-def main_frequencies(spark, sf_dir) -> DataFrame:
-    return FT.window_frequencies(main_windows(spark, sf_dir), ["win", "ws", "we"],
-                                 dictionary(spark, sf_dir))
+    return target_contents_of(seconds(spark, sf_dir))
 
 
 @query
 def window_frequencies(spark, sf_dir):
-    return main_frequencies(spark, sf_dir).select("win", "ws", "we", "idx", "template", "cnt", "freq")
+    sec = seconds(spark, sf_dir)
+    freqs = FT.window_frequencies(main_windows_of(sec), ["win", "ws", "we"], dictionary_of(sec))
+    return freqs.select("win", "ws", "we", "idx", "template", "cnt", "freq")
 
 
 @query
 def window_mean_vector(spark, sf_dir):
-    contents = FT.with_index(main_windows(spark, sf_dir), dictionary(spark, sf_dir))
+    sec = seconds(spark, sf_dir)
+    contents = FT.with_index(main_windows_of(sec), dictionary_of(sec))
     vectors = FT.embedding_dictionary(tables.table(spark, sf_dir, "embeddings"))
     return FT.window_mean_vector(contents, ["win", "ws", "we"], vectors)
 
 
-def main_labels(spark, sf_dir) -> DataFrame:
-    return LB.labeled_windows(main_windows(spark, sf_dir), seconds(spark, sf_dir), TARGET, W_SIZE)
-
-
 @query
 def labeled_windows(spark, sf_dir):
-    return main_labels(spark, sf_dir)
+    sec = seconds(spark, sf_dir)
+    return LB.labeled_windows(main_windows_of(sec), sec, TARGET, W_SIZE)
+
+
+def training_of(sec: DataFrame, d: DataFrame) -> DataFrame:
+    """U1 from per-second counts ``sec`` with dictionary ``d``."""
+    main = main_windows_of(sec)
+    freqs = FT.window_frequencies(main, ["win", "ws", "we"], d)
+    lab = LB.labeled_windows(main, sec, TARGET, W_SIZE)
+    tgt = FT.window_frequencies(target_contents_of(sec), ["ws", "we"], d)
+    return LB.training_set(freqs, lab, tgt)
 
 
 def training_long(spark, sf_dir) -> DataFrame:
-    tgt = FT.window_frequencies(target_contents(spark, sf_dir), ["ws", "we"], dictionary(spark, sf_dir))
-    return LB.training_set(main_frequencies(spark, sf_dir), main_labels(spark, sf_dir), tgt)
+    sec = seconds(spark, sf_dir)
+    return training_of(sec, dictionary_of(sec))
 
 
 @query
@@ -200,10 +216,6 @@ def training_set(spark, sf_dir):
 
 # ---- milestone 3: metrics and models -------------------------------------------------
 
-from ..operators import evaluation as EV  # noqa: E402
-from ..operators import models as MD  # noqa: E402
-from ..operators import similarity as SM  # noqa: E402
-
 TRAIN_HOSTS = "c0-0c0s"   # held-out evaluation: train on one controller group ...
 TEST_HOSTS = "c0-0c1s"    # ... test on another, same dictionary
 
@@ -214,38 +226,29 @@ def confusion_matrix(spark, sf_dir):
     return EV.confusion_matrix(labels, label="quality", prediction="toxic")
 
 
-def training_from(m: DataFrame, d: DataFrame) -> DataFrame:
-    """U1 over any masked log ``m`` with dictionary ``d``."""
-    sec = WN.per_second(m)
-    main = WN.time_window_contents(sec, W_SIZE, W_STEP)
-    freqs = FT.window_frequencies(main, ["win", "ws", "we"], d)
-    lab = LB.labeled_windows(main, sec, TARGET, W_SIZE)
-    tgt = FT.window_frequencies(WN.target_window_contents(sec, TARGET, W_SIZE), ["ws", "we"], d)
-    return LB.training_set(freqs, lab, tgt)
-
-
-def vectors_from(m: DataFrame, d: DataFrame) -> DataFrame:
+def vectors_of(sec: DataFrame, d: DataFrame) -> DataFrame:
     size = d.select(F.count(F.lit(1))).scalar()
-    return MD.labelled_vectors(training_from(m, d), size)
+    return MD.labelled_vectors(training_of(sec, d), size)
 
 
 @query
 def svm_metrics(spark, sf_dir):
-    data = vectors_from(masked(spark, sf_dir), dictionary(spark, sf_dir))
-    return MD.fit_and_evaluate(MD.linear_svm(100), data)[1]
+    sec = seconds(spark, sf_dir)
+    return MD.fit_and_evaluate(MD.linear_svm(100), vectors_of(sec, dictionary_of(sec)))[1]
 
 
 @query
 def logreg_metrics(spark, sf_dir):
-    data = vectors_from(masked(spark, sf_dir), dictionary(spark, sf_dir))
-    return MD.fit_and_evaluate(MD.logistic_regression(), data)[1]
+    sec = seconds(spark, sf_dir)
+    return MD.fit_and_evaluate(MD.logistic_regression(), vectors_of(sec, dictionary_of(sec)))[1]
 
 
 @query
 def tree_metrics(spark, sf_dir):
-    m, d = masked(spark, sf_dir), dictionary(spark, sf_dir)
-    train = vectors_from(m.where(F.col("host").startswith(TRAIN_HOSTS)), d)
-    test = vectors_from(m.where(F.col("host").startswith(TEST_HOSTS)), d)
+    m = masked(spark, sf_dir)
+    d = dictionary(spark, sf_dir)                       # one dictionary for both logs
+    train = vectors_of(materialize(WN.per_second(m.where(F.col("host").startswith(TRAIN_HOSTS)))), d)
+    test = vectors_of(materialize(WN.per_second(m.where(F.col("host").startswith(TEST_HOSTS)))), d)
     return MD.fit_and_evaluate(MD.decision_tree(5, 32), train, test)[1]
 
 
@@ -273,9 +276,6 @@ def similar_vectors(spark, sf_dir):
 
 # ---- milestone 4: files and sentences ------------------------------------------------
 
-from ..operators import files as FL  # noqa: E402
-from ..operators import sentences as SN  # noqa: E402
-from ..session import scratch_path  # noqa: E402
 
 
 def program_list(spark, sf_dir) -> DataFrame:
@@ -317,8 +317,6 @@ def sentences_by_source(spark, sf_dir):
 
 # ---- milestone 5: LogSig ---------------------------------------------------------------
 
-from ..functions import tokens as TK  # noqa: E402
-from ..operators import logsig as LS  # noqa: E402
 
 K = 10          # clusters
 LOGSIG_ITER = 5

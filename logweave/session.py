@@ -61,3 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def local_path_exists(path: str) -> bool:
     return os.path.exists(path)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    For a derived table that feeds several branches of one plan (pushed-down
+    filters make the branches differ, so Spark cannot reuse one exchange for
+    them): the input is scanned and parsed once, later plans stay small, and a
+    lost executor re-reads the checkpoint instead of recomputing the lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
