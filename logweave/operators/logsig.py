@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import STAR, term_pairs, with_signature
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 BIG = "decimal(38,0)"
 
@@ -52,26 +52,57 @@ def distinct_lines(clustered: DataFrame) -> DataFrame:
                  F.first("_h1").alias("_h1"), F.first("_h2").alias("_h2")))
 
 
-def line_pairs(groups: DataFrame, skip_star: bool = True) -> DataFrame:
+def shared_lines(clustered: DataFrame) -> DataFrame:
+    """``distinct_lines`` written once to the shared checkpoint folder.
+
+    For operators that read the distinct lines in several branches (pairs,
+    lengths, the line-to-rep map): each branch would otherwise re-read and
+    re-tokenise the log, since pushed-down filters and pruned columns make the
+    branches differ and Spark cannot reuse one exchange for them.
+    """
+    return materialize(distinct_lines(clustered))
+
+
+PAIR_KEY = ["_p1", "_p2"]
+TEXT_KEY = ["a", "b"]
+
+
+def _pair_key(key: str) -> list[str]:
+    if key not in ("hash", "text"):
+        raise ValueError("key must be 'hash' or 'text'")
+    return PAIR_KEY if key == "hash" else TEXT_KEY
+
+
+def line_pairs(groups: DataFrame, skip_star: bool = True, key: str = "hash") -> DataFrame:
     """Distinct pairs of each distinct line with their occurrence count ``occ``.
 
     The distinct lines are hash-partitioned by ``rep`` first (a shuffle of one
     row per distinct line); every pair of a line is then formed in the task
-    that holds the line, and the aggregate on (cluster, rep, mult, a, b) needs
+    that holds the line, and the aggregate on (cluster, rep, mult, pair) needs
     no second shuffle of the much larger pair rows.
+
+    ``key="hash"`` identifies a pair by a 128-bit fingerprint ``_p1, _p2`` (two
+    independently seeded 64-bit hashes of the two terms): later shuffles, joins
+    and aggregates then carry and compare two longs instead of two strings.
+    ``key="text"`` keeps the terms ``a, b`` (for output).
     """
+    cols = _pair_key(key)
     # an explicit partition count: adaptive coalescing would size this shuffle by
     # its (small) input bytes, not by the pairs each line explodes into
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = term_pairs(groups.repartition(n, "rep"), keep=("cluster", "rep", "mult"))
     if skip_star:
         pairs = pairs.where(~((F.col("a") == STAR) & (F.col("b") == STAR)))
-    return pairs.groupBy("cluster", "rep", "mult", "a", "b").agg(F.count(F.lit(1)).alias("occ"))
+    if key == "hash":
+        pairs = pairs.select("cluster", "rep", "mult",
+                             F.xxhash64("a", "b").alias("_p1"),
+                             F.xxhash64(F.lit("pair"), "a", "b").alias("_p2"))
+    return pairs.groupBy("cluster", "rep", "mult", *cols).agg(F.count(F.lit(1)).alias("occ"))
 
 
-def pair_counts_of(lp: DataFrame) -> DataFrame:
+def pair_counts_of(lp: DataFrame, key: str = "hash") -> DataFrame:
     """n = lines of the cluster that contain the pair."""
-    return lp.groupBy("cluster", "a", "b").agg(F.sum("mult").alias("n"))
+    return lp.groupBy("cluster", *_pair_key(key)).agg(F.sum("mult").alias("n"))
 
 
 def cluster_lengths(groups: DataFrame) -> DataFrame:
@@ -81,12 +112,12 @@ def cluster_lengths(groups: DataFrame) -> DataFrame:
 
 def pair_counts(clustered: DataFrame) -> DataFrame:
     """A13, F6 on ``(line_id, cluster, tokens)``: ``(cluster, a, b, n)``."""
-    return pair_counts_of(line_pairs(distinct_lines(clustered)))
+    return pair_counts_of(line_pairs(distinct_lines(clustered), key="text"), key="text")
 
 
 def cluster_potential(clustered: DataFrame) -> DataFrame:
     """A12, A14 on ``(line_id, cluster, tokens)``: ``(cluster, len, potential)``."""
-    return potential_of(distinct_lines(clustered))
+    return potential_of(shared_lines(clustered))
 
 
 def potential_of(groups: DataFrame) -> DataFrame:
@@ -94,40 +125,48 @@ def potential_of(groups: DataFrame) -> DataFrame:
     return potential_from(line_pairs(groups), cluster_lengths(groups))
 
 
-def potential_from(lp: DataFrame, lens: DataFrame) -> DataFrame:
-    """A14 from line pairs ``(cluster, rep, mult, a, b, occ)`` and lengths ``(cluster, len)``."""
-    n = pair_counts_of(lp)
-    num = (lp.join(n, ["cluster", "a", "b"])
-           .groupBy("cluster")
-           .agg(F.sum(F.col("mult").cast(BIG) * F.col("occ") * F.col("n") * F.col("n") * F.col("n")).alias("_num")))
+def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFrame:
+    """A14 from line pairs ``(cluster, rep, mult, <pair>, occ)`` and lengths ``(cluster, len)``."""
+    # every occurrence of a pair adds n^3/len^2: per (cluster, pair) one aggregate
+    # gives n and the occurrence count m, and the numerator is sum(m * n^3), with
+    # no join of the line pairs back to their counts
+    per_pair = lp.groupBy("cluster", *_pair_key(key)).agg(
+        F.sum("mult").cast(BIG).alias("n"), F.sum(F.col("mult") * F.col("occ")).alias("m"))
+    num = per_pair.groupBy("cluster").agg(
+        F.sum(F.col("m") * F.col("n") * F.col("n") * F.col("n")).alias("_num"))
     out = lens.join(num, "cluster", "left")
     potential = (F.coalesce(F.col("_num"), F.lit(0).cast(BIG)).cast("double")
                  / (F.col("len") * F.col("len")).cast("double"))
     return out.select("cluster", "len", potential.alias("potential"))
 
 
-def rep_scores(groups: DataFrame, k: int) -> DataFrame:
-    """Scores ``(rep, ci, cj, score)`` of every distinct line for every other cluster 0..k-1.
+def rep_vectors(groups: DataFrame, k: int) -> DataFrame:
+    """``(rep, ci, _A)`` per distinct line: its cluster and the k sums
+    A_c = sum over the line's pair occurrences of n_c(p)^2.
 
     Each pair gets the vector of its k per-cluster counts (one aggregate with
     k conditional sums), each line pair is joined to it once, and one
-    aggregate per line builds A_c = sum over the line's pair occurrences of
-    n_c(p)^2 for all c at once: no k-fold fan-out of the pair rows.
+    aggregate per line builds all k sums at once: no k-fold fan-out of the
+    pair rows.
     """
     lp = line_pairs(groups)
-    lens = cluster_lengths(groups)
-    counts = lp.groupBy("a", "b").agg(
-        *[F.sum(F.when(F.col("cluster") == c, F.col("mult"))).alias(f"_n{c}") for c in range(k)])
-    joined = lp.select("rep", "occ", "a", "b").join(counts, ["a", "b"])
+    counts = lp.groupBy(*PAIR_KEY).agg(
+        *[F.sum(F.when(F.col("cluster") == c, F.col("mult"))).cast(BIG).alias(f"_n{c}") for c in range(k)])
+    # squared once per distinct pair, not once per line holding it
+    squares = counts.select(*PAIR_KEY, *[(F.col(f"_n{c}") * F.col(f"_n{c}")).alias(f"_q{c}") for c in range(k)])
+    joined = lp.select("rep", "occ", *PAIR_KEY).join(squares, PAIR_KEY)
     sums = joined.groupBy("rep").agg(
-        *[F.sum(F.col("occ").cast(BIG) * F.col(f"_n{c}") * F.col(f"_n{c}")).alias(f"_A{c}")
-          for c in range(k)])
+        *[F.sum(F.col("occ") * F.col(f"_q{c}")).alias(f"_A{c}") for c in range(k)])
     zero = F.lit(0).cast(BIG)
     vec = F.array(*[F.coalesce(F.col(f"_A{c}"), zero) for c in range(k)])
     # lines without any pair still get a score (0) for every cluster
-    per_rep = (groups.select("rep", F.col("cluster").alias("ci")).join(sums, "rep", "left")
-               .select("rep", "ci", vec.alias("_A")))
-    targets = per_rep.select("rep", "ci", "_A", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cj"))
+    return (groups.select("rep", F.col("cluster").alias("ci")).join(sums, "rep", "left")
+            .select("rep", "ci", vec.alias("_A")))
+
+
+def _score_targets(vectors: DataFrame, lens: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
+    """One row per other cluster cj: ``(*keep, ci, cj, score)`` from ``(*keep, ci, _A)``."""
+    targets = vectors.select(*keep, "ci", "_A", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cj"))
     targets = targets.where(F.col("cj") != F.col("ci"))
     len_i = lens.select(F.col("cluster").alias("ci"), F.col("len").alias("len_i"))
     len_j = lens.select(F.col("cluster").alias("cj"), F.col("len").alias("len_j"))
@@ -142,7 +181,12 @@ def rep_scores(groups: DataFrame, k: int) -> DataFrame:
     a_i = F.element_at(F.col("_A"), F.col("ci") + 1)
     gain_j = F.when(F.col("len_j").isNull(), F.lit(0.0)).otherwise(term(a_j, "len_j"))
     score = gain_j - term(a_i, "len_i")
-    return scored.select("rep", "ci", "cj", score.alias("score"))
+    return scored.select(*keep, "ci", "cj", score.alias("score"))
+
+
+def rep_scores(groups: DataFrame, k: int) -> DataFrame:
+    """Scores ``(rep, ci, cj, score)`` of every distinct line for every other cluster 0..k-1."""
+    return _score_targets(rep_vectors(groups, k), cluster_lengths(groups), k, ("rep",))
 
 
 def _line_reps(clustered: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,12 +197,16 @@ def _line_reps(clustered: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def move_scores(clustered: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
-    """L3: ``(line_id, cluster, target, score)`` for every line and every other cluster."""
-    groups = distinct_lines(clustered)
-    rs = rep_scores(groups, k)
+    """L3: ``(line_id, cluster, target, score)`` for every line and every other cluster.
+
+    Lines meet their distinct line's score vector before the k-1 targets are
+    exploded, so the join carries one row per line, not k-1.
+    """
+    groups = shared_lines(clustered)
+    per_line = _line_reps(clustered, groups).select("line_id", "rep").join(rep_vectors(groups, k), "rep")
+    scored = _score_targets(per_line, cluster_lengths(groups), k, ("line_id",))
     score = F.round("score", digits) + F.lit(0.0) if digits is not None else F.col("score")
-    per_line = _line_reps(clustered, groups).join(rs.select("rep", "cj", score.alias("score")), "rep")
-    return per_line.select("line_id", "cluster", F.col("cj").alias("target"), "score")
+    return scored.select("line_id", F.col("ci").alias("cluster"), F.col("cj").alias("target"), score.alias("score"))
 
 
 def _decide(scores: DataFrame) -> DataFrame:
@@ -177,7 +225,7 @@ def best_moves(clustered: DataFrame, k: int) -> DataFrame:
 
     ``(line_id, cluster, new_cluster, gain)``; ``gain`` is the exact double.
     """
-    groups = distinct_lines(clustered)
+    groups = shared_lines(clustered)
     decided = _decide(rep_scores(groups, k))
     per_line = _line_reps(clustered, groups).join(decided, "rep")
     return per_line.select("line_id", "cluster",
@@ -228,11 +276,11 @@ def signatures(clustered: DataFrame, rule: str = "skip_star") -> DataFrame:
     ``skip_star``: the pair ('*','*') is not checked.  ``literal``: it always
     fails (n = 0), so a line holding it is dropped, as in the reference.
     """
-    groups = distinct_lines(clustered)
+    groups = shared_lines(clustered)
     lp = line_pairs(groups, skip_star=True)
     n = pair_counts_of(lp)
     lens = cluster_lengths(groups)
-    failing = (lp.join(n, ["cluster", "a", "b"]).join(lens, "cluster")
+    failing = (lp.join(n, ["cluster", *PAIR_KEY]).join(lens, "cluster")
                .where(F.col("n") * 2 < F.col("len")).select("rep").distinct())
     kept = groups.join(failing, "rep", "left_anti")
     if rule == "literal":
