@@ -126,17 +126,30 @@ def potential_of(groups: DataFrame) -> DataFrame:
 
 
 def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFrame:
-    """A14 from line pairs ``(cluster, rep, mult, <pair>, occ)`` and lengths ``(cluster, len)``."""
-    # every occurrence of a pair adds n^3/len^2: per (cluster, pair) one aggregate
-    # gives n and the occurrence count m, and the numerator is sum(m * n^3), with
-    # no join of the line pairs back to their counts
+    """A14 from line pairs ``(cluster, rep, mult, <pair>, occ)`` and lengths ``(cluster, len)``.
+
+    Every occurrence of a pair adds n^3/len^2: per (cluster, pair) one
+    aggregate gives n and the occurrence count m, and the numerator is
+    sum(m * n^3), with no join of the line pairs back to their counts.  The
+    numerator is an exact ``decimal(38,0)`` while it fits; a cluster where
+    some m * n^3 or the sum would pass 10^38 (n near 10^10 lines holding one
+    pair) falls back to a double sum instead of failing the query.
+    """
     per_pair = lp.groupBy("cluster", *_pair_key(key)).agg(
-        F.sum("mult").cast(BIG).alias("n"), F.sum(F.col("mult") * F.col("occ")).alias("m"))
+        F.sum("mult").alias("n"), F.sum(F.col("mult").cast(BIG) * F.col("occ")).alias("m"))
+    n, m = F.col("n").cast(BIG), F.col("m").cast(BIG)
+    exact = F.try_multiply(F.try_multiply(m, n), F.try_multiply(n, n))
+    approx = F.col("m").cast("double") * F.pow(F.col("n").cast("double"), 3)
     num = per_pair.groupBy("cluster").agg(
-        F.sum(F.col("m") * F.col("n") * F.col("n") * F.col("n")).alias("_num"))
+        F.try_sum(exact).alias("_num"),
+        F.count_if(exact.isNull()).alias("_over"),
+        F.sum(approx).alias("_approx"))
     out = lens.join(num, "cluster", "left")
-    potential = (F.coalesce(F.col("_num"), F.lit(0).cast(BIG)).cast("double")
-                 / (F.col("len") * F.col("len")).cast("double"))
+    sq = F.pow(F.col("len").cast("double"), 2)     # len^2 passes a long past 3e9 lines
+    fits = (F.col("_over") == 0) & F.col("_num").isNotNull()
+    potential = (F.when(F.col("_approx").isNull(), F.lit(0.0))
+                 .when(fits, F.col("_num").cast("double") / sq)
+                 .otherwise(F.col("_approx") / sq))
     return out.select("cluster", "len", potential.alias("potential"))
 
 
@@ -155,6 +168,8 @@ def rep_vectors(groups: DataFrame, k: int) -> DataFrame:
     # squared once per distinct pair, not once per line holding it
     squares = counts.select(*PAIR_KEY, *[(F.col(f"_n{c}") * F.col(f"_n{c}")).alias(f"_q{c}") for c in range(k)])
     joined = lp.select("rep", "occ", *PAIR_KEY).join(squares, PAIR_KEY)
+    # exact: n <= 10^12 lines gives n^2 <= 10^24, and a line's sum over its pairs
+    # stays far below the decimal(38,0) limit
     sums = joined.groupBy("rep").agg(
         *[F.sum(F.col("occ") * F.col(f"_q{c}")).alias(f"_A{c}") for c in range(k)])
     zero = F.lit(0).cast(BIG)
@@ -175,7 +190,7 @@ def _score_targets(vectors: DataFrame, lens: DataFrame, k: int, keep: tuple[str,
               .join(F.broadcast(len_j), "cj", "left"))   # k rows each
 
     def term(a, ln):
-        return (a * 3).cast("double") / (F.col(ln) * F.col(ln)).cast("double")
+        return (a * 3).cast("double") / F.pow(F.col(ln).cast("double"), 2)
 
     a_j = F.element_at(F.col("_A"), F.col("cj") + 1)
     a_i = F.element_at(F.col("_A"), F.col("ci") + 1)
