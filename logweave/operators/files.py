@@ -1,4 +1,5 @@
-"""Sinks and file layout (K1-K4, S3, S5): split by program, compaction, gather.
+"""Sinks and file layout (K1-K6, S3, S5, M11 text): results, split by program,
+compaction, gather, metrics, dictionaries.
 
 The reference writes one directory per program in one pass *per program*; here
 one pass writes a table partitioned by program, and readers get the program
@@ -61,3 +62,35 @@ def write_template_counts(counts: DataFrame, key: str, path: str) -> str:
 def gather(spark, path: str) -> DataFrame:
     """All per-key files of a partitioned table as one DataFrame (partition discovery)."""
     return spark.read.parquet(path)
+
+
+def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """K1: a query result as a new table; fails when ``path`` exists.
+
+    Written in parallel (one file per task), not through one task: readers
+    take the folder as one table.
+    """
+    df.write.mode("errorifexists").format(fmt).save(path)
+    return path
+
+
+def write_metrics(metrics: DataFrame, path: str) -> str:
+    """K5: a metrics row (error rate, TP/TN/FP/FN, ...) as one JSON file.
+
+    ``metrics`` is an aggregate of one row per evaluation, so one task writes it.
+    """
+    metrics.coalesce(1).write.mode("errorifexists").json(path)
+    return path
+
+
+def write_dictionary(dictionary: DataFrame, path: str) -> str:
+    """K6: a template dictionary ``(template, idx)`` (or vector dictionary) as typed Parquet,
+    read back by ``sources.text.read_dictionary``; no ``repr``/``eval``."""
+    dictionary.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def write_text(spark, text: str, path: str) -> str:
+    """M11 sink: one driver-side text (a tree description) as a text file."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    return path

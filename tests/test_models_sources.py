@@ -8,7 +8,7 @@ from logweave.operators import files as FL
 from logweave.operators import models as MD
 from logweave.operators import similarity as SM
 from logweave.session import scratch_path
-from logweave.sources.text import read_log_text, read_program_list
+from logweave.sources.text import read_dictionary, read_log_text, read_program_list
 from tests.conftest import SF_SMALL, rows
 
 
@@ -78,3 +78,21 @@ def test_split_and_compact(spark):
     counts = {r.program: (r.n_lines, r.n_files) for r in FL.file_counts(spark, out, "program").collect()}
     assert counts["hot"][0] == 200 and counts["cold"][0] == 100
     assert counts["hot"][1] >= 2          # a big key is written by several tasks
+
+
+def test_sinks_round_trip(spark):
+    from logweave.operators import evaluation as EV
+    labels = spark.createDataFrame([(1, 1), (0, 0), (0, 1), (1, 0), (1, 1)], "label int, prediction int")
+    metrics = EV.with_rates(EV.confusion_matrix(labels))
+    mpath = FL.write_metrics(metrics, scratch_path(spark, "t-metrics"))
+    back = spark.read.json(mpath).first()
+    assert (back.tp, back.tn, back.fp, back.fn) == (2, 1, 1, 1)
+    with pytest.raises(Exception):                       # K1 semantics: an existing result is not overwritten
+        FL.write_metrics(metrics, mpath)
+    d = spark.createDataFrame([("a *", 0), ("b mem_addr", 1)], "template string, idx int")
+    dpath = FL.write_dictionary(d, scratch_path(spark, "t-dict"))
+    assert rows(read_dictionary(spark, dpath)) == [("a *", 0), ("b mem_addr", 1)]
+    rpath = FL.write_result(d, scratch_path(spark, "t-result"))
+    assert rows(spark.read.parquet(rpath)) == rows(d)
+    tpath = FL.write_text(spark, "If (feature 1 <= 0.5)\n Predict: 0.0", scratch_path(spark, "t-tree"))
+    assert [r.value for r in spark.read.text(tpath).collect()] == ["If (feature 1 <= 0.5)", " Predict: 0.0"]
