@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logline as L
+from .numbering import number_rows
 
 
 def _field(k: int) -> Column:
@@ -85,11 +86,14 @@ def totals(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def template_dictionary(counts: DataFrame) -> DataFrame:
     """Index templates from 0 by count ascending, ties by template.
 
-    ``counts`` is aggregated (one row per template), so the global window is
-    over the number of distinct templates, not the number of lines.
+    ``counts`` has one row per template.  The number of templates depends on
+    the data (imperfect masking can leave millions), so they are numbered by
+    the distributed W1 numbering (range partitions + per-partition offsets),
+    not by a window without partition key, which would put them all in one task.
     """
-    order = Window.orderBy(F.col("cnt").asc(), F.col("template").asc())
-    return counts.select("template", (F.row_number().over(order) - 1).cast("int").alias("idx"))
+    ordered = counts.select("template", "cnt")
+    numbered = number_rows(ordered, ["cnt", "template"], name="_no")
+    return numbered.select("template", (F.col("_no") - 1).cast("int").alias("idx"))
 
 
 def one_hot_dictionary(dictionary: DataFrame) -> DataFrame:
