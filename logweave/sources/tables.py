@@ -42,12 +42,21 @@ def severity(value: Column) -> Column:
             .otherwise(F.lit("high")))
 
 
+def iso_seconds(ts_ntz: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of a TIMESTAMP_NTZ without any time zone.
+
+    ``date_format`` would cast to the session zone and back, which moves times
+    inside a daylight-saving gap; the string cast of an NTZ value does not.
+    """
+    return F.regexp_replace(F.substring(ts_ntz.cast("string"), 1, 19), " ", "T")
+
+
 def render_event_line(events: DataFrame) -> DataFrame:
     """``events`` -> ``(line_id, line)``; narrow projection, no shuffle."""
     uid = F.col("user_id")
     line = F.concat(
         F.lit("<13>1 "),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        iso_seconds(F.col("ts")),
         F.lit("-00:00 c0-0c"), (uid % 3).cast("string"),
         F.lit("s"), uid.cast("string"),
         F.lit(" "), F.col("event_type"),

@@ -61,3 +61,15 @@ def test_dictionary_order(spark):
     hot = rows(TP.one_hot_dictionary(TP.template_dictionary(counts)), "template", "pos", "bit")
     assert [r for r in hot if r[2] == 1] == [("a", 1, 1), ("b", 2, 1), ("c", 0, 1)]
     assert len(hot) == 9
+
+
+def test_rendered_time_ignores_session_zone(spark):
+    from logweave.sources.tables import iso_seconds
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 02:30 on 2024-03-10 does not exist in New York (clocks jump 02:00 -> 03:00)
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:05.250' AS ts")
+        assert df.select(iso_seconds(F.col("ts")).alias("s")).first().s == "2024-03-10T02:30:05"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
