@@ -148,20 +148,25 @@ def target_times(counts: DataFrame, target: str) -> DataFrame:
 
 
 def target_window_contents(counts: DataFrame, target: str, w: int,
-                           include_target: bool = True) -> DataFrame:
+                           include_target: bool = True, parts: int = 4) -> DataFrame:
     """For each target second t0, the window [t0-w, t0] (closed; with
     ``include_target=False`` the end is open) as ``(ws, we, template, cnt)``.
 
     ``counts``: per-second counts ``(t, template, cnt)``.  Range join as a
-    bucketed equi-join: rows keyed by floor(t/w); a target's window spans at
-    most buckets floor(t0/w)-1 and floor(t0/w).  A hot bucket is split by
-    adaptive skew-join handling; the target side is broadcast only when
+    bucketed equi-join: rows keyed by floor(t/b) with bucket width
+    b = ceil(w/parts); a target is exploded to the buckets its window covers
+    (parts + 1 at most), and the exact bounds are checked after the join.  A
+    target reads about w + b seconds of rows for the w + 1 it needs (b = w
+    would read 2w), and a hot bucket is small.  Hot buckets are further split
+    by adaptive skew-join handling; the target side is broadcast only when
     adaptive execution has measured it below the broadcast threshold.
     """
-    keyed = counts.withColumn("bucket", F.floor(F.col("t") / F.lit(w)))
-    b0 = F.floor(F.col("t") / F.lit(w))
+    b = max(1, -(-w // parts))
+    keyed = counts.withColumn("bucket", F.floor(F.col("t") / F.lit(b)))
+    t0 = F.col("t")
+    covered = F.sequence(F.floor((t0 - w) / F.lit(b)), F.floor(t0 / F.lit(b)))
     targets = target_times(counts, target).select(
-        F.col("t").alias("t0"), F.explode_outer(F.array(b0 - 1, b0)).alias("bucket"))
+        F.col("t").alias("t0"), F.explode_outer(covered).alias("bucket"))
     joined = keyed.join(targets, "bucket")
     upper = (F.col("t") <= F.col("t0")) if include_target else (F.col("t") < F.col("t0"))
     inside = joined.where((F.col("t") >= F.col("t0") - w) & upper)

@@ -108,3 +108,18 @@ def test_number_rows_consecutive(spark):
     got = number_rows(df, ["k"], name="n", partitions=6)
     ordered = [r.n for r in got.orderBy("k").collect()]
     assert ordered == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("w", [0, 1, 5, 7, 30])
+@pytest.mark.parametrize("include_target", [True, False])
+def test_target_windows_match_brute_force(spark, w, include_target):
+    per_sec = [(t, "x" if t % 3 else "y error z", 1 + t % 4) for t in range(0, 120, 2)] + [(5, "y error z", 2)]
+    counts = spark.createDataFrame(per_sec, "t long, template string, cnt long")
+    got = rows(WN.target_window_contents(counts, " error ", w, include_target))
+    targets = sorted({t for t, p, _ in per_sec if " error " in p})
+    want = {}
+    for t0 in targets:
+        for t, p, c in per_sec:
+            if t0 - w <= t and (t <= t0 if include_target else t < t0):
+                want[(t0 - w, t0, p)] = want.get((t0 - w, t0, p), 0) + c
+    assert got == sorted((ws, we, p, c) for (ws, we, p), c in want.items())
