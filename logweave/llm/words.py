@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 
@@ -135,7 +136,7 @@ def groups(batch, size: int = 1 << 22, column: str = "text"):
     n = len(data)
     if not n:
         return
-    lengths = np.asarray(pa.compute.binary_length(data.cast(pa.large_string())).fill_null(0))
+    lengths = np.asarray(pc.binary_length(data.cast(pa.large_string())).fill_null(0))
     lo, acc = 0, 0
     for i, x in enumerate(lengths.tolist()):
         if i > lo and acc + x > size:
