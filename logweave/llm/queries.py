@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash, outliers, packing, pii, quality_crf, substring, url_filter
+from . import class_lm, decontaminate, language_id, minhash, outliers, packing, pii, quality_crf, substring, url_filter
 from .shared import crc_mod, table
 
 QUERIES = {}
@@ -74,6 +74,13 @@ def op8_quality(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op9_class_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
+    model, counts = class_lm.learn(docs.where(~F.col("held_out")))
+    return class_lm.scored(docs, model, counts, ("doc_id", "held_out"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
