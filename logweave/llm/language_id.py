@@ -94,7 +94,7 @@ def _count(batches):
     def out():
         for lang, c in counts.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])],
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])],
                                              ["lang", "gram", "n"])
         counts.clear()
 

@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMo
     marks = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")))
     sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    share = F.lit(0.0)
+    share = F.lit(1.0)
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, sample / n))).otherwise(share)
     some = (marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
