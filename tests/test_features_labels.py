@@ -18,17 +18,29 @@ def test_frequencies_and_oov(spark):
 
 
 def test_mean_vector_weighted(spark):
-    contents = spark.createDataFrame([(1, 0, 3), (1, 1, 1)], "win long, idx int, cnt long")
-    vectors = FT.embedding_dictionary(spark.createDataFrame(
+    contents = spark.createDataFrame([(1, 0, 3), (1, 1, 1), (1, 9, 5)], "win long, idx int, cnt long")
+    vectors = FT.vector_dictionary(spark.createDataFrame(
         [(0, [1.0, 0.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<float>"))
     got = rows(FT.window_mean_vector(contents, ["win"], vectors), "pos", "val")
     assert got == [(0, 0.75), (1, 0.5)]
+    assert rows(FT.missing_vectors(contents, vectors)) == [(9, 5)]
+    with pytest.raises(Exception):
+        FT.window_mean_vector(contents, ["win"], vectors, oov="error").collect()
 
 
-def test_dense_features(spark):
+def test_sparse_features(spark):
     freqs = spark.createDataFrame([(1, 2, 0.5), (1, 0, 0.5)], "win long, idx int, freq double")
-    got = FT.dense_features(freqs, ["win"], 4).first().features
-    assert got == [0.5, 0.0, 0.5, 0.0]
+    got = FT.sparse_features(freqs, ["win"], 4).first().features
+    assert got.size == 4 and got.indices.tolist() == [0, 2] and got.values.tolist() == [0.5, 0.5]
+
+
+def test_count_window_labels(spark):
+    lines = spark.createDataFrame([(i, "x error y" if i in (1, 7, 15) else "a") for i in range(1, 16)], "line_id long, template string")
+    from logweave.operators import windows as WN
+    fixed = LB.labeled_count_windows(WN.count_window_contents(lines, 5), lines, " error ", 5, "fixed")
+    assert rows(fixed) == [(1, 1.0), (2, 1.0), (3, 0.0)]        # line 7 is in window 2, line 15 in window 3, nothing is before window 1
+    sliding = LB.labeled_count_windows(WN.count_window_contents(lines, 5, "sliding"), lines, " error ", 5, "sliding")
+    assert [w for w, y in rows(sliding) if y] == [2, 10]
 
 
 def test_labels_exact_and_horizon(spark):

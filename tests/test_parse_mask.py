@@ -4,7 +4,7 @@ from logweave.functions.logline import mask
 from logweave.operators import templates as TP
 from tests.conftest import rows
 
-GOOD = "<13>1 2015-02-11T17:09:07-06:00 c0-0c0s1 cvcd 7278 - -  cpu_load_watermark_error: changed from 0.00 to 30.00"
+GOOD = "<86>1 2031-08-19T04:55:36+02:00 rack7s2 pumpd 415 - -  valve 3 opened at 0x1c after 12 tries"
 
 
 def test_mask_cases(spark):
@@ -16,31 +16,37 @@ def test_mask_cases(spark):
 def test_parse_cases(spark):
     lines = spark.createDataFrame([
         (1, GOOD),
-        (2, "<13>1 2015-02-11T17:09:07-06:00 c0-0c0s1"),
-        (3, "<13>1 2015-02-30T17:09:07-06:00 c0-0c0s1 cvcd 1 - -  bad day"),
+        (2, "<86>1 2031-08-19T04:55:36+02:00 rack7s2"),
+        (3, "<86>1 2031-08-32T04:55:36+02:00 rack7s2 pumpd 1 - -  no such day"),
         (4, ""),
+        (5, "<86>1 2031 rack7s2 pumpd 1 - -  year only"),
+        (6, "<86>1 2031-08-19 rack7s2 pumpd 1 - -  date only"),
+        (7, "<86>1 2031-08-19T04:55 rack7s2 pumpd 1 - -  no seconds"),
+        (8, "<86>1 2031-08-19T25:55:36 rack7s2 pumpd 1 - -  no such hour"),
+        (9, None),
     ], "line_id long, line string")
     good = TP.parse_log(lines).collect()
     assert len(good) == 1
     g = good[0]
-    assert (g.pri, g.host, g.program, g.pid) == (13, "c0-0c0s1", "cvcd", "7278")
-    assert str(g.ts) == "2015-02-11 17:09:07"
-    assert g.t == 1423674547            # offset ignored: wall clock as UTC seconds
-    assert g.message.startswith("cpu_load_watermark_error")
+    assert (g.pri, g.host, g.program, g.pid) == (86, "rack7s2", "pumpd", "415")
+    assert str(g.ts) == "2031-08-19 04:55:36"
+    assert g.t == 1944881736            # offset ignored: wall clock as UTC seconds
+    assert g.message.startswith("valve 3 opened")
     bad = rows(TP.quarantined_lines(lines), "line_id", "reason")
-    assert bad == [(2, "too few tokens"), (3, "bad timestamp"), (4, "too few tokens")]
+    assert bad == [(2, "too few tokens"), (3, "bad timestamp"), (4, "too few tokens"), (5, "bad timestamp"),
+                   (6, "bad timestamp"), (7, "bad timestamp"), (8, "bad timestamp"), (9, "too few tokens")]
 
 
 def test_parse_independent_of_session_zone(spark):
-    summer = GOOD.replace("2015-02-11T17", "2015-07-11T17")
-    lines = spark.createDataFrame([(1, GOOD), (2, summer)], "line_id long, line string")
+    winter = GOOD.replace("2031-08-19", "2031-01-19")
+    lines = spark.createDataFrame([(1, GOOD), (2, winter)], "line_id long, line string")
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
         got = rows(TP.parse_log(lines), "line_id", "t")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
-    assert got == [(1, 1423674547), (2, 1436634547)]
+    assert got == [(1, 1944881736), (2, 1944881736 - 212 * 86400)]
 
 
 def test_counts_add_up(spark):
@@ -58,9 +64,8 @@ def test_counts_add_up(spark):
 def test_dictionary_order(spark):
     counts = spark.createDataFrame([("b", 3), ("a", 3), ("c", 1)], "template string, cnt long")
     assert rows(TP.template_dictionary(counts), "idx", "template") == [(0, "c"), (1, "a"), (2, "b")]
-    hot = rows(TP.one_hot_dictionary(TP.template_dictionary(counts)), "template", "pos", "bit")
-    assert [r for r in hot if r[2] == 1] == [("a", 1, 1), ("b", 2, 1), ("c", 0, 1)]
-    assert len(hot) == 9
+    hot = rows(TP.one_hot_dictionary(TP.template_dictionary(counts)), "template", "idx", "size")
+    assert hot == [("a", 1, 3), ("b", 2, 3), ("c", 0, 3)]
 
 
 def test_rendered_time_ignores_session_zone(spark):

@@ -1,3 +1,5 @@
+from itertools import count, takewhile
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,19 +46,14 @@ def _time_log(spark, ts):
     return spark.createDataFrame([(i + 1, t, "x") for i, t in enumerate(ts)], "line_id long, t long, template string")
 
 
-def brute_force(ts, w, s):
-    """The reference's interval list and closed range test."""
-    S, E = min(ts), max(ts)
-    n = int((E - S - w) / float(s) + 1)
-    wins = [(S + i * s, S + i * s + w) for i in range(0, n)]
-    n0 = max(n, 0)
-    wins.append((max(S, S + n0 * s), E))
-    out = set()
-    for i, (a, b) in enumerate(wins):
-        for j, t in enumerate(ts):
-            if a <= t <= b:
-                out.add((i, a, b, j + 1))
-    return out
+def by_definition(ts, w, s):
+    """Every stretch of ``w`` seconds that begins a whole number of steps after the first
+    line and is over by the last line is a window; what begins one step later is the
+    last window and lasts until the last line.  Borders belong to a window."""
+    first, last = ts[0], ts[-1]
+    starts = list(takewhile(lambda a: a + w <= last, count(first, s)))
+    spans = [(a, a + w) for a in starts] + [(first + len(starts) * s, last)]
+    return {(k, *span, n) for n, t in enumerate(ts, 1) for k, span in enumerate(spans) if span[0] <= t <= span[1]}
 
 
 def arithmetic(spark, ts, w, s):
@@ -79,10 +76,9 @@ def test_short_span(spark):
 @settings(max_examples=15, deadline=None)
 @given(ts=st.lists(st.integers(0, 200), min_size=1, max_size=25, unique=True),
        w=st.integers(0, 40), s=st.integers(1, 30))
-def test_time_windows_match_brute_force(spark, ts, w, s):
+def test_time_windows_match_their_definition(spark, ts, w, s):
     ts = sorted(ts)
-    # windows are indexed from the tail the same way on both sides
-    assert {(a, b, c, d) for a, b, c, d in arithmetic(spark, ts, w, s)} == brute_force(ts, w, s)
+    assert arithmetic(spark, ts, w, s) == by_definition(ts, w, s)
 
 
 def test_target_windows(spark):
