@@ -16,8 +16,6 @@ HEX_TOKEN = "mem_addr"
 DIGIT_PATTERN = "[0-9]+"
 DIGIT_TOKEN = "*"
 
-WHITESPACE = r"\s+"
-
 
 def mask(line: Column | str) -> Column:
     """Template of a line: hex addresses, then digit runs, masked."""
@@ -26,26 +24,15 @@ def mask(line: Column | str) -> Column:
                             DIGIT_PATTERN, DIGIT_TOKEN)
 
 
-def tokens(line: Column | str) -> Column:
-    """Whitespace tokens of a line; leading and trailing blanks ignored."""
-    col = F.col(line) if isinstance(line, str) else line
-    stripped = F.regexp_replace(col, r"^\s+|\s+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, WHITESPACE))
-
-
-def token(arr: Column, i: int) -> Column:
-    """0-based token, null when absent (ANSI-safe)."""
-    return F.get(arr, i)
-
-
 def timestamp_of(ts_token: Column) -> Column:
     """Wall-clock time of the timestamp token, its UTC offset ignored.
 
-    The first 19 characters (``yyyy-MM-ddTHH:mm:ss``) are cast to
-    TIMESTAMP_NTZ: no time zone takes part, and bad tokens give null.
+    The token must begin with a full date and clock time; its first 19
+    characters (``yyyy-MM-ddTHH:mm:ss``) are cast to TIMESTAMP_NTZ: no time zone
+    takes part, and anything shorter or out of range gives null.
     """
-    return F.substring(ts_token, 1, 19).try_cast("timestamp_ntz")
+    full = ts_token.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}")
+    return F.when(full, F.substring(ts_token, 1, 19).try_cast("timestamp_ntz"))
 
 
 def epoch_seconds(ts_ntz: Column) -> Column:

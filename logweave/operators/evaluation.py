@@ -24,8 +24,17 @@ def confusion_matrix(pairs: DataFrame, label: str = "label", prediction: str = "
 
 
 def with_rates(confusion: DataFrame) -> DataFrame:
-    """Add precision and recall (null when undefined) to a confusion row."""
+    """Add precision, recall (null when undefined) and the error of always saying the more frequent label."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return confusion.select("*",
                             F.try_divide(tp, tp + fp).alias("precision"),
-                            F.try_divide(tp, tp + fn).alias("recall"))
+                            F.try_divide(tp, tp + fn).alias("recall"),
+                            F.try_divide(F.least(tp + fn, F.col("n") - tp - fn), F.col("n")).alias("majority_error"))
+
+
+def label_totals(rows: DataFrame, name: str, label: str = "label") -> DataFrame:
+    """What any model on ``rows`` is measured against: ``(model, n, positives, negatives, majority_error)``."""
+    y = F.col(label).cast("double")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("positives"), F.count_if(y == 0).alias("negatives"))
+    return totals.select(F.lit(name).alias("model"), "*",
+                         F.try_divide(F.least("positives", "negatives"), F.col("n")).alias("majority_error"))

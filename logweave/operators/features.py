@@ -6,6 +6,9 @@ dictionary join and all arithmetic work on that, never on per-line lists.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,37 +42,52 @@ def window_frequencies(contents: DataFrame, keys: list[str], dictionary: DataFra
     return contents.withColumn("freq", F.col("cnt") / total)
 
 
-def embedding_dictionary(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Vector dictionary in long form ``(idx, pos, v)`` (pos from 0)."""
-    return embeddings.select(F.col(key).cast("int").alias("idx"),
-                             F.posexplode(vector).alias("pos", "v")).select(
-        "idx", F.col("pos").cast("int").alias("pos"), F.col("v").cast("double").alias("v"))
+def vector_dictionary(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Vector dictionary ``(idx, vec array<double>)``."""
+    return embeddings.select(F.col(key).cast("int").alias("idx"), F.col(vector).cast("array<double>").alias("vec"))
 
 
 def window_mean_vector(contents: DataFrame, keys: list[str], vectors: DataFrame,
-                       digits: int | None = 6) -> DataFrame:
+                       digits: int | None = 6, oov: str = "skip") -> DataFrame:
     """Element-wise mean of template vectors, weighted by line count.
 
-    ``contents``: ``(*keys, idx, cnt)``; ``vectors``: ``(idx, pos, v)``.
-    Templates without a vector are left out.  Returns ``(*keys, pos, val)``.
+    ``contents``: ``(*keys, idx, cnt)``; ``vectors``: ``(idx, vec)``.  Templates
+    without a vector follow ``oov``: ``skip`` leaves them out of both sides of
+    the mean, ``error`` fails the query (:func:`missing_vectors` lists them).
+    One row per (window, template) is joined and one aggregate per window takes
+    the mean.  Returns ``(*keys, pos, val)``.
     """
-    joined = contents.join(vectors, "idx")
-    mean = F.sum(F.col("cnt") * F.col("v")) / F.sum("cnt")
+    if oov == "error":
+        contents = contents.join(vectors, "idx", "left")
+        fail = F.raise_error(F.concat(F.lit("no vector for template "), F.col("idx").cast("string")))
+        contents = contents.withColumn("vec", F.coalesce("vec", fail.cast("array<double>")))
+    elif oov == "skip":
+        contents = contents.join(vectors, "idx")
+    else:
+        raise ValueError("oov must be 'skip' or 'error'")
+    mean = Summarizer.mean(array_to_vector("vec"), F.col("cnt").cast("double"))
+    means = contents.groupBy(*keys).agg(vector_to_array(mean).alias("_mean"))
+    out = means.select(*keys, F.posexplode("_mean").alias("pos", "val"))
     if digits is not None:
-        mean = F.round(mean, digits) + F.lit(0.0)   # + 0.0 turns -0.0 into 0.0
-    return joined.groupBy(*keys, "pos").agg(mean.alias("val"))
+        out = out.withColumn("val", F.round("val", digits) + F.lit(0.0))   # + 0.0 turns -0.0 into 0.0
+    return out
+
+
+def missing_vectors(contents: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Report of templates without a vector: ``(idx, cnt)``."""
+    return (contents.groupBy("idx").agg(F.sum("cnt").alias("cnt"))
+            .join(vectors.select("idx"), "idx", "left_anti"))
 
 
-def dense_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
-    """M4 edge: long-form ``(*keys, idx, freq)`` -> one ``array<double>`` of length ``size`` per window.
+def sparse_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
+    """M4 edge: long-form ``(*keys, idx, freq)`` -> one sparse vector ``features`` per window.
 
-    Each window holds at most ``size`` entries (one per dictionary template),
-    so the per-window list is bounded by the dictionary, not by the log.
+    A window holds an entry per distinct template in it, whatever the dictionary
+    has.  The vector type has no SQL constructor, so one small Python function
+    per window (not per line) wraps the sorted entries.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct("idx", "freq")))
+    make = F.udf(lambda n, idx, freq: Vectors.sparse(n, idx, freq), VectorUDT())
+    entries = F.sort_array(F.collect_list(F.struct("idx", "freq")))
     n = F.lit(size) if isinstance(size, int) else size
-    # ``size`` may be a scalar subquery: project it before the lambda uses it
-    packed = freqs.groupBy(*keys).agg(entries.alias("_m")).withColumn("_n", n)
-    dense = F.transform(F.sequence(F.lit(0), F.col("_n").cast("int") - 1),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return packed.select(*keys, dense.alias("features"))
+    packed = freqs.groupBy(*keys).agg(entries.alias("_e")).withColumn("_n", n.cast("int"))
+    return packed.select(*keys, make("_n", F.col("_e.idx"), F.col("_e.freq")).alias("features"))

@@ -12,24 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_by_program(parsed: DataFrame, programs: DataFrame, path: str,
-                     columns: tuple[str, ...] = ("line_id", "line")) -> str:
-    """K2, F1: keep lines whose program is listed and write them partitioned by program.
+def _write_by_key(table: DataFrame, key: str, path: str, rows_per_file: int, order: str | None) -> str:
+    """Write ``table`` partitioned by ``key`` with at most ``rows_per_file`` rows per file.
 
-    ``programs`` (one column ``program``) is a short list, joined as a
-    semi-join; adaptive execution broadcasts it once its size is known.
-    """
-    kept = parsed.join(programs.select("program").distinct(), "program", "left_semi")
-    kept.select("program", *columns).write.mode("errorifexists").partitionBy("program").parquet(path)
-    return path
-
-
-def compact(table: DataFrame, key: str, path: str, rows_per_file: int = 1_000_000,
-            order: str | None = None) -> str:
-    """K3: rewrite ``table`` partitioned by ``key`` with about ``rows_per_file`` rows per file.
-
-    A key gets ceil(rows / rows_per_file) files, so a hot key (say a third of
-    all rows) is written by many tasks, not one.  Rows are unchanged.
+    A key is dealt over ceil(rows / rows_per_file) salts, so a hot key (say a
+    third of all rows) is written by many tasks and no task writes a small file
+    of every key.  Rows are unchanged.
     """
     sizes = table.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     files = sizes.select(key, F.greatest(F.ceil(F.col("_rows") / F.lit(rows_per_file)), F.lit(1)).alias("_files"))
@@ -46,11 +34,29 @@ def compact(table: DataFrame, key: str, path: str, rows_per_file: int = 1_000_00
     return path
 
 
+def split_by_program(parsed: DataFrame, programs: DataFrame, path: str,
+                     columns: tuple[str, ...] = ("line_id", "line"), rows_per_file: int = 1_000_000) -> str:
+    """K2, F1: keep lines whose program is listed and write them partitioned by program.
+
+    ``programs`` (one column ``program``) is a short list, joined as a
+    semi-join; adaptive execution broadcasts it once its size is known.
+    """
+    kept = parsed.join(programs.select("program").distinct(), "program", "left_semi")
+    return _write_by_key(kept.select("program", *columns), "program", path, rows_per_file, columns[0])
+
+
+def compact(table: DataFrame, key: str, path: str, rows_per_file: int = 1_000_000,
+            order: str | None = None) -> str:
+    """K3: rewrite ``table`` partitioned by ``key`` in files of at most ``rows_per_file`` rows."""
+    return _write_by_key(table, key, path, rows_per_file, order)
+
+
 def file_counts(spark, path: str, key: str) -> DataFrame:
-    """Rows and files per partition value of a written table."""
+    """Rows, files and rows of the largest file per partition value of a written table."""
     t = spark.read.parquet(path)
-    return t.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"),
-                              F.count_distinct(F.col("_metadata.file_path")).alias("n_files"))
+    per_file = t.groupBy(key, F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+    return per_file.groupBy(key).agg(F.sum("_rows").alias("n_lines"), F.count(F.lit(1)).alias("n_files"),
+                                     F.max("_rows").alias("largest"))
 
 
 def write_template_counts(counts: DataFrame, key: str, path: str) -> str:

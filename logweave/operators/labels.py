@@ -39,13 +39,32 @@ def labeled_windows(windows: DataFrame, counts: DataFrame, target: str, w: int,
     return out.select("win", "ws", "we", F.coalesce(F.col("label"), F.lit(0.0)).alias("label"))
 
 
-def training_set(main_freqs: DataFrame, main_labels: DataFrame, target_freqs: DataFrame) -> DataFrame:
-    """Bag union of main windows (with their labels) and target windows (label 1.0).
+def labelled_frequencies(freqs: DataFrame, counts: DataFrame, target: str, w: int) -> DataFrame:
+    """J3 "exact" on frequency rows ``(ws, we, ..)``: adds ``label`` by one join with the distinct targets."""
+    hits = target_times(counts, target).select((F.col("t") - w).alias("ws"), F.col("t").alias("we"), F.lit(1.0).alias("label"))
+    return freqs.join(hits, ["ws", "we"], "left").withColumn("label", F.coalesce(F.col("label"), F.lit(0.0)))
+
+
+def count_window_targets(masked: DataFrame, target: str, w: int, kind: str, x: str = "line_id") -> DataFrame:
+    """Codes of the count windows just before a target line ``x``: ``ceil(x / w) - 1`` (fixed) or ``x - w`` (sliding)."""
+    at = target_events(masked, target).select(F.col(x).alias("_x"))
+    code = F.ceil(F.col("_x") / F.lit(w)).cast("long") - 1 if kind == "fixed" else F.col("_x") - w
+    return at.select(code.alias("win")).where(F.col("win") >= 1).distinct()
+
+
+def labeled_count_windows(contents: DataFrame, masked: DataFrame, target: str, w: int, kind: str) -> DataFrame:
+    """J3 for count windows: ``(win, label)`` of every window in ``contents``."""
+    hits = count_window_targets(masked, target, w, kind).withColumn("label", F.lit(1.0))
+    return (contents.select("win").distinct().join(hits, "win", "left")
+            .select("win", F.coalesce(F.col("label"), F.lit(0.0)).alias("label")))
+
+
+def training_set(main: DataFrame, target_freqs: DataFrame) -> DataFrame:
+    """Bag union of labelled main windows and target windows (label 1.0).
 
     Long form ``(kind, ws, we, label, idx, freq)``.
     """
-    main = main_freqs.join(main_labels.select("ws", "we", "label"), ["ws", "we"]).select(
-        F.lit("main").alias("kind"), "ws", "we", "label", "idx", "freq")
-    tgt = target_freqs.select(F.lit("target").alias("kind"), "ws", "we", F.lit(1.0).alias("label"),
-                              "idx", "freq")
+    cols = ["ws", "we", "label", "idx", "freq"]
+    main = main.select(F.lit("main").alias("kind"), *cols)
+    tgt = target_freqs.withColumn("label", F.lit(1.0)).select(F.lit("target").alias("kind"), *cols)
     return main.unionByName(tgt)

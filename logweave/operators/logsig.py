@@ -7,8 +7,8 @@ contain p (the pair ``('*', '*')`` never counts).  Then
   potential(c) = sum over lines x in c, over pair occurrences p of x: n_c(p) * (n_c(p)/len(c))^2
   score(x, i -> j) = 3 * sum_p (n_j(p)/len_j)^2 - 3 * sum_p (n_i(p)/len_i)^2
 
-Sums are exact integers (``decimal(38,0)``) divided once, so the doubles do
-not depend on summation order.
+Sums are exact integers (in limbs) put together and divided once, so the doubles
+do not depend on summation order, and nothing overflows at any size.
 
 Identical token arrays of a cluster are handled once, with a multiplicity:
 a hot template (half of all lines, say) becomes one row before any pair is
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import STAR, term_pairs, with_signature
-from ..session import checkpoint_dir, materialize
+from ..session import written
 
 BIG = "decimal(38,0)"
 
@@ -53,14 +53,14 @@ def distinct_lines(clustered: DataFrame) -> DataFrame:
 
 
 def shared_lines(clustered: DataFrame) -> DataFrame:
-    """``distinct_lines`` written once to the shared checkpoint folder.
+    """``distinct_lines`` written once to the shared folder.
 
     For operators that read the distinct lines in several branches (pairs,
     lengths, the line-to-rep map): each branch would otherwise re-read and
     re-tokenise the log, since pushed-down filters and pruned columns make the
     branches differ and Spark cannot reuse one exchange for them.
     """
-    return materialize(distinct_lines(clustered))
+    return written(distinct_lines(clustered), "lines")
 
 
 PAIR_KEY = ["_p1", "_p2"]
@@ -131,52 +131,65 @@ def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFra
     Every occurrence of a pair adds n^3/len^2: per (cluster, pair) one
     aggregate gives n and the occurrence count m, and the numerator is
     sum(m * n^3), with no join of the line pairs back to their counts.  The
-    numerator is an exact ``decimal(38,0)`` while it fits; a cluster where
-    some m * n^3 or the sum would pass 10^38 (n near 10^10 lines holding one
-    pair) falls back to a double sum instead of failing the query.
+    product (m * n) * (n * n) is summed exactly in three limbs of base 10^12,
+    so the same sums are taken at every size and do not depend on their order;
+    the limbs meet in one double at the end.
     """
     per_pair = lp.groupBy("cluster", *_pair_key(key)).agg(
-        F.sum("mult").alias("n"), F.sum(F.col("mult").cast(BIG) * F.col("occ")).alias("m"))
+        F.sum("mult").alias("n"), F.sum(F.col("mult") * F.col("occ")).alias("m"))
     n, m = F.col("n").cast(BIG), F.col("m").cast(BIG)
-    exact = F.try_multiply(F.try_multiply(m, n), F.try_multiply(n, n))
-    approx = F.col("m").cast("double") * F.pow(F.col("n").cast("double"), 3)
-    num = per_pair.groupBy("cluster").agg(
-        F.try_sum(exact).alias("_num"),
-        F.count_if(exact.isNull()).alias("_over"),
-        F.sum(approx).alias("_approx"))
+    factors = per_pair.select("cluster", (m * n).cast(BIG).alias("x"), (n * n).cast(BIG).alias("y"))
+    unit = 10 ** 12
+    split = factors.select(
+        "cluster",
+        F.expr(f"x div {unit}BD").alias("x1"), (F.col("x") % F.lit(unit)).cast("long").alias("x0"),
+        F.expr(f"y div {unit}BD").alias("y1"), (F.col("y") % F.lit(unit)).cast("long").alias("y0"))
+    x1, x0, y1, y0 = (F.col(c).cast("decimal(19,0)") for c in ("x1", "x0", "y1", "y0"))
+    num = split.groupBy("cluster").agg(F.sum((x1 * y1).cast(BIG)).alias("_s2"),
+                                       F.sum((x1 * y0).cast(BIG) + (x0 * y1).cast(BIG)).alias("_s1"),
+                                       F.sum((x0 * y0).cast(BIG)).alias("_s0"))
     out = lens.join(num, "cluster", "left")
+    total = (F.col("_s2").cast("double") * 1e24 + F.col("_s1").cast("double") * 1e12 + F.col("_s0").cast("double"))
     sq = F.pow(F.col("len").cast("double"), 2)     # len^2 passes a long past 3e9 lines
-    fits = (F.col("_over") == 0) & F.col("_num").isNotNull()
-    potential = (F.when(F.col("_approx").isNull(), F.lit(0.0))
-                 .when(fits, F.col("_num").cast("double") / sq)
-                 .otherwise(F.col("_approx") / sq))
-    return out.select("cluster", "len", potential.alias("potential"))
+    return out.select("cluster", "len", F.coalesce(total / sq, F.lit(0.0)).alias("potential"))
 
 
-def rep_vectors(groups: DataFrame, k: int) -> DataFrame:
-    """``(rep, ci, _A)`` per distinct line: its cluster and the k sums
+_LIMB = 10 ** 8
+
+
+def rep_vectors(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(rep, ci, *keep, _A)`` per distinct line: its cluster and the k sums
     A_c = sum over the line's pair occurrences of n_c(p)^2.
 
-    Each pair gets the vector of its k per-cluster counts (one aggregate with
-    k conditional sums), each line pair is joined to it once, and one
-    aggregate per line builds all k sums at once: no k-fold fan-out of the
-    pair rows.
+    The pairs of every line are formed once and written.  Each pair gets the
+    vector of its k per-cluster counts (one aggregate with k conditional sums),
+    squared once per distinct pair and split into three limbs of base 10^8, so
+    a line's sums are sums of longs whatever the counts; the decimal is put
+    together once per line.  Both sides of the join are written tables, so
+    adaptive execution can split a hot pair.
     """
-    lp = line_pairs(groups)
+    lp = written(line_pairs(groups), "pairs")
     counts = lp.groupBy(*PAIR_KEY).agg(
         *[F.sum(F.when(F.col("cluster") == c, F.col("mult"))).cast(BIG).alias(f"_n{c}") for c in range(k)])
-    # squared once per distinct pair, not once per line holding it
-    squares = counts.select(*PAIR_KEY, *[(F.col(f"_n{c}") * F.col(f"_n{c}")).alias(f"_q{c}") for c in range(k)])
+    squares = counts.select(*PAIR_KEY, *[(F.col(f"_n{c}") * F.col(f"_n{c}")).cast(BIG).alias(f"_q{c}") for c in range(k)])
+    limbs = []
+    for c in range(k):
+        limbs += [F.expr(f"_q{c} div {_LIMB ** 2}BD").alias(f"_q{c}_2"),
+                  F.expr(f"(_q{c} % {_LIMB ** 2}BD) div {_LIMB}BD").alias(f"_q{c}_1"),
+                  (F.col(f"_q{c}") % F.lit(_LIMB)).cast("long").alias(f"_q{c}_0")]
+    squares = written(squares.select(*PAIR_KEY, *limbs), "squares")
     joined = lp.select("rep", "occ", *PAIR_KEY).join(squares, PAIR_KEY)
-    # exact: n <= 10^12 lines gives n^2 <= 10^24, and a line's sum over its pairs
-    # stays far below the decimal(38,0) limit
     sums = joined.groupBy("rep").agg(
-        *[F.sum(F.col("occ") * F.col(f"_q{c}")).alias(f"_A{c}") for c in range(k)])
-    zero = F.lit(0).cast(BIG)
-    vec = F.array(*[F.coalesce(F.col(f"_A{c}"), zero) for c in range(k)])
+        *[F.sum(F.col("occ") * F.col(f"_q{c}_{i}")).alias(f"_A{c}_{i}") for c in range(k) for i in range(3)])
+
+    def whole(c):
+        limb = [F.coalesce(F.col(f"_A{c}_{i}"), F.lit(0)).cast("decimal(19,0)") for i in range(3)]
+        return ((limb[2] * F.lit(_LIMB ** 2).cast("decimal(17,0)")).cast(BIG)
+                + (limb[1] * F.lit(_LIMB).cast("decimal(9,0)")).cast(BIG) + limb[0]).cast(BIG)
+
     # lines without any pair still get a score (0) for every cluster
-    return (groups.select("rep", F.col("cluster").alias("ci")).join(sums, "rep", "left")
-            .select("rep", "ci", vec.alias("_A")))
+    return (groups.select("rep", F.col("cluster").alias("ci"), *keep).join(sums, "rep", "left")
+            .select("rep", "ci", *keep, F.array(*[whole(c) for c in range(k)]).alias("_A")))
 
 
 def _score_targets(vectors: DataFrame, lens: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
@@ -199,37 +212,40 @@ def _score_targets(vectors: DataFrame, lens: DataFrame, k: int, keep: tuple[str,
     return scored.select(*keep, "ci", "cj", score.alias("score"))
 
 
-def rep_scores(groups: DataFrame, k: int) -> DataFrame:
-    """Scores ``(rep, ci, cj, score)`` of every distinct line for every other cluster 0..k-1."""
-    return _score_targets(rep_vectors(groups, k), cluster_lengths(groups), k, ("rep",))
+def rep_scores(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores ``(rep, *keep, ci, cj, score)`` of every distinct line for every other cluster 0..k-1."""
+    return _score_targets(rep_vectors(groups, k, keep), cluster_lengths(groups), k, ("rep", *keep))
+
+
+_HASH = ("_h1", "_h2")
 
 
-def _line_reps(clustered: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each line with the ``rep`` of its distinct line, joined on (cluster, fingerprint)
-    rather than on the token array."""
-    keyed = clustered.select("line_id", "cluster", *_fingerprint())
-    return keyed.join(groups.select("cluster", "_h1", "_h2", "rep"), ["cluster", "_h1", "_h2"])
+def _keyed(clustered: DataFrame) -> DataFrame:
+    """Lines with the 128-bit fingerprint of their tokens instead of the tokens."""
+    return clustered.select("line_id", "cluster", *_fingerprint())
 
 
 def move_scores(clustered: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """L3: ``(line_id, cluster, target, score)`` for every line and every other cluster.
 
-    Lines meet their distinct line's score vector before the k-1 targets are
-    exploded, so the join carries one row per line, not k-1.
+    Lines meet their distinct line's score vector in one join on (cluster,
+    fingerprint), before the k-1 targets are exploded.
     """
     groups = shared_lines(clustered)
-    per_line = _line_reps(clustered, groups).select("line_id", "rep").join(rep_vectors(groups, k), "rep")
+    vectors = written(rep_vectors(groups, k, _HASH).withColumnRenamed("ci", "cluster"), "vectors")
+    per_line = (_keyed(clustered).join(vectors.select("cluster", *_HASH, "_A"), ["cluster", *_HASH])
+                .select("line_id", F.col("cluster").alias("ci"), "_A"))
     scored = _score_targets(per_line, cluster_lengths(groups), k, ("line_id",))
     score = F.round("score", digits) + F.lit(0.0) if digits is not None else F.col("score")
     return scored.select("line_id", F.col("ci").alias("cluster"), F.col("cj").alias("target"), score.alias("score"))
 
 
-def _decide(scores: DataFrame) -> DataFrame:
-    """Best other cluster per distinct line: ``(rep, _to, gain)``; ``_to`` null = stay."""
-    best = scores.groupBy("rep").agg(
+def _decide(scores: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Best other cluster per distinct line: ``(rep, *keep, ci, _to, gain)``; ``_to`` null = stay."""
+    best = scores.groupBy("rep", *keep, "ci").agg(
         F.max(F.struct(F.col("score"), (-F.col("cj")).alias("neg_j"))).alias("_b"))
     moved = F.col("_b.score") > 0
-    return best.select("rep",
+    return best.select("rep", *keep, "ci",
                        F.when(moved, -F.col("_b.neg_j")).alias("_to"),
                        F.when(moved, F.col("_b.score")).otherwise(F.lit(0.0)).alias("gain"))
 
@@ -241,8 +257,8 @@ def best_moves(clustered: DataFrame, k: int) -> DataFrame:
     ``(line_id, cluster, new_cluster, gain)``; ``gain`` is the exact double.
     """
     groups = shared_lines(clustered)
-    decided = _decide(rep_scores(groups, k))
-    per_line = _line_reps(clustered, groups).join(decided, "rep")
+    decided = written(_decide(rep_scores(groups, k, _HASH), _HASH).withColumnRenamed("ci", "cluster"), "moves")
+    per_line = _keyed(clustered).join(decided.drop("rep"), ["cluster", *_HASH])
     return per_line.select("line_id", "cluster",
                            F.coalesce(F.col("_to"), F.col("cluster")).cast("int").alias("new_cluster"),
                            "gain")
@@ -253,35 +269,39 @@ def _total(groups: DataFrame) -> float:
 
 
 def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash",
-           seed: int = 42) -> DataFrame:
+           seed: int = 42, parts: int = 2) -> DataFrame:
     """L1-L4: iterate synchronous moves while the total potential rises.
 
     ``tokens``: ``(line_id, tokens)`` -> ``(line_id, cluster, tokens)``.  The state is
     one row per distinct line of the initial clustering (identical lines of a
-    cluster always score alike, so they move together); each round is
-    checkpointed in the shared checkpoint folder, so lineage stays short and a
-    lost executor costs at most one round.  Only one number per round (the
-    potential) reaches the driver.
+    cluster always score alike, so they move together).  In round r only the
+    lines with (rep + r) mod ``parts`` = 0 may move: if all moved at once on the
+    old counts, groups would swap places or fall together.  A round that does
+    not raise the potential is taken back; ``parts`` such rounds in a row end the
+    iteration.  Every round is written to the shared folder, so lineage stays
+    short; only one number per round (the potential) reaches the driver.
     """
-    checkpoint_dir(tokens.sparkSession)
     lines = init_clusters(tokens.select("line_id", "tokens"), k, init, seed)
-    groups = distinct_lines(lines).checkpoint()
+    groups = shared_lines(lines)
     state = groups.select("rep", "cluster", "tokens", "mult")
-    best = _total(state)
-    for _ in range(max_iter):
-        decided = _decide(rep_scores(state, k))
-        proposal = (state.join(decided, "rep")
-                    .select("rep", F.coalesce(F.col("_to"), F.col("cluster")).cast("int").alias("cluster"),
-                            "tokens", "mult")
-                    .checkpoint())
+    best, idle = _total(state), 0
+    for r in range(max_iter):
+        decided = _decide(rep_scores(state, k)).select("rep", "_to")
+        turn = F.pmod(F.col("rep") + r, F.lit(parts)) == 0
+        proposal = written(state.join(decided, "rep").select(
+            "rep", F.when(turn & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("cluster")).cast("int").alias("cluster"),
+            "tokens", "mult"), "state")
         value = _total(proposal)
-        if value <= best:
-            break
-        state, best = proposal, value
+        if value > best:
+            state, best, idle = proposal, value, 0
+        else:
+            idle += 1
+            if idle == parts:
+                break
     final = state.select("rep", F.col("cluster").alias("final"))
     keyed = lines.select("line_id", "cluster", "tokens", *_fingerprint())
-    located = keyed.join(groups.select("cluster", "_h1", "_h2", "rep"), ["cluster", "_h1", "_h2"])
-    return located.join(final, "rep").select("line_id", F.col("final").alias("cluster"), "tokens")
+    located = keyed.join(groups.select("cluster", *_HASH, "rep"), ["cluster", *_HASH]).join(final, "rep")
+    return located.select("line_id", F.col("final").alias("cluster"), "tokens")
 
 
 def signatures(clustered: DataFrame, rule: str = "skip_star") -> DataFrame:

@@ -1,8 +1,7 @@
 """Models on ``pyspark.ml`` (M1-M11): the solvers are Spark's own.
 
-Features come from the long-form window frequencies; a window's dense vector
-has one entry per dictionary template, so its size is bounded by the
-dictionary, not by the log.
+Features come from the long-form window frequencies as sparse vectors: an entry
+per distinct template of a window.
 """
 
 from __future__ import annotations
@@ -13,15 +12,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
 from .evaluation import confusion_matrix, with_rates
-from .features import dense_features
+from .features import sparse_features
+from .numbering import number_rows
 
 
 def labelled_vectors(training_long: DataFrame, size, keys=("kind", "ws", "we", "label")) -> DataFrame:
     """M4: ``(kind, ws, we, label, idx, freq)`` -> ``(kind, ws, we, label, features)``."""
-    dense = dense_features(training_long, list(keys), size)
-    return dense.select(*keys, array_to_vector("features").alias("features"))
+    return sparse_features(training_long, list(keys), size)
+
+
+def mean_vectors(means: DataFrame, keys: list[str]) -> DataFrame:
+    """Long-form window means ``(*keys, pos, val)`` -> one dense vector ``features`` per window (embedding size)."""
+    entries = F.sort_array(F.collect_list(F.struct("pos", "val")))
+    packed = means.groupBy(*keys).agg(entries.alias("_e"))
+    return packed.select(*keys, array_to_vector(F.col("_e.val")).alias("features"))
 
 
 def linear_svm(max_iter: int = 100) -> LinearSVC:
@@ -47,9 +53,8 @@ def fit_and_evaluate(estimator, train: DataFrame, test: DataFrame | None = None)
     once to the shared checkpoint folder, so no pass recomputes the window
     pipeline and a lost executor does not either.
     """
-    checkpoint_dir(train.sparkSession)
-    train = train.checkpoint(eager=True)
-    test = train if test is None else test.checkpoint(eager=True)
+    train = written(train, "train")
+    test = train if test is None else written(test, "test")
     model = estimator.fit(train)
     return model, with_rates(confusion_matrix(model.transform(test)))
 
@@ -61,20 +66,31 @@ def tree_description(model) -> str:
 
 def sentences(masked: DataFrame, group: str = "host", order: str = "line_id",
               max_len: int = 1000) -> DataFrame:
-    """Word2Vec input: one sentence per ``group`` in ``order``, cut into pieces of
-    ``max_len`` consecutive order values (the size Word2Vec cuts sentences to
-    anyway).  Every ``collect_list`` is bounded by ``max_len``.
+    """Word2Vec input ``(group, piece, sentence)``: a group's templates in ``order``, cut
+    after every ``max_len`` of its own lines (where Word2Vec cuts a sentence anyway).
+
+    Lines are numbered by (group, order) over all tasks; a line's position is its
+    number less its group's first, so a group of any size is spread and every
+    ``collect_list`` is bounded by ``max_len``.
     """
-    piece = F.floor((F.col(order) - 1) / max_len)
-    grouped = masked.groupBy(group, piece.alias("_piece")).agg(
-        F.sort_array(F.collect_list(F.struct(order, "template"))).alias("_items"))
-    return grouped.select(group, "_piece", F.transform("_items", lambda x: x["template"]).alias("sentence"))
+    numbered = number_rows(masked.select(group, order, "template"), [group, order], name="_no")
+    first = numbered.groupBy(group).agg(F.min("_no").alias("_first"))
+    placed = numbered.join(first, group).withColumn("_at", F.col("_no") - F.col("_first"))
+    grouped = placed.groupBy(group, F.floor(F.col("_at") / max_len).alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "template"))).alias("_items"))
+    return grouped.select(group, "piece", F.transform("_items", lambda x: x["template"]).alias("sentence"))
 
 
-def word2vec(size: int = 50, seed: int = 42, min_count: int = 1, max_len: int = 1000) -> Word2Vec:
-    """M1: template embedding; each template is a word, each sentence a log piece."""
+def word2vec(size: int = 50, seed: int = 42, min_count: int = 1, max_len: int = 1000,
+             partitions: int = 4, iterations: int = 4) -> Word2Vec:
+    """M1: template embedding; each template is a word, each sentence a log piece.
+
+    ``partitions`` tasks train on their share of the sentences and are averaged
+    after each of ``iterations`` passes; raise both with the corpus (passes
+    should not be fewer than partitions).
+    """
     return Word2Vec(vectorSize=size, seed=seed, minCount=min_count, maxSentenceLength=max_len,
-                    inputCol="sentence", outputCol="vec")
+                    numPartitions=partitions, maxIter=iterations, inputCol="sentence", outputCol="vec")
 
 
 def embedding_table(model) -> DataFrame:

@@ -8,9 +8,8 @@ count) and a running sum over that tiny table.
 
 Both the counting and the numbering pass must see the very same partitions.
 A range exchange samples its bounds with a seed taken from its RDD id, so two
-plans over the same data can cut differently; the sorted data is therefore
-checkpointed (reliably, in the shared checkpoint folder) once and both passes
-read the checkpoint.  This is the DataFrame form of RDD ``zipWithIndex``.
+plans over the same data can cut differently; the sorted rows are therefore
+written once (as Parquet in the shared folder) and both passes read them.  This is the DataFrame form of RDD ``zipWithIndex``.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
 
 _LOW_BITS = (1 << 33) - 1   # monotonically_increasing_id: record number in the low 33 bits
 
@@ -33,12 +32,11 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str = "line_no",
                 partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order`` (a unique key)."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = written(ranged, "numbered")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     offsets = offsets_by_group(sizes, ["_part"]).select("_part", "_offset")
     # one row per partition: the broadcast is bounded by ``n``

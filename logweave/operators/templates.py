@@ -71,13 +71,22 @@ def template_counts(masked: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def template_counts_by_host(masked: DataFrame, all_label: str = "ALL") -> DataFrame:
-    """A5: counts per (host, template) plus the all-host total, host = ``all_label``."""
-    agg = masked.groupingSets([["host", "template"], ["template"]], "host", "template").agg(
-        F.count(F.lit(1)).alias("cnt"), F.grouping("host").alias("_all"))
+    """A5: counts per (host, template) plus the all-host total, host = ``all_label``.
+
+    Lines are counted per (host, template) first; the totals roll up those counts.
+    """
+    per_host = masked.groupBy("host", "template").agg(F.count(F.lit(1)).alias("cnt"))
+    agg = per_host.groupingSets([["host", "template"], ["template"]], "host", "template").agg(
+        F.sum("cnt").alias("cnt"), F.grouping("host").alias("_all"))
     host = F.when(F.col("_all") == 1, F.lit(all_label)).otherwise(F.col("host"))
     return agg.select(host.alias("host"), "template", "cnt")
 
 
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """O2: counts in falling order with their rank from 1 (ties by template), written in that order."""
+    return number_rows(counts, [F.col("cnt").desc(), F.col("template").asc()], name="rank")
+
+
 def totals(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Re-aggregate partial counts ``(..., template, cnt)`` to ``(*keys, template, cnt)``."""
     return counts.groupBy(*keys, "template").agg(F.sum("cnt").alias("cnt"))
@@ -97,16 +106,13 @@ def template_dictionary(counts: DataFrame) -> DataFrame:
 
 
 def one_hot_dictionary(dictionary: DataFrame) -> DataFrame:
-    """V2: dense one-hot code of every template as ``(template, pos, bit)``.
+    """V2: one-hot code of every template as ``(template, idx, size)``: a one at ``idx`` of ``size``.
 
-    N = dictionary size enters as a scalar subquery; rows = N * N, inherent to
-    the dense code (the sparse form is the dictionary itself).
+    The dense code would have size * size entries; vectors are built from this
+    form only where a model needs them (:func:`features.sparse_features`).
     """
-    n = dictionary.select(F.count(F.lit(1))).scalar()
-    pos = F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("pos")
-    exploded = dictionary.select("template", "idx", pos)
-    return exploded.select("template", "pos",
-                           F.when(F.col("pos") == F.col("idx"), 1).otherwise(0).alias("bit"))
+    size = dictionary.select(F.count(F.lit(1))).scalar()
+    return dictionary.select("template", "idx", size.cast("int").alias("size"))
 
 
 def top_templates(counts: DataFrame, k: int) -> DataFrame:

@@ -105,10 +105,17 @@ def per_second(masked: DataFrame) -> DataFrame:
     return masked.groupBy("t", "template").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def time_window_contents(counts: DataFrame, w: int, s: int) -> DataFrame:
-    """Lines per (window, template) from per-second counts: ``(win, ws, we, template, cnt)``."""
-    assigned = assign_time_windows(counts, w, s)
-    return assigned.groupBy("win", "ws", "we", "template").agg(F.sum("cnt").alias("cnt"))
+def time_window_contents(counts: DataFrame, w: int, s: int, key: str = "template") -> DataFrame:
+    """Lines per (window, ``key``) from per-second counts: ``(win, ws, we, key, cnt)``.
+
+    Only the window number is exploded and grouped; its borders follow from it.
+    ``key="idx"`` carries the dictionary's number instead of the template text.
+    """
+    b = TimeBounds(counts, w, s, "t")
+    win = F.explode_outer(time_window_codes(F.col("t"), b)).alias("win")
+    assigned = counts.select(win, key, "cnt").where(F.col("win").isNotNull())
+    grouped = assigned.groupBy("win", key).agg(F.sum("cnt").alias("cnt"))
+    return grouped.select("win", b.start(F.col("win")).alias("ws"), b.end(F.col("win")).alias("we"), key, "cnt")
 
 
 # ---- calendar windows ----------------------------------------------------------------
@@ -148,11 +155,11 @@ def target_times(counts: DataFrame, target: str) -> DataFrame:
 
 
 def target_window_contents(counts: DataFrame, target: str, w: int,
-                           include_target: bool = True, parts: int = 4) -> DataFrame:
+                           include_target: bool = True, parts: int = 4, key: str = "template") -> DataFrame:
     """For each target second t0, the window [t0-w, t0] (closed; with
-    ``include_target=False`` the end is open) as ``(ws, we, template, cnt)``.
+    ``include_target=False`` the end is open) as ``(ws, we, key, cnt)``.
 
-    ``counts``: per-second counts ``(t, template, cnt)``.  Range join as a
+    ``counts``: per-second counts ``(t, template, cnt)`` (and ``idx`` for ``key="idx"``).  Range join as a
     bucketed equi-join: rows keyed by floor(t/b) with bucket width
     b = ceil(w/parts); a target is exploded to the buckets its window covers
     (parts + 1 at most), and the exact bounds are checked after the join.  A
@@ -162,7 +169,7 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
     adaptive execution has measured it below the broadcast threshold.
     """
     b = max(1, -(-w // parts))
-    keyed = counts.withColumn("bucket", F.floor(F.col("t") / F.lit(b)))
+    keyed = counts.select("t", key, "cnt", F.floor(F.col("t") / F.lit(b)).alias("bucket"))
     t0 = F.col("t")
     covered = F.sequence(F.floor((t0 - w) / F.lit(b)), F.floor(t0 / F.lit(b)))
     targets = target_times(counts, target).select(
@@ -170,5 +177,5 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
     joined = keyed.join(targets, "bucket")
     upper = (F.col("t") <= F.col("t0")) if include_target else (F.col("t") < F.col("t0"))
     inside = joined.where((F.col("t") >= F.col("t0") - w) & upper)
-    return (inside.groupBy((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), "template")
+    return (inside.groupBy((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), key)
             .agg(F.sum("cnt").alias("cnt")))

@@ -24,8 +24,8 @@ from ..operators import similarity as SM
 from ..operators import templates as TP
 from ..operators import windows as WN
 from ..operators.numbering import number_rows
-from ..session import materialize, scratch_path
-from ..sources import tables
+from ..session import scratch_path, written
+from ..sources import tables, text
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -92,7 +92,18 @@ def template_counts_by_host(spark, sf_dir):
 def seconds(spark, sf_dir) -> DataFrame:
     """Per-second template counts: the shared input of windows, targets and the
     dictionary, materialized once so the log is parsed once per query."""
-    return materialize(WN.per_second(masked(spark, sf_dir)))
+    return written(WN.per_second(masked(spark, sf_dir)), "seconds")
+
+
+def with_idx(sec: DataFrame, d: DataFrame) -> DataFrame:
+    """Per-second counts with the dictionary number beside the template, joined once:
+    everything after it carries the number."""
+    return written(FT.with_index(sec, d), "indexed")
+
+
+def indexed(spark, sf_dir) -> DataFrame:
+    sec = seconds(spark, sf_dir)
+    return with_idx(sec, dictionary_of(sec))
 
 
 def dictionary_of(sec: DataFrame) -> DataFrame:
@@ -174,50 +185,110 @@ def target_windows(spark, sf_dir):
     return target_contents_of(seconds(spark, sf_dir))
 
 
+@query
+def count_windows_sliding_full(spark, sf_dir):
+    return WN.count_window_contents(masked(spark, sf_dir), COUNT_W, "sliding", mode="full")
+
+
+@query
+def target_windows_open(spark, sf_dir):
+    return WN.target_window_contents(seconds(spark, sf_dir), TARGET, W_SIZE, include_target=False)
+
+
+@query
+def template_counts_ranked(spark, sf_dir):
+    return TP.ranked_counts(TP.template_counts(masked(spark, sf_dir)))
+
+
+@query
+def windows_in_order(spark, sf_dir):
+    # O3: count windows by code, templates by name, with their place in that order
+    contents = WN.count_window_contents(masked(spark, sf_dir), COUNT_W, "fixed")
+    return number_rows(contents, ["win", "template"], name="place")
+
+
+def main_frequencies(si: DataFrame) -> DataFrame:
+    return FT.window_frequencies(WN.time_window_contents(si, W_SIZE, W_STEP, "idx"), ["win", "ws", "we"])
+
+
 @query
 def window_frequencies(spark, sf_dir):
     sec = seconds(spark, sf_dir)
-    freqs = FT.window_frequencies(main_windows_of(sec), ["win", "ws", "we"], dictionary_of(sec))
-    return freqs.select("win", "ws", "we", "idx", "template", "cnt", "freq")
+    d = dictionary_of(sec)
+    freqs = main_frequencies(with_idx(sec, d))
+    return freqs.join(d, "idx").select("win", "ws", "we", "idx", "template", "cnt", "freq")
+
+
+@query
+def calendar_window_frequencies(spark, sf_dir):
+    contents = WN.calendar_window_contents(masked(spark, sf_dir), CAL_UNIT, CAL_W)
+    return FT.window_frequencies(contents, ["wkey", "code"])
 
 
 @query
 def window_mean_vector(spark, sf_dir):
-    sec = seconds(spark, sf_dir)
-    contents = FT.with_index(main_windows_of(sec), dictionary_of(sec))
-    vectors = FT.embedding_dictionary(tables.table(spark, sf_dir, "embeddings"))
+    contents = WN.time_window_contents(indexed(spark, sf_dir), W_SIZE, W_STEP, "idx")
+    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
     return FT.window_mean_vector(contents, ["win", "ws", "we"], vectors)
 
 
+@query
+def missing_vectors(spark, sf_dir):
+    # J4 report of the mean vectors: templates that the first ten vectors leave out
+    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings")).where(F.col("idx") < OOV_TOP)
+    return FT.missing_vectors(indexed(spark, sf_dir), vectors)
+
+
 @query
 def labeled_windows(spark, sf_dir):
     sec = seconds(spark, sf_dir)
     return LB.labeled_windows(main_windows_of(sec), sec, TARGET, W_SIZE)
 
 
-def training_of(sec: DataFrame, d: DataFrame) -> DataFrame:
-    """U1 from per-second counts ``sec`` with dictionary ``d``."""
-    main = main_windows_of(sec)
-    freqs = FT.window_frequencies(main, ["win", "ws", "we"], d)
-    lab = LB.labeled_windows(main, sec, TARGET, W_SIZE)
-    tgt = FT.window_frequencies(target_contents_of(sec), ["ws", "we"], d)
-    return LB.training_set(freqs, lab, tgt)
+@query
+def labeled_windows_horizon(spark, sf_dir):
+    sec = seconds(spark, sf_dir)
+    return LB.labeled_windows(main_windows_of(sec), sec, TARGET, W_SIZE, mode="horizon", horizon=W_STEP)
 
 
-def training_long(spark, sf_dir) -> DataFrame:
-    sec = seconds(spark, sf_dir)
-    return training_of(sec, dictionary_of(sec))
+def training_of(si: DataFrame) -> DataFrame:
+    """U1 from indexed per-second counts."""
+    main = LB.labelled_frequencies(main_frequencies(si), si, TARGET, W_SIZE)
+    tgt = FT.window_frequencies(WN.target_window_contents(si, TARGET, W_SIZE, key="idx"), ["ws", "we"])
+    return LB.training_set(main, tgt)
 
 
 @query
 def training_set(spark, sf_dir):
-    return training_long(spark, sf_dir)
+    return training_of(indexed(spark, sf_dir))
+
+
+# ---- count windows: features and labels ------------------------------------------------
+
+def _both_kinds(of_kind) -> DataFrame:
+    one, two = (of_kind(kind).withColumn("kind", F.lit(kind)) for kind in ("fixed", "sliding"))
+    return one.unionByName(two)
+
+
+@query
+def count_window_labels(spark, sf_dir):
+    m = masked(spark, sf_dir)
+    return _both_kinds(lambda kind: LB.labeled_count_windows(
+        WN.count_window_contents(m, COUNT_W, kind), m, TARGET, COUNT_W, kind))
+
+
+@query
+def count_window_vectors(spark, sf_dir):
+    m = masked(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
+    return _both_kinds(lambda kind: FT.window_mean_vector(
+        FT.with_index(WN.count_window_contents(m, COUNT_W, kind), d), ["win"], vectors))
 
 
 # ---- milestone 3: metrics and models -------------------------------------------------
 
-TRAIN_HOSTS = "c0-0c0s"   # held-out evaluation: train on one controller group ...
-TEST_HOSTS = "c0-0c1s"    # ... test on another, same dictionary
+TEST_HOSTS = "c0-0c1s"    # held-out evaluation: train on all other controller groups, same dictionary
 
 
 @query
@@ -226,45 +297,86 @@ def confusion_matrix(spark, sf_dir):
     return EV.confusion_matrix(labels, label="quality", prediction="toxic")
 
 
-def vectors_of(sec: DataFrame, d: DataFrame) -> DataFrame:
+def vectors_of(long: DataFrame, d: DataFrame) -> DataFrame:
     size = d.select(F.count(F.lit(1))).scalar()
-    return MD.labelled_vectors(training_of(sec, d), size)
+    return MD.labelled_vectors(long, size)
+
+
+def all_vectors(spark, sf_dir) -> DataFrame:
+    sec = seconds(spark, sf_dir)
+    d = dictionary_of(sec)
+    return vectors_of(training_of(with_idx(sec, d)), d)
 
 
 @query
 def svm_metrics(spark, sf_dir):
-    sec = seconds(spark, sf_dir)
-    return MD.fit_and_evaluate(MD.linear_svm(100), vectors_of(sec, dictionary_of(sec)))[1]
+    return MD.fit_and_evaluate(MD.linear_svm(100), all_vectors(spark, sf_dir))[1]
 
 
 @query
 def logreg_metrics(spark, sf_dir):
-    sec = seconds(spark, sf_dir)
-    return MD.fit_and_evaluate(MD.logistic_regression(), vectors_of(sec, dictionary_of(sec)))[1]
+    return MD.fit_and_evaluate(MD.logistic_regression(), all_vectors(spark, sf_dir))[1]
+
+
+def held_out(spark, sf_dir):
+    """Training rows of all host groups but one, main windows of that one, and the dictionary."""
+    # one pass over the log: per-second counts by side.  Counts add up, so the
+    # dictionary (both sides) and each side's per-second counts are sums over it
+    side = F.when(F.col("host").startswith(TEST_HOSTS), F.lit("test")).otherwise(F.lit("train"))
+    by_side = written(masked(spark, sf_dir).groupBy(side.alias("side"), "t", "template")
+                      .agg(F.count(F.lit(1)).alias("cnt")), "sides")
+    d = dictionary_of(by_side)
+    train, test = (with_idx(by_side.where(F.col("side") == s).drop("side"), d) for s in ("train", "test"))
+    return training_of(train), training_of(test).where(F.col("kind") == "main"), d
 
 
 @query
 def tree_metrics(spark, sf_dir):
-    # one pass over the log: per-second counts by host group.  Counts add up, so
-    # the dictionary (all groups, one for both logs) and each group's
-    # per-second counts are sums over this one aggregate
-    host = F.col("host")
-    grp = (F.when(host.startswith(TRAIN_HOSTS), F.lit("train"))
-           .when(host.startswith(TEST_HOSTS), F.lit("test")).otherwise(F.lit("other")))
-    by_group = materialize(masked(spark, sf_dir).groupBy(grp.alias("grp"), "t", "template")
-                           .agg(F.count(F.lit(1)).alias("cnt")))
-    d = dictionary_of(by_group)
+    train, test, d = held_out(spark, sf_dir)
+    return MD.fit_and_evaluate(MD.decision_tree(5, 32), vectors_of(train, d), vectors_of(test, d))[1]
+
+
+@query
+def tree_text(spark, sf_dir):
+    # The fitted tree as text lines
+    train, test, d = held_out(spark, sf_dir)
+    model, _ = MD.fit_and_evaluate(MD.decision_tree(5, 32), vectors_of(train, d), vectors_of(test, d))
+    return spark.createDataFrame(list(enumerate(MD.tree_description(model).rstrip().split("\n"))), "line_no int, line string")
+
 
-    def group_seconds(name):
-        return materialize(TP.totals(by_group.where(F.col("grp") == name), ("t",)))
+@query
+def model_label_totals(spark, sf_dir):
+    windows = ["kind", "ws", "we", "label"]
+    everything = training_of(indexed(spark, sf_dir)).select(*windows).distinct()
+    test = held_out(spark, sf_dir)[1].select(*windows).distinct()
+    return (EV.label_totals(everything, "svm").unionByName(EV.label_totals(everything, "logreg"))
+            .unionByName(EV.label_totals(test, "tree")))
+
+
+@query
+def count_window_metrics(spark, sf_dir):
+    # fixed count windows: template frequencies -> logistic regression
+    m = masked(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    contents = WN.count_window_contents(m, COUNT_W, "fixed")
+    freqs = FT.window_frequencies(contents, ["win"], d)
+    lab = LB.labeled_count_windows(contents, m, TARGET, COUNT_W, "fixed")
+    size = d.select(F.count(F.lit(1))).scalar()
+    vectors = MD.labelled_vectors(freqs.join(lab, "win"), size, ("win", "label"))
+    return MD.fit_and_evaluate(MD.logistic_regression(), vectors)[1]
 
-    train = vectors_of(group_seconds("train"), d)
-    test = vectors_of(group_seconds("test"), d)
-    return MD.fit_and_evaluate(MD.decision_tree(5, 32), train, test)[1]
+
+def sentences_of(spark, sf_dir) -> DataFrame:
+    return MD.sentences(masked(spark, sf_dir))
+
+
+@query
+def word2vec_sentences(spark, sf_dir):
+    return sentences_of(spark, sf_dir).select("host", "piece", F.size("sentence").alias("n"))
 
 
 def word2vec_model(spark, sf_dir):
-    return MD.word2vec(50, 42, 1).fit(MD.sentences(masked(spark, sf_dir)))
+    return MD.word2vec(50, 42, 1).fit(sentences_of(spark, sf_dir))
 
 
 @query
@@ -272,6 +384,25 @@ def template_embeddings(spark, sf_dir):
     return MD.embedding_table(word2vec_model(spark, sf_dir))
 
 
+@query
+def template_embedding_sizes(spark, sf_dir):
+    return template_embeddings(spark, sf_dir).select("word", F.size("vector").alias("size"))
+
+
+@query
+def embedding_window_metrics(spark, sf_dir):
+    # trained template vectors -> mean of each time window -> logistic regression
+    sec = seconds(spark, sf_dir)
+    d = dictionary_of(sec)
+    si = with_idx(sec, d)
+    vectors = (template_embeddings(spark, sf_dir).join(d, F.col("word") == F.col("template"))
+               .select("idx", F.col("vector").cast("array<double>").alias("vec")))
+    contents = WN.time_window_contents(si, W_SIZE, W_STEP, "idx")
+    keys = ["win", "ws", "we"]
+    means = MD.mean_vectors(FT.window_mean_vector(contents, keys, vectors, digits=None), keys)
+    return MD.fit_and_evaluate(MD.logistic_regression(), LB.labelled_frequencies(means, si, TARGET, W_SIZE))[1]
+
+
 @query
 def template_synonyms(spark, sf_dir):
     m = masked(spark, sf_dir)
@@ -289,14 +420,45 @@ def similar_vectors(spark, sf_dir):
 
 
 
+LIST_RULE = "length(event_type) > 4"   # the program list names these, and leaves the others out
+FILE_ROWS = 200                         # rows per file of the compacted log
+
+
 def program_list(spark, sf_dir) -> DataFrame:
-    """S3: the program list, here the event types of the events table."""
-    return tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("program")).distinct()
+    """S3: the program list, written as a text file of names and read back."""
+    path = scratch_path(spark, "programs")
+    names = tables.table(spark, sf_dir, "events").where(LIST_RULE).select(F.concat("event_type", F.lit("  ")).alias("value"))
+    names.distinct().write.text(path)
+    return text.read_program_list(spark, path)
+
+
+@query
+def read_text_log(spark, sf_dir):
+    # The rendered log written as text files in line order, read back by glob and numbered
+    path = scratch_path(spark, "log")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = log_lines(spark, sf_dir)
+    lines.repartitionByRange(n, "line_id").sortWithinPartitions("line_id").select("line").write.text(path)
+    read = TP.parse_log(text.read_log_text(spark, path + "/part-*"))
+    return read.join(program_list(spark, sf_dir), "program", "left_semi").select("line_id", "program", "line")
+
+
+@query
+def read_stored_dictionary(spark, sf_dir):
+    # The dictionary written and read back
+    return text.read_dictionary(spark, FL.write_dictionary(dictionary(spark, sf_dir), scratch_path(spark, "dictionary")))
+
+
+@query
+def quarantined(spark, sf_dir):
+    # the rendered log with every seventh line spoilt in one of four ways
+    faulty = tables.spoil(log_lines(spark, sf_dir))
+    return TP.quarantined_lines(faulty).select("line_id", "reason")
 
 
 def _split(spark, sf_dir) -> str:
     return FL.split_by_program(parsed(spark, sf_dir), program_list(spark, sf_dir),
-                               scratch_path(spark, "split"))
+                               scratch_path(spark, "split"), rows_per_file=FILE_ROWS)
 
 
 @query
@@ -308,9 +470,12 @@ def split_by_program(spark, sf_dir):
 @query
 def compact_counts(spark, sf_dir):
     split = spark.read.parquet(_split(spark, sf_dir))
-    out = FL.compact(split, "program", scratch_path(spark, "compact"), 1_000_000, order="line_id")
+    out = FL.compact(split, "program", scratch_path(spark, "compact"), FILE_ROWS, order="line_id")
     counts = FL.file_counts(spark, out, "program")
-    return counts.select(F.col("program").cast("string").alias("program"), "n_lines", "n_files")
+    # hashed salts decide how many files there are; the rules they follow are exact
+    return counts.select(F.col("program").cast("string").alias("program"), "n_lines",
+                         (F.col("n_files") >= F.ceil(F.col("n_lines") / FILE_ROWS)).alias("enough_files"),
+                         (F.col("largest") <= FILE_ROWS).alias("small_enough"))
 
 
 @query
@@ -387,8 +552,22 @@ def logsig_clusters(spark, sf_dir):
 
 
 @query
-def logsig_signatures(spark, sf_dir):
+def logsig_two_rounds(spark, sf_dir):
+    return LS.logsig(logsig_input(spark, sf_dir), K, 2, init="round_robin").select("line_id", "cluster")
+
+
+def signature_input(spark, sf_dir) -> DataFrame:
     p = parsed(spark, sf_dir)
     cluster = F.concat_ws(" ", F.col("program"), F.regexp_extract("message", r"^(\S+)", 1))
     lines = TK.with_logsig_tokens(p.select("line_id", cluster.alias("cluster"), "line"), premask=True)
-    return LS.signatures(lines.select("line_id", "cluster", "tokens"), "skip_star")
+    return lines.select("line_id", "cluster", "tokens")
+
+
+@query
+def logsig_signatures(spark, sf_dir):
+    return LS.signatures(signature_input(spark, sf_dir), "skip_star")
+
+
+@query
+def logsig_signatures_literal(spark, sf_dir):
+    return LS.signatures(signature_input(spark, sf_dir), "literal")

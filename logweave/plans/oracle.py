@@ -7,10 +7,20 @@ tables are registered as views under their own names.
 
 from __future__ import annotations
 
+from ..functions import logline as L
+from ..functions import tokens as T
+
 ORACLE: dict[str, str] = {}
 
 # The syslog view rendered from events (same rule as logweave.sources.tables).
-LOG = """
+
+def mask_sql(text: str) -> str:
+    """P2, P3 in DuckDB, with the patterns of :mod:`logweave.functions.logline`."""
+    return (f"regexp_replace(regexp_replace({text}, '{L.HEX_PATTERN}', '{L.HEX_TOKEN}', 'g'), "
+            f"'{L.DIGIT_PATTERN}', '{L.DIGIT_TOKEN}', 'g')")
+
+
+LOG = f"""
 log AS (
   SELECT event_id + 1 AS line_id,
          '<13>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-00:00 c0-0c' || CAST(user_id % 3 AS VARCHAR)
@@ -28,13 +38,13 @@ parsed AS (
          TRY_CAST(regexp_extract(toks[1], '^<([0-9]+)>', 1) AS INTEGER) AS pri,
          try_strptime(substr(toks[2], 1, 19), '%Y-%m-%dT%H:%M:%S') AS ts,
          toks[3] AS host, toks[4] AS program, toks[5] AS pid,
-         regexp_extract(line, '^\\s*(?:\\S+\\s+){7}(.*)$', 1) AS message,
+         regexp_extract(line, '^\\s*(?:\\S+\\s+){{7}}(.*)$', 1) AS message,
          line
   FROM tok
 ),
 masked AS (
   SELECT line_id, pri, ts, CAST(epoch(ts) AS BIGINT) AS t, host, program, pid, message, line,
-         regexp_replace(regexp_replace(line, '0x[0-9a-f]+', 'mem_addr', 'g'), '[0-9]+', '*', 'g') AS template
+         {mask_sql('line')} AS template
   FROM parsed WHERE ts IS NOT NULL AND program IS NOT NULL
 ),
 counts AS (
@@ -65,8 +75,7 @@ SELECT CASE WHEN grouping(host) = 1 THEN 'ALL' ELSE host END AS host, template,
 FROM masked GROUP BY GROUPING SETS ((host, template), (template))""")
 sql("template_dictionary", "SELECT template, idx FROM dict")
 sql("one_hot_dictionary", """
-SELECT d.template, p.pos, CASE WHEN p.pos = d.idx THEN 1 ELSE 0 END AS bit
-FROM dict d, (SELECT CAST(range AS INTEGER) AS pos FROM range((SELECT count(*) FROM dict))) p""")
+SELECT template, idx, CAST((SELECT count(*) FROM dict) AS INTEGER) AS size FROM dict""")
 sql("oov_templates", """
 SELECT c.template, c.cnt FROM counts c
 WHERE c.template NOT IN (SELECT template FROM counts ORDER BY cnt DESC, template LIMIT 10)""")
@@ -164,15 +173,31 @@ ORDER BY similarity DESC, vec_id LIMIT 5"""
 
 # ---- milestone 4 ----------------------------------------------------------------------
 
-sql("split_by_program", "SELECT program, line_id, line FROM masked WHERE program IN (SELECT DISTINCT event_type FROM events)")
-sql("compact_counts", """
-SELECT program, count(*) AS n_lines, CAST(1 AS BIGINT) AS n_files
-FROM masked WHERE program IN (SELECT DISTINCT event_type FROM events) GROUP BY program""")
+LISTED = "program IN (SELECT event_type FROM events WHERE length(event_type) > 4)"
+sql("split_by_program", f"SELECT program, line_id, line FROM masked WHERE {LISTED}")
+sql("compact_counts", f"""
+SELECT program, count(*) AS n_lines, true AS enough_files, true AS small_enough
+FROM masked WHERE {LISTED} GROUP BY program""")
+sql("read_text_log", f"""
+SELECT line_id, program, line FROM (
+  SELECT row_number() OVER (ORDER BY line_id) AS line_id, program, line FROM masked) WHERE {LISTED}""")
+sql("read_stored_dictionary", "SELECT template, idx FROM dict")
+sql("quarantined", r""",
+bad AS (
+  SELECT line_id, CASE line_id % 7
+           WHEN 0 THEN regexp_replace(line, '^(\S+ \S{16})\S*', '\1')
+           WHEN 1 THEN regexp_replace(line, '^(\S+ \S{10})\S*', '\1')
+           WHEN 2 THEN regexp_replace(line, '^(\S+ \S{4})\S*', '\1')
+           WHEN 3 THEN regexp_extract(line, '^(\S+ \S+ \S+)', 1) ELSE line END AS line
+  FROM log),
+btok AS (SELECT line_id, string_split_regex(trim(line), '\s+') AS toks FROM bad)
+SELECT line_id, CASE WHEN len(toks) < 4 THEN 'too few tokens' ELSE 'bad timestamp' END AS reason FROM btok
+WHERE len(toks) < 4 OR length(toks[2]) < 19 OR try_strptime(substr(toks[2], 1, 19), '%Y-%m-%dT%H:%M:%S') IS NULL""")
 sql("gather_templates", "SELECT program, template, count(*) AS cnt FROM masked GROUP BY program, template")
 ORACLE["sentences_by_source"] = """
 WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT source, count(*) AS n_lines,
-       count(DISTINCT regexp_replace(regexp_replace(line, '0x[0-9a-f]+', 'mem_addr', 'g'), '[0-9]+', '*', 'g')) AS n_words
+       count(DISTINCT """ + mask_sql("line") + """) AS n_words
 FROM l GROUP BY source"""
 
 # ---- milestone 5: LogSig ----------------------------------------------------------------
@@ -181,13 +206,13 @@ FROM l GROUP BY source"""
 def _tokens_sql(text: str) -> str:
     """P6 + P7 (intent weekday rule) in DuckDB."""
     s = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
-    s = f"regexp_replace({s}, '[:|;,]', ' ', 'g')"
-    s = f"regexp_replace({s}, '=', ' = ', 'g')"
-    s = f"regexp_replace({s}, ' [0-9]* ', ' * ', 'g')"
-    return f"list_slice(string_split_regex({s}, '\\s+'), 11, 2147483647)"
+    s = f"regexp_replace({s}, '{T.SEPARATORS}', ' ', 'g')"
+    s = f"regexp_replace({s}, '{T.SPACED_SIGN}', ' {T.SPACED_SIGN} ', 'g')"
+    s = f"regexp_replace({s}, '{T.NUMBER_RUN}', '{T.NUMBER_TOKEN}', 'g')"
+    return f"list_slice(string_split_regex({s}, '\\s+'), {T.HEADER_TOKENS + 1}, 2147483647)"
 
 
-_DAYS = "('Mon', 'Tue', 'Wed', 'Thr', 'Fri', 'Sat', 'Sun', 'Thu')"
+_DAYS = "(" + ", ".join(f"'{day}'" for day in T.WEEKDAYS) + ")"
 
 
 def _weekday_sql(arr: str) -> str:
@@ -251,10 +276,11 @@ SELECT line_id, cluster,
        round(CASE WHEN score > 0 THEN score ELSE 0.0 END, 6) + 0.0 AS gain
 FROM rk WHERE r = 1"""
 
-_SIG_TOKENS = _tokens_sql(
-    "regexp_replace(regexp_replace(line, '0x[0-9a-f]+', 'mem_addr', 'g'), '[0-9]+', '*', 'g')")
+_SIG_TOKENS = _tokens_sql(mask_sql("line"))
+
 
-sql("logsig_signatures", f""",
+def _signatures(rule: str) -> str:
+    return f""",
 st AS (
   SELECT line_id, program || ' ' || regexp_extract(message, '^(\\S+)', 1) AS cluster, {_SIG_TOKENS} AS toks
   FROM masked
@@ -269,7 +295,7 @@ bad AS (
   SELECT DISTINCT slp.line_id FROM slp JOIN snt USING (cluster, a, b) JOIN sln USING (cluster)
   WHERE 2 * snt.n < sln.len
 ),
-kept AS (SELECT * FROM sg WHERE line_id NOT IN (SELECT line_id FROM bad)),
+kept AS (SELECT * FROM sg WHERE line_id NOT IN (SELECT line_id FROM bad) AND {rule}),
 sig AS (
   SELECT cluster,
          CASE WHEN len(tokens) <= 1 THEN ''
@@ -277,4 +303,111 @@ sig AS (
                                                lambda x, i: i = 1 OR x <> tokens[i - 1]), ' ') END AS signature
   FROM kept
 )
-SELECT cluster, signature, count(*) AS cnt FROM sig GROUP BY ALL""")
+SELECT cluster, signature, count(*) AS cnt FROM sig GROUP BY ALL"""
+
+
+sql("logsig_signatures", _signatures("true"))
+sql("logsig_signatures_literal", _signatures("len(list_filter(tokens, lambda x: x = '*')) < 2"))
+
+
+# ---- flags, orders, count windows and label totals ----------------------------------------
+
+sql("count_windows_sliding_full", """
+SELECT unnest(range(greatest(1, line_id - 4), line_id + 1)) AS win, template, count(*) AS cnt FROM masked GROUP BY 1, 2""")
+wsql("target_windows_open", """
+SELECT t0 - 1800 AS ws, t0 AS we, m.template, count(*) AS cnt
+FROM masked m JOIN targets ON m.t >= t0 - 1800 AND m.t < t0 GROUP BY t0, m.template""")
+wsql("labeled_windows_horizon", """
+SELECT k.win, k.ws, k.we, CASE WHEN EXISTS (SELECT 1 FROM targets g WHERE g.t0 > k.we AND g.t0 <= k.we + 600) THEN 1.0 ELSE 0.0 END AS label
+FROM (SELECT DISTINCT win, ws, we FROM tw) k""")
+sql("template_counts_ranked", "SELECT row_number() OVER (ORDER BY cnt DESC, template) AS rank, template, cnt FROM counts")
+sql("windows_in_order", """
+SELECT row_number() OVER (ORDER BY win, template) AS place, win, template, cnt FROM (
+  SELECT CAST(ceil(line_id / 5) AS BIGINT) AS win, template, count(*) AS cnt FROM masked GROUP BY 1, 2)""")
+sql("calendar_window_frequencies", """
+SELECT wkey, code, template, cnt, cnt / sum(cnt) OVER (PARTITION BY wkey, code) AS freq FROM (
+  SELECT date_trunc('day', ts) AS wkey, CAST(hour(ts) // 3 + 1 AS INTEGER) AS code, template, count(*) AS cnt
+  FROM masked GROUP BY 1, 2, 3)""")
+sql("missing_vectors", "SELECT idx, cnt FROM dict JOIN counts USING (template) WHERE idx NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 10)")
+
+COUNT_WINDOWS = """,
+cw AS (
+  SELECT 'fixed' AS kind, CAST(ceil(line_id / 5) AS BIGINT) AS win, template FROM masked
+  UNION ALL SELECT 'sliding', line_id, template FROM masked WHERE line_id < 5
+  UNION ALL SELECT 'sliding', unnest(range(line_id - 4, line_id)), template FROM masked WHERE line_id >= 5
+),
+hit AS (
+  SELECT DISTINCT 'fixed' AS kind, CAST(ceil(line_id / 5) AS BIGINT) - 1 AS win FROM masked WHERE contains(template, ' error ')
+  UNION SELECT 'sliding', line_id - 5 FROM masked WHERE contains(template, ' error ')
+)
+"""
+sql("count_window_labels", COUNT_WINDOWS + """
+SELECT k.kind, k.win, CASE WHEN hit.win IS NULL THEN 0.0 ELSE 1.0 END AS label
+FROM (SELECT DISTINCT kind, win FROM cw) k LEFT JOIN hit ON hit.kind = k.kind AND hit.win = k.win""")
+sql("count_window_vectors", COUNT_WINDOWS + """,
+vecpos AS (SELECT CAST(vec_id AS INTEGER) AS idx, embedding, unnest(range(len(embedding))) AS p FROM embeddings),
+vec AS (SELECT idx, CAST(p AS INTEGER) AS pos, CAST(embedding[p + 1] AS DOUBLE) AS v FROM vecpos),
+cc AS (SELECT kind, win, template, count(*) AS cnt FROM cw GROUP BY ALL)
+SELECT kind, win, pos, round(sum(cnt * v) / sum(cnt), 6) + 0.0 AS val
+FROM cc JOIN dict USING (template) JOIN vec USING (idx) GROUP BY kind, win, pos""")
+
+sql("word2vec_sentences", """
+SELECT host, (r - 1) // 1000 AS piece, CAST(count(*) AS INTEGER) AS n
+FROM (SELECT host, row_number() OVER (PARTITION BY host ORDER BY line_id) AS r FROM masked) GROUP BY ALL""")
+sql("template_embedding_sizes", "SELECT DISTINCT template AS word, CAST(50 AS INTEGER) AS size FROM masked")
+
+
+def _totals(name: str, source: str) -> str:
+    return (f"SELECT '{name}' AS model, count(*) AS n, count_if(label = 1) AS positives, count_if(label = 0) AS negatives, "
+            f"least(count_if(label = 1), count_if(label = 0)) / count(*) AS majority_error FROM {source}")
+
+
+wsql("model_label_totals", """,
+everything AS (SELECT label FROM labels UNION ALL SELECT 1.0 FROM targets),
+gm AS (SELECT t, template FROM masked WHERE starts_with(host, 'c0-0c1s')),
+gb AS (SELECT min(t) AS S, max(t) AS E FROM gm),
+gn AS (SELECT S, E, greatest(CAST(trunc((E - S - 1800) / 600.0 + 1) AS BIGINT), 0) AS n FROM gb),
+gw AS (
+  SELECT S + i * 600 AS ws, S + i * 600 + 1800 AS we FROM (SELECT S, unnest(range(n)) AS i FROM gn)
+  UNION ALL SELECT S + n * 600, E FROM gn
+),
+held AS (
+  SELECT CASE WHEN EXISTS (SELECT 1 FROM gm WHERE contains(template, ' error ') AND t = gw.we AND t - 1800 = gw.ws) THEN 1.0 ELSE 0.0 END AS label
+  FROM gw WHERE EXISTS (SELECT 1 FROM gm WHERE t BETWEEN gw.ws AND gw.we)
+)
+""" + _totals("svm", "everything") + " UNION ALL " + _totals("logreg", "everything") + " UNION ALL " + _totals("tree", "held"))
+
+
+def _round(r: int) -> str:
+    """One damped round of moves on ``state{r}(line_id, rep, cluster, tokens)``, taken back if the potential does not rise."""
+    def potential(name, state):
+        return f"""
+n{name} AS MATERIALIZED (SELECT s.cluster, p.a, p.b, count(*) AS n, sum(p.occ) AS m FROM {state} s JOIN lp p USING (line_id) GROUP BY ALL),
+l{name} AS MATERIALIZED (SELECT cluster, count(*) AS len FROM {state} GROUP BY cluster),
+p{name} AS MATERIALIZED (
+  SELECT sum(CAST(num AS DOUBLE) / CAST(len * len AS DOUBLE)) AS total
+  FROM (SELECT cluster, sum(CAST(m AS HUGEINT) * n * n * n) AS num FROM n{name} GROUP BY cluster) JOIN l{name} USING (cluster))"""
+
+    return f""",{potential(f'a{r}', f'state{r}')},
+v{r} AS MATERIALIZED (
+  SELECT p.line_id, n.cluster AS cj, sum(CAST(p.occ AS HUGEINT) * n.n * n.n) AS A FROM lp p JOIN na{r} n USING (a, b) GROUP BY ALL),
+s{r} AS (
+  SELECT x.line_id, x.cluster, x.rep, x.target,
+         CASE WHEN lj.len IS NULL THEN 0.0 ELSE CAST(3 * coalesce(aj.A, 0) AS DOUBLE) / CAST(lj.len * lj.len AS DOUBLE) END
+         - CAST(3 * coalesce(ai.A, 0) AS DOUBLE) / CAST(li.len * li.len AS DOUBLE) AS score
+  FROM (SELECT line_id, rep, cluster, CAST(j AS INTEGER) AS target FROM (SELECT *, unnest(range(10)) AS j FROM state{r}) WHERE j <> cluster) x
+  LEFT JOIN v{r} aj ON aj.line_id = x.line_id AND aj.cj = x.target
+  LEFT JOIN v{r} ai ON ai.line_id = x.line_id AND ai.cj = x.cluster
+  LEFT JOIN la{r} lj ON lj.cluster = x.target JOIN la{r} li ON li.cluster = x.cluster
+),
+m{r} AS MATERIALIZED (
+  SELECT line_id, rep, CASE WHEN score > 0 AND (rep + {r}) % 2 = 0 THEN target ELSE cluster END AS cluster
+  FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, target) AS k FROM s{r}) WHERE k = 1),{potential(f'b{r}', f'm{r}')},
+state{r + 1} AS MATERIALIZED (
+  SELECT o.line_id, o.rep, CASE WHEN (SELECT total FROM pb{r}) > (SELECT total FROM pa{r}) THEN m.cluster ELSE o.cluster END AS cluster
+  FROM state{r} o JOIN m{r} m USING (line_id))"""
+
+
+ORACLE["logsig_two_rounds"] = LOGSIG + """,
+state0 AS MATERIALIZED (SELECT line_id, cluster, min(line_id) OVER (PARTITION BY cluster, tokens) AS rep FROM ls)""" + _round(0) + _round(1) + """
+SELECT line_id, cluster FROM state2"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_scratch: dict[str, SparkSession] = {}
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -43,7 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder")
         path = tempfile.mkdtemp(prefix="logweave-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
@@ -53,23 +55,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared checkpoint folder."""
+    """A new, unique folder below the shared checkpoint folder, deleted when the driver ends."""
     base = checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
-    return f"{base}{sep}{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)
+    path = f"{base}{sep}{name}-{uuid.uuid4().hex[:12]}"
+    _scratch[path] = spark
+    return path
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+def written(df, name: str = "table"):
+    """``df`` written once as Parquet below the shared folder and read back.
 
     For a derived table that feeds several branches of one plan (pushed-down
     filters make the branches differ, so Spark cannot reuse one exchange for
     them): the input is scanned and parsed once, later plans stay small, and a
-    lost executor re-reads the checkpoint instead of recomputing the lineage.
+    lost executor re-reads the table instead of recomputing the lineage.  The
+    folder is deleted by :func:`drop_written` or when the driver process ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> None:
+    """Delete the scratch folders made so far (best effort)."""
+    while _scratch:
+        path, spark = _scratch.popitem()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone when the process ends
+            return
+
+
+atexit.register(drop_written)

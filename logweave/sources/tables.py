@@ -23,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a source at least one partition per core of the cluster.
-
-    A small Parquet file is one split (one row group), so the per-line regex
-    work after it would run in a single task.  Large inputs already have more
-    splits than cores and pass unchanged (no shuffle is added).
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def severity(value: Column) -> Column:
     return (F.when(value < 20, F.lit("low"))
             .when(value < 60, F.lit("mid"))
@@ -70,11 +57,23 @@ def render_event_line(events: DataFrame) -> DataFrame:
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw log lines ``(line_id, line)`` rendered from ``events``."""
-    return render_event_line(spread(table(spark, sf_dir, "events")))
+    return render_event_line(table(spark, sf_dir, "events"))
+
+
+def spoil(lines: DataFrame) -> DataFrame:
+    """Log lines with faults: of every seven, one each loses the clock's seconds, the clock, the
+    date's month and day, and all tokens behind the host."""
+    kind = F.col("line_id") % 7
+    bad = (F.when(kind == 0, F.regexp_replace("line", r"^(\S+ \S{16})\S*", "$1"))
+           .when(kind == 1, F.regexp_replace("line", r"^(\S+ \S{10})\S*", "$1"))
+           .when(kind == 2, F.regexp_replace("line", r"^(\S+ \S{4})\S*", "$1"))
+           .when(kind == 3, F.regexp_extract("line", r"^(\S+ \S+ \S+)", 1))
+           .otherwise(F.col("line")))
+    return lines.select("line_id", bad.alias("line"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as ``(source, doc_id, line_no, line)``, one row per text line."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("source", "doc_id",
                        F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import offsets_by_group
+from ..session import written
+
+
+SMALL = 1_000_000                    # file splits whose offsets (a few bytes each) may go to every task
 
 
 def read_log_text(spark: SparkSession, glob: str, number: bool = True) -> DataFrame:
@@ -27,8 +31,9 @@ def read_log_text(spark: SparkSession, glob: str, number: bool = True) -> DataFr
         return raw.select(F.col("_seq").alias("line_id"), "line", "path")
     splits = raw.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_size"),
                                                F.min("_seq").alias("_first"))
-    offsets = offsets_by_group(splits, ["path", "_block"]).select("path", "_block", "_first", "_offset")
-    numbered = raw.join(offsets, ["path", "_block"])
+    offsets = written(offsets_by_group(splits, ["path", "_block"]).select("path", "_block", "_first", "_offset"), "splits")
+    # one row per file split: sent to every task while they are few, else joined by shuffles
+    numbered = raw.join(F.broadcast(offsets) if offsets.count() <= SMALL else offsets, ["path", "_block"])
     line_id = F.col("_offset") + (F.col("_seq") - F.col("_first")) + 1
     return numbered.select(line_id.alias("line_id"), "line", "path")
 

@@ -25,10 +25,25 @@ def template_counts(lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return TP.template_counts(TP.mask_templates(TP.parse_log(lines)), keys)
 
 
-def start_counts(spark: SparkSession, directory: str, checkpoint: str, sink: str = "memory",
-                 name: str = "template_counts", keys: tuple[str, ...] = ()):
-    """Run :func:`template_counts` with its own streaming checkpoint; returns the query."""
+def start_counts(spark: SparkSession, directory: str, checkpoint: str, sink: str = "parquet",
+                 name: str = "template_counts", keys: tuple[str, ...] = (), path: str | None = None):
+    """Run :func:`template_counts` with its own streaming checkpoint; returns the query.
+
+    ``parquet`` (default) writes every trigger's changed counts below ``path`` with
+    the trigger number ``batch``; the latest row of a key is its count.  ``memory``
+    keeps the whole result in the driver and is meant for tests.
+    """
     counts = template_counts(stream_lines(spark, directory), keys)
+    if sink == "parquet":
+        if path is None:
+            raise ValueError("the parquet sink needs a path")
+
+        def store(batch: DataFrame, number: int) -> None:
+            # a repeated trigger overwrites its own folder
+            batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+        return (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+                .foreachBatch(store).start())
     writer = (counts.writeStream.outputMode("complete").format(sink)
               .option("checkpointLocation", checkpoint))
     if sink == "memory":
