@@ -22,13 +22,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from logweave.plans import catalog  # noqa: E402
-from logweave.session import build_session  # noqa: E402
+from logweave.session import build_session, drop_written  # noqa: E402
 
 HEADLINE = [
     "template_counts", "template_counts_by_host", "time_windows", "window_frequencies",
     "target_windows", "training_set", "window_mean_vector", "count_windows_sliding",
     "time_sorted_log", "similar_vectors", "sentences_by_source", "pair_counts",
     "cluster_potential", "logsig_scores", "logsig_signatures", "tree_metrics",
+    "logsig_reassign", "logsig_clusters", "svm_metrics", "logreg_metrics", "template_embeddings",
 ]
 
 
@@ -36,7 +37,9 @@ def run(spark, name: str, sf_dir: str) -> float:
     t0 = time.perf_counter()
     df = catalog.QUERIES[name](spark, sf_dir)
     df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - t0
+    took = time.perf_counter() - t0
+    drop_written()
+    return took
 
 
 def main() -> None:
