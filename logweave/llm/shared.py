@@ -1,21 +1,18 @@
-"""Helpers of the operators: scratch tables, worker setup, id handling."""
+"""Helpers of the operators: worker setup, words, id handling."""
 
 from __future__ import annotations
 
-import atexit
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_written, written  # noqa: F401  (the operators' scratch tables)
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_written: dict[str, SparkSession] = {}
 
 SPACE = " \t\n\x0b\x0c\r"                 # the white space between words, \x20 and \x09-\x0D
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -26,34 +23,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([_ROOT, *filter(None, have)])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet below ``spark.checkpoint.dir`` and read back.
-
-    Cuts the lineage: a lost executor re-reads the table.  The folder is
-    dropped by :func:`drop_written` or when the driver process ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written() -> None:
-    """Delete the scratch tables written so far (best effort)."""
-    while _written:
-        path, spark = _written.popitem()
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the session may be gone when the process ends
-            return
-
-
-atexit.register(drop_written)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -65,7 +34,7 @@ def blank(text):
 
 def words_of(text):
     """JVM-side words of a text column: runs of anything but ``SPACE``."""
-    trimmed = F.expr(f"trim(both '{SPACE}' from _t)") if text is None else F.btrim(blank(text), F.lit(SPACE))
+    trimmed = F.btrim(blank(text), F.lit(SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
