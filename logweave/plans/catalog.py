@@ -449,6 +449,19 @@ def read_stored_dictionary(spark, sf_dir):
     return text.read_dictionary(spark, FL.write_dictionary(dictionary(spark, sf_dir), scratch_path(spark, "dictionary")))
 
 
+@query
+def stored_counts(spark, sf_dir):
+    # K1: a result written as a table and read back
+    path = FL.write_result(TP.template_counts(masked(spark, sf_dir)), scratch_path(spark, "result"))
+    return spark.read.parquet(path)
+
+
+@query
+def stored_metrics(spark, sf_dir):
+    # K5: a metrics row written as JSON and read back
+    return spark.read.json(FL.write_metrics(confusion_matrix(spark, sf_dir), scratch_path(spark, "metrics")))
+
+
 @query
 def quarantined(spark, sf_dir):
     # the rendered log with every seventh line spoilt in one of four ways

@@ -181,6 +181,8 @@ FROM masked WHERE {LISTED} GROUP BY program""")
 sql("read_text_log", f"""
 SELECT line_id, program, line FROM (
   SELECT row_number() OVER (ORDER BY line_id) AS line_id, program, line FROM masked) WHERE {LISTED}""")
+sql("stored_counts", "SELECT template, cnt FROM counts")
+ORACLE["stored_metrics"] = ORACLE["confusion_matrix"]
 sql("read_stored_dictionary", "SELECT template, idx FROM dict")
 sql("quarantined", r""",
 bad AS (

@@ -28,3 +28,19 @@ def test_streaming_counts(spark):
     counts = {t.split(" ")[3]: c for t, c in got}
     assert counts == {"fand": 1, "pumpd": 2}          # the unparseable line is left out
     assert sorted(t.split(" ", 2)[2] for t, _ in got) == ["rack*s* fand * - -  idle", "rack*s* pumpd * - -  valve mem_addr after *"]
+
+
+def test_parquet_sink_keeps_the_latest_counts(spark):
+    d = tempfile.mkdtemp(prefix="lw-stream-")
+    out = scratch_path(spark, "stream-out")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    for name, lines in (("a", LINES[:1]), ("b", LINES[1:])):
+        with open(os.path.join(d, f"messages-{name}"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+        q = start_counts(spark, d, ckpt, path=out)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    got = sorted((r.batch, r.template.split(" ")[3], r.cnt) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "pumpd", 1), (1, "fand", 1), (1, "pumpd", 2)]
