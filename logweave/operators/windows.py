@@ -1,8 +1,8 @@
 """Windows over line numbers and time.
 
 Windows are assigned arithmetically; no range join and no driver-side interval
-list.  The bounds S = min(t) and E = max(t) enter the plan as scalar
-subqueries (one small aggregate job; Spark merges the two into one).
+list.  The bounds S = min(t) and E = max(t) are one small aggregate job whose one
+row reaches the driver; they enter the plan as constants.
 
 Time windows are closed on both ends and anchored at S, unlike the built-in
 ``window()`` (half-open, anchored at the epoch), so they are computed here.
@@ -53,16 +53,22 @@ def count_window_contents(masked: DataFrame, w: int, kind: str = "fixed",
 
 
 class TimeBounds:
-    """S, E and the regular window count n as scalar-subquery columns."""
+    """S, E and the regular window count n as constant columns.
+
+    As scalar subqueries they would stand in every expression of a window plan,
+    each with its own copy of the aggregate.
+    """
 
     def __init__(self, log: DataFrame, w: int, s: int, t: str = "t"):
         if s <= 0 or w < 0:
             raise ValueError("window step must be positive and width non-negative")
         self.w, self.s = w, s
-        self.S = log.select(F.min(t)).scalar()
-        self.E = log.select(F.max(t)).scalar()
-        # n = int((E - S - w) / s + 1), truncated toward zero, and never negative
-        self.n = F.greatest(((self.E - self.S - w) / F.lit(float(s)) + 1).cast("long"), F.lit(0).cast("long"))
+        first, last = log.agg(F.min(t), F.max(t)).first()
+        if first is None:                 # an empty log has no windows to fill
+            first = last = 0
+        # windows that end by E: (E - S - w) / s + 1 of them, cut toward zero and never negative
+        n = max(int((last - first - w) / s + 1), 0)
+        self.S, self.E, self.n = (F.lit(v).cast("long") for v in (first, last, n))
 
     def start(self, i: Column) -> Column:
         return F.when(i < self.n, self.S + i * self.s).otherwise(self.S + self.n * self.s)
