@@ -5,13 +5,15 @@ Equal sets form one class, so copies cost one signature.  128 minima per class
 give 32 band keys of 4 full minima each, and a signature of the low 4 bits of
 every minimum, packed into eight longs.
 
-Classes that share a band key meet in a bucket.  Every bucket first pairs its
-members with its least class only (a star, not all pairs).  A pair is kept when
+Classes that share a band key meet in a bucket.  A bucket is worked through in
+stars, not in all pairs: its members are paired with one leader, first its most
+central class, in the next rounds one that hashing picks.  A pair is kept when
 the bit count of its signatures, corrected for chance matches of 4-bit values,
 is not clearly under the threshold, and becomes a link when the Jaccard
 similarity of the whole sets reaches it.  Pairs inside one component need no
-test; in buckets that still hold several components the members outside the
-leader's component are then paired with all members of other components.
+test, so each round leaves less; in the buckets that hold several components at
+the end, every member outside the most common one is tested against all members
+of the others that a longer signature (1024 minima, 2 bits) finds likely.
 
 Bands miss a pair at the threshold with probability (1 - 0.75^4)^32 < 1e-5, and
 less above it; the signature filter with less than 1e-6.
@@ -39,10 +41,15 @@ PERMUTATIONS, BAND_ROWS, LOW_BITS = 128, 4, 4
 BANDS = PERMUTATIONS // BAND_ROWS
 LONGS = PERMUTATIONS * LOW_BITS // 64
 FILTER_BITS = 25
+ROUNDS = 1
+FINE, FINE_BITS = 1024, 2           # signature of the classes that stars leave open
+FINE_MARGIN = 0.075                  # 4.5 standard deviations of its estimate
 
 _rng = np.random.default_rng(7)
 _FACTOR = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+_FINE_FACTOR = _rng.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_SHIFT = _rng.integers(0, 1 << 32, FINE, dtype=np.uint32)
 
 
 def shingle_sets(column, words: int = WORDS):
@@ -60,15 +67,23 @@ def shingle_sets(column, words: int = WORDS):
         at += n
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, factor=_FACTOR, shift=_SHIFT) -> np.ndarray:
     """The least value of every permutation over a set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 1024):
-        np.minimum(least, (_FACTOR[:, None] * x[None, lo:lo + 1024] + _SHIFT[:, None]).min(axis=1), out=least)
+    least = np.full(len(factor), 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 17) // len(factor))
+    for lo in range(0, len(x), step):
+        np.minimum(least, (factor[:, None] * x[None, lo:lo + step] + shift[:, None]).min(axis=1), out=least)
     return least
 
 
+def packed(least: np.ndarray, bits: int) -> np.ndarray:
+    """The low ``bits`` of every minimum of every row, packed into longs."""
+    low = (least & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(least), -1, 64 // bits)
+    place = (np.arange(64 // bits) * bits).astype(np.uint64)
+    return np.bitwise_or.reduce(low << place, axis=2).view(np.int64)
+
+
 def _fold(values, factor):
     """Order-free hash of a set."""
     return int(mix(values * np.uint64(factor)).sum(dtype=np.uint64)) if len(values) else 0
@@ -94,15 +109,13 @@ def _signatures(words):
                 keys = np.zeros((len(sets), BANDS), np.uint64)
                 for j in range(BAND_ROWS):
                     keys = mix(keys * np.uint64(31) + rows[:, :, j] + np.uint64(1))
-                nibble = (least & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(len(sets), LONGS, -1)
-                shift = (np.arange(64 // LOW_BITS) * LOW_BITS).astype(np.uint64)
-                low = np.bitwise_or.reduce(nibble << shift, axis=2)
+                low = packed(least, LOW_BITS)
                 ids = part.column(part.schema.get_field_index("_id")).to_numpy(zero_copy_only=False).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index("doc_id")), pa.array(_signed(mix(k1 ^ ids))),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(k1)), pa.array(_signed(k2)),
                      pa.array([k.tobytes() for k in keys], pa.binary()),
-                     pa.array(list(low.view(np.int64)), pa.list_(pa.int64()))],
+                     pa.array(list(low), pa.list_(pa.int64()))],
                     ["doc_id", "tag", "n", "k1", "k2", "bands", "low"])
     return run
 
@@ -125,44 +138,107 @@ def _sets(words, bits, mask):
     return run
 
 
-def _matches():
-    """Equal 4-bit values of two signatures, by bit counts."""
+def _estimate(left: str, right: str, permutations: int = PERMUTATIONS, bits: int = LOW_BITS):
+    """Collision-corrected similarity from two packed signatures: equal low values by bit counts."""
+    ones = sum(1 << i for i in range(0, 64, bits))
+    ones = ones - (1 << 64) if ones >= 1 << 63 else ones
     total = F.lit(0)
-    for i in range(LONGS):
-        x = F.col("a.low")[i].bitwiseXOR(F.col("b.low")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + (64 // LOW_BITS - F.bit_count(x))
-    return total
+    for i in range(permutations * bits // 64):
+        x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
+        width = 1
+        while width < bits:                               # any differing bit marks the lowest one of its value
+            x = x.bitwiseOR(F.shiftrightunsigned(x, width))
+            width *= 2
+        total = total + (64 // bits - F.bit_count(x.bitwiseAND(F.lit(ones))))
+    chance = 1 / (1 << bits)
+    return (total / permutations - chance) / (1 - chance)
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose collision-corrected estimate of the similarity is at least ``least``."""
-    chance = 1 / (1 << LOW_BITS)
-    low = classes.select("c", "low")
-    joined = (pairs.join(low.alias("a").withColumnRenamed("c", "ca"), F.col("u") == F.col("ca"))
-              .join(low.alias("b").withColumnRenamed("c", "cb"), F.col("v") == F.col("cb")))
-    estimate = (_matches() / PERMUTATIONS - chance) / (1 - chance)
-    return joined.where(estimate >= least).select("u", "v")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, filter_bits: int) -> DataFrame:
-    """Pairs whose whole sets reach ``percent`` per cent Jaccard similarity."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "tag", "k2"), "c")
-    needed = written(needed, "needed")
+    """Pairs whose estimated similarity is at least ``least``."""
+    left = classes.select(F.col("c").alias("u"), F.col("low").alias("_lu"))
+    right = classes.select(F.col("c").alias("v"), F.col("low").alias("_lv"))
+    return pairs.join(left, "u").join(right, "v").where(_estimate("_lu", "_lv") >= least).select("u", "v")
+
+
+def _sets_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, words: int, filter_bits: int) -> DataFrame:
+    """Whole shingle sets ``(c, shingles)`` of the classes ``wanted(c)``, from one text each."""
+    needed = written(wanted.join(classes.select("c", "tag", "k2"), "c"), "needed")
     bits, mask = bit_set(needed.select(F.col("tag").alias("anchor")), filter_bits)
-    sets = (texts.mapInArrow(_sets(words, bits, mask), "tag bigint, k2 bigint, shingles array<bigint>")
-            .join(needed, ["tag", "k2"]).dropDuplicates(["c"]).select("c", "shingles"))
-    sets = written(sets, "sets")
+    return written(texts.mapInArrow(_sets(words, bits, mask), "tag bigint, k2 bigint, shingles array<bigint>")
+                   .join(needed, ["tag", "k2"]).dropDuplicates(["c"]).select("c", "shingles"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(u, v)`` whose whole sets reach ``percent`` per cent Jaccard similarity."""
     both = (pairs.join(sets.select(F.col("c").alias("u"), F.col("shingles").alias("su")), "u")
             .join(sets.select(F.col("c").alias("v"), F.col("shingles").alias("sv")), "v"))
     shared = F.size(F.array_intersect("su", "sv"))
     return both.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label(c, component)`` of all classes with the components that ``links`` connect merged."""
+    left = label.select(F.col("c").alias("u"), F.col("component").alias("cu"))
+    right = label.select(F.col("c").alias("v"), F.col("component").alias("cv"))
+    between = links.join(left, "u").join(right, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = components(between).select(F.col("u").alias("component"), F.col("component").alias("_root"))
+    return written(label.join(merged, "component", "left").select("c", F.coalesce("_root", "component").alias("component")), "labels")
+
+
+def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``(band, key, c, component)`` of the buckets that hold several components."""
+    named = members.join(label, "c")
+    several = (named.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+               .where("a <> b").select("band", "key"))
+    return written(named.select("band", "key", "c", "component").join(several, ["band", "key"], "left_semi"), "open")
+
+
+def _star_pairs(members: DataFrame, pick) -> DataFrame:
+    """Every bucket's members against its one member with the greatest ``pick`` (of another component)."""
+    chosen = members.groupBy("band", "key").agg(F.max(F.struct(pick.alias("p"), F.col("c"), F.col("component"))).alias("m"))
+    chosen = chosen.select("band", "key", F.col("m.c").alias("leader"), F.col("m.component").alias("lead"))
+    pairs = members.join(written(chosen, "leaders"), ["band", "key"]).where("component <> lead")
+    return pairs.select(F.least("leader", "c").alias("u"), F.greatest("leader", "c").alias("v")).distinct()
+
+
+def _fine(batches):
+    """Long signatures ``(c, fine)`` of whole sets."""
+    for batch in batches:
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+        least = np.array([minima(x, _FINE_FACTOR, _FINE_SHIFT) for x in sets], np.uint32).reshape(len(sets), FINE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(packed(least, FINE_BITS)), pa.list_(pa.int64()))], ["c", "fine"])
+
+
+def _rest_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs between what is left: every member outside its bucket's most common component
+    against the bucket's members of other components.
+
+    A longer signature decides what is likely.  It is part of the join's
+    condition, and so is that the bucket is the first one the two share: a
+    likely pair leaves the join once, others never.
+    """
+    sizes = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("m")).select("band", "key", F.col("m.component").alias("main"))
+    fine = (sets.join(members.select("c").distinct(), "c").select("c", "shingles").mapInArrow(_fine, "c bigint, fine array<bigint>")
+            .join(classes.select("c", "bands"), "c"))
+    rows = written(members.join(main, ["band", "key"]).join(written(fine, "fine"), "c"), "rest")
+    outside = rows.where("component <> main").select("band", "key", F.col("c").alias("x"), F.col("component").alias("cx"),
+                                                     F.col("fine").alias("fx"), F.col("bands").alias("bx"))
+    inside = rows.select("band", "key", F.col("c").alias("y"), F.col("component").alias("cy"), F.col("main"),
+                         F.col("fine").alias("fy"), F.col("bands").alias("by"))
+    # two members outside are one pair
+    once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
+    likely = _estimate("fx", "fy", FINE, FINE_BITS) >= percent / 100 - FINE_MARGIN
+    first = ~F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < outside["band"]) & (
+        F.substr(F.col("bx"), i * 8 + 1, F.lit(8)) == F.substr(F.col("by"), i * 8 + 1, F.lit(8))))
+    pairs = outside.join(inside, (outside["band"] == inside["band"]) & (outside["key"] == inside["key"])
+                         & (F.col("cx") != F.col("cy")) & once & likely & first)
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, margin: float = 0.2,
-                    filter_bits: int = FILTER_BITS) -> DataFrame:
+                    rounds: int = ROUNDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row."""
     prepare(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("doc_id").alias("_id"), "text")
@@ -175,30 +251,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substr("bands", i * 8 + 1, F.lit(8)))
     banded = classes.select("c", F.posexplode(keys).alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("c").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(banded.join(buckets, ["band", "key"]).select("band", "key", "c", "leader"), "members")
-
+    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(banded.join(buckets, ["band", "key"]), "members")
+    central = written(members.groupBy("c").agg(F.sum("size").alias("central")), "central")
+    sets = _sets_of(central.select("c"), classes, texts, words, filter_bits)
+    label = central.select("c", F.col("c").alias("component"))
     least = percent / 100 - margin
-    stars = written(members.where("c <> leader").select(F.col("leader").alias("u"), F.col("c").alias("v")).distinct(), "stars")
-    links = written(_confirmed(_likely(stars, classes, least), classes, texts, words, percent, filter_bits), "confirmed")
-    label = components(links)
-
-    # buckets with several components: members outside the leader's one against all of other components
-    own = label.select(F.col("u").alias("c"), F.col("component"))
-    named = (members.join(own, "c", "left").withColumn("component", F.coalesce("component", "c"))
-             .join(own.select(F.col("c").alias("leader"), F.col("component").alias("lead")), "leader", "left")
-             .withColumn("lead", F.coalesce("lead", "leader")))
-    named = written(named.select("band", "key", "c", "component", "lead"), "named")
-    outside = named.where("component <> lead").select("band", "key", F.col("c").alias("x"), F.col("component").alias("cx"))
-    open_buckets = outside.select("band", "key").distinct()
-    inside = named.join(open_buckets, ["band", "key"], "left_semi").select("band", "key", F.col("c").alias("y"), F.col("component").alias("cy"))
-    cross = (outside.join(inside, ["band", "key"]).where("cx <> cy")
-             .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-             .join(stars, ["u", "v"], "left_anti"))
-    more = _confirmed(_likely(cross, classes, least), classes, texts, words, percent, filter_bits)
-    label = written(components(links.unionByName(more)), "labels")
-
-    group = classes.join(label.withColumnRenamed("u", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+    def linked(pairs):
+        return written(_confirmed(pairs, sets, percent), "confirmed")
+
+    # first the most central class leads: the text that many near copies were made from leads all
+    # their buckets.  Then a class that hashing picks anew for every bucket and round
+    now = members.join(central, "c").select("band", "key", "c", F.col("c").alias("component"), "central")
+    label = _joined(label, linked(written(_likely(_star_pairs(now, F.col("central")), classes, least), "likely")))
+    for r in range(rounds):
+        now = _open_members(members, label)
+        pick = F.xxhash64("c", "band", F.lit(r))
+        label = _joined(label, linked(written(_likely(_star_pairs(now, pick), classes, least), "likely")))
+    # what is left in buckets with several components
+    rest = written(_rest_pairs(_open_members(members, label), sets, classes, percent), "rest_pairs")
+    label = _joined(label, linked(rest))
+
+    group = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = group.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = group.join(lowest, "component").select("k1", "k2", "component_id")
     out = signed.select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2"], "left")
