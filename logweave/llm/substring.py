@@ -190,8 +190,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, filte
                         lambda i: F.substr("windows", (i * 5 + 1).cast("int"), F.lit(5)))
     one = written(kinds.select("anchor", "segment", "copies", F.posexplode(fives).alias("j", "w")), "windows")
     again = one.groupBy("anchor", "w").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "w")
-    masks = (one.join(again, ["anchor", "w"]).groupBy("anchor", "segment")
-             .agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask")))
+    # written, so that the join below is of two plain shuffles and a hot segment's rows are split
+    masks = written(one.join(again, ["anchor", "w"]).groupBy("anchor", "segment")
+                    .agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask")), "masks")
     runs = F.when(F.col("mask") == F.expr("shiftleft(1L, size) - 1"), F.array(F.struct(F.lit(0).alias("j"), F.col("size").alias("m")))) \
         .otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.getbit(F.col("mask"), j) == 1),
                                lambda j: F.struct(j.alias("j"), F.lit(1).alias("m"))))
