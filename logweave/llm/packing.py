@@ -32,7 +32,7 @@ from .shared import prepare, written
 
 CAPACITY = 1024
 END_ID = 2
-CACHE = 1 << 19                     # words whose ids a worker remembers
+CACHE = 1 << 18                     # young words whose ids a worker remembers (about 150 MB in all)
 
 # White space as the tokenizer's pattern knows it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -52,19 +52,26 @@ class _Odd(Exception):
     """A word with white space at its edge: its ids depend on its neighbours."""
 
 
-class _Words(dict):
-    """word -> ids as little-endian bytes, learned on first sight; ``lead`` stands before it."""
+class _Known(dict):
+    """text -> ids as little-endian bytes, learned on first sight.
 
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self._encode, self._lead = encode, lead
+    Holds ``size`` entries and as many older ones; when it is full the older
+    half is forgotten, and an older entry that is met again is young again.
+    """
 
-    def __missing__(self, word):
-        if _EDGE.search(word):
-            raise _Odd
-        if len(self) >= CACHE:
+    def __init__(self, encode, size: int):
+        super().__init__()
+        self._encode, self._size = encode, size
+        self._older: dict[str, bytes] = {}
+
+    def __missing__(self, text):
+        ids = self._older.get(text)
+        if ids is None:
+            ids = self._encode(text)
+        if len(self) >= self._size:
+            self._older = dict(self)
             self.clear()
-        ids = self[word] = self._encode(self._lead + word)
+        self[text] = ids
         return ids
 
 
@@ -85,18 +92,30 @@ class Encoder:
         self._split = regex.compile(PATTERN).findall
         self._model = self._tokenizer.model
         self._characters = _byte_characters()
-        self._first, self._later = _Words(self._word, ""), _Words(self._word, " ")
+        self._space = self._characters[32]
+        self._four = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._part = _Known(self._merge, CACHE // 2)     # by part of the pattern
+        self._first = _Known(lambda word: self._word("", word), CACHE // 4)
+        self._later = _Known(lambda word: self._word(" ", word), CACHE)
         self._line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = []
-        for part in self._split(word):
+    def _merge(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():        # of these bytes only the space has a stand-in
+            part = part.replace(" ", self._space)
+        else:
             part = part.encode().decode("latin-1").translate(self._characters)
-            ids += [t.id for t in self._model.tokenize(part)]
-        return np.array(ids, "<u4").tobytes()
+        four = self._four
+        return b"".join([four[t.id] for t in self._model.tokenize(part)])
+
+    def _word(self, lead: str, word: str) -> bytes:
+        if word.isalpha() and word.isascii():            # one part, as are most words
+            return self._part[lead + word]
+        if _EDGE.search(word):
+            raise _Odd
+        return b"".join([self._part[p] for p in self._split(lead + word)])
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

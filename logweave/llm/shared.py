@@ -15,8 +15,14 @@ SPACE = " \t\n\x0b\x0c\r"                 # the white space between words, \x20
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+ROWS_PER_BATCH = "1000"                   # texts are long: Spark's default of 10000 makes large Arrow batches
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep their batches small."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, ROWS_PER_BATCH)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(":")
     if _ROOT not in have:
