@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import decontaminate, language_id, minhash, packing, pii
-from logweave.llm.shared import table, written
+from logweave.llm.shared import numbered, table, written
 
 LEAST_SCORE = 0.4                    # language score under which a document is rejected
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,9 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of every group."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Keeps one row of every group: the least id (null last), then the least row number."""
+    rows, number = numbered(docs, "near_rows")
+    found = minhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    groups = written(found.select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_group"))
+                     .join(rows.select(F.col(number).alias("_at"), F.col("doc_id").alias("_id")), "_at"), "near_groups")
+    first = (groups.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_at")).alias("_m"))
+             .where("_size > 1").select("_group", F.col("_m._at").alias("_first")))
+    gone = groups.join(first, "_group").where("_at <> _first").select("_at")
+    return rows.join(gone, rows[number] == gone["_at"], "left_anti").drop(number)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def numbered(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``df`` written with a number of its own for every row, and that column's name.
+
+    Ids may be null or repeated, so stages that drop rows decide by the number.
+    It is read back from the table: no later scan can deal it out anew.
+    """
+    taken = {c.lower() for c in df.columns}
+    column = "_number"
+    while column in taken:
+        column += "_"
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def blank(text):
     """Null text counts as empty."""
     return F.coalesce(text, F.lit(""))

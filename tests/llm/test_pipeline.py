@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from logweave.llm import pii
+from logweave.llm import decontaminate, pii
 from logweave.llm.shared import table, written
 from tests.llm import brute
 
@@ -49,6 +49,22 @@ def test_stages_follow_each_other(stages):
     assert max(fill.values()) <= 1024 and len(fill) <= np.ceil(sum(fill.values()) / 1024) + 2
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_one_by_one(spark):
+    """A drop concerns the row itself, and one row of every group stays."""
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    a, b, c, d, e = map(words, "abcde")
+    rows = [(None, a + " x"), (1, a), (None, b), (None, c), (None, c), (2, d), (2, d), (3, e), (3, words("f")), (4, e), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for i, t in [(1, a), (None, b), (None, c), (2, d), (3, e), (3, words("f")), (None, "")])
+
+    bench = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    clean = decontaminate.clean(spark.createDataFrame([(None, a), (None, b), (2, a), (2, d), (2, d)], "doc_id bigint, text string"), bench)
+    assert sorted(str(r.doc_id) + r.text for r in clean.collect()) == sorted(["None" + b, "2" + d, "2" + d])
+
+
 def test_registered():
     names = set(E.queries())
     assert "pipeline" in names
