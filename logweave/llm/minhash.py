@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of ``words`` lower-cased words.
 Equal sets form one class, so copies cost one signature.  128 minima per class
-give 32 band keys of 4 full minima each, and a signature of the low 4 bits of
+give 32 band keys of 4 full minima each, and a signature of 4 hashed bits of
 every minimum, packed into eight longs.
 
 Classes that share a band key meet in a bucket.  A bucket is worked through in
@@ -16,7 +16,8 @@ the end, every member outside the most common one is tested against all members
 of the others that a longer signature (1024 minima, 2 bits) finds likely.
 
 Bands miss a pair at the threshold with probability (1 - 0.75^4)^32 < 1e-5, and
-less above it; the signature filter with less than 1e-6.
+less above it; the signature filter with less than 1e-5 (4.2e-6 at the threshold
+for independent matches).
 
 Defined cases: null text, or text without words, has an empty set and stands
 alone; fewer words than a shingle make one shingle of all words; repeated rows
@@ -43,7 +44,7 @@ LONGS = PERMUTATIONS * LOW_BITS // 64
 FILTER_BITS = 25
 ROUNDS = 1
 FINE, FINE_BITS = 1024, 2           # signature of the classes that stars leave open
-FINE_MARGIN = 0.075                  # 4.5 standard deviations of its estimate
+FINE_MARGIN = 0.075                  # 4.6 standard deviations of its estimate at the threshold
 
 _rng = np.random.default_rng(7)
 _FACTOR = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -78,8 +79,15 @@ def minima(shingles: np.ndarray, factor=_FACTOR, shift=_SHIFT) -> np.ndarray:
 
 
 def packed(least: np.ndarray, bits: int) -> np.ndarray:
-    """The low ``bits`` of every minimum of every row, packed into longs."""
-    low = (least & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(least), -1, 64 // bits)
+    """``bits`` of a hash of every minimum of every row, packed into longs.
+
+    The minimum's own low bits would not do: whether two values of one affine
+    permutation agree in them depends on the shingles' low bits alone, so chance
+    matches of all permutations would come together.  The hash takes the
+    permutation's number too.
+    """
+    hashed = mix(least.astype(np.uint64) | (np.arange(least.shape[1], dtype=np.uint64) << np.uint64(32)))
+    low = (hashed >> np.uint64(64 - bits)).reshape(len(least), -1, 64 // bits)
     place = (np.arange(64 // bits) * bits).astype(np.uint64)
     return np.bitwise_or.reduce(low << place, axis=2).view(np.int64)
 

@@ -250,6 +250,38 @@ def test_chain_of_near_copies_is_one_group(spark):
     assert got == bag(brute.near_duplicates(rows))
 
 
+@pytest.mark.parametrize("shared, own", [(3, 0), (6, 1), (9, 1), (12, 2)])
+def test_long_signature_keeps_pairs_of_short_texts(shared, own):
+    """Pairs at 75% or a little above must pass the filter of the last stage, sets of few shingles too."""
+    rng = np.random.default_rng(shared)
+    ones = sum(1 << i for i in range(0, 64, minhash.FINE_BITS))
+    lost = 0
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, shared + 2 * own + (own == 0), dtype=np.uint64)
+        one, two = x[:shared + own], np.concatenate([x[:shared], x[shared + own:]])
+        low = minhash.packed(np.array([minhash.minima(s, minhash._FINE_FACTOR, minhash._FINE_SHIFT) for s in (one, two)]), minhash.FINE_BITS)
+        differ = low[0].view(np.uint64) ^ low[1].view(np.uint64)
+        differ = (differ | (differ >> np.uint64(1))) & np.uint64(ones)
+        equal = 1 - sum(int(d).bit_count() for d in differ) / minhash.FINE
+        chance = 1 / (1 << minhash.FINE_BITS)
+        lost += (equal - chance) / (1 - chance) < minhash.PERCENT / 100 - minhash.FINE_MARGIN
+    assert lost == 0
+
+
+def test_bucket_of_many_short_texts(spark):
+    rng = np.random.default_rng(3)
+    stem = [f"s{i}" for i in range(8)]                    # 4 shingles; every text changes a word at either end or adds one
+    rows = []
+    for i in range(300):
+        w = list(stem)
+        for _ in range(rng.integers(0, 3)):
+            w = w + [f"e{rng.integers(0, 6)}"] if rng.random() < 0.5 else [f"b{rng.integers(0, 6)}"] + w
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = bag((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == bag(brute.near_duplicates(rows))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5)], "u bigint, v bigint")
     got = {r.u: r.component for r in components.components(links).collect()}
