@@ -5,13 +5,15 @@ differ.  Hashes of the masked words of every position of the benchmark items are
 joined with those of the documents.  A hit fixes an alignment; around it, the
 words of both sides are compared one by one, and a ``window`` of aligned words
 with at least ``least`` equal ones is a verified overlap (substitutions only).
-The masks find every window with up to three substitutions in twenty words.
+In a window with two substitutions at most, the masks always have a hit.
 
 Words are lower-cased runs of letters and digits.  Items shorter than the window
-need the same share of their own length.
+need the same share of their own length.  Such an item is cut into one run of
+words more than it may have substitutions, so one run is whole in every match;
+the runs are its seeds, and documents are hashed for the lengths that occur.
 
-Defined cases: null texts have no words; items or documents with fewer words
-than the shortest mask cannot match; repeated items count once per item id,
+Defined cases: null texts and items without words cannot match; a document
+shorter than both window and item cannot; repeated items count once per item id,
 repeated documents are reported once per row's id; null ids are ids like any
 other; other columns are ignored; empty tables give an empty result.
 """
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import blank, numbered, written
 
-MASKS = ((0, 1, 2, 3, 5, 6, 9), (0, 1, 3, 7, 8, 10, 11), (0, 2, 3, 4, 6, 7, 8))
+MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 3, 5, 7, 8), (0, 1, 4, 7, 8, 9, 10))
+SQL_MASKS = ((0, 1, 2, 3, 5, 6, 9), (0, 1, 3, 7, 8, 10, 11), (0, 2, 3, 4, 6, 7, 8))   # the SQL's, which miss some windows
 WINDOW, LEAST = 13, 11
 SMALL = 4_000_000                    # benchmark seeds (16 bytes each) that may be sent to every task
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -33,18 +36,38 @@ def tokens(text):
     return F.filter(F.split(F.lower(blank(text)), _SPLIT), lambda w: w != "")
 
 
-def _seeds(words, at):
+def parts(size: int, window: int = WINDOW, least: int = LEAST) -> list[tuple[int, int]]:
+    """``(start, length)`` of the runs of a short item: one more than its substitutions."""
+    runs = size - -(-least * size // window) + 1
+    cuts = [size * k // runs for k in range(runs + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _seed(number: int, words, at, mask):
+    return F.xxhash64(F.lit(number), *[F.get(words, at + o) for o in mask])
+
+
+def _seeds(words, at, masks):
     """Hash of every mask at position ``at``; null where the mask passes the end."""
     n = F.size(words)
-    return F.array(*[F.when(at + m[-1] < n, F.xxhash64(F.lit(i), *[F.get(words, at + o) for o in m])) for i, m in enumerate(MASKS)])
+    return F.array(*[F.when(at + m[-1] < n, _seed(i, words, at, m)) for i, m in masks.items()])
 
 
-def _positions(rows: DataFrame, *keep) -> DataFrame:
+def _positions(rows: DataFrame, masks: dict, *keep) -> DataFrame:
     """One row per position where the shortest mask fits."""
-    span = min(m[-1] for m in MASKS)
+    span = min(m[-1] for m in masks.values())
     return (rows.where(F.size("words") > span)
             .select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1 - span)).alias("at"))
-            .select(*keep, "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed")).where("seed is not null"))
+            .select(*keep, "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")).where("seed is not null"))
+
+
+def _short_seeds(items: DataFrame, window: int, least: int) -> DataFrame:
+    """The runs of items shorter than the window."""
+    words = F.col("words")
+    runs = [F.when(F.size(words) == m, F.struct(F.lit(a).alias("at"), _seed(len(MASKS) + n, words, F.lit(a), range(n)).alias("seed")))
+            for m in range(1, window) for a, n in parts(m, window, least)]
+    found = items.where(F.size(words) < window).select("item_id", "words", F.explode(F.array(*runs)).alias("run"))
+    return found.where("run is not null").select("item_id", "words", "run.at", "run.seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -53,15 +76,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     ``matched`` is the most equal words in a window of ``compared`` aligned words.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    item_seeds = written(_positions(items, "item_id").select("item_id", F.col("words").alias("item"), F.col("at").alias("j"), "seed"), "seeds")
+    items = written(items, "items")
+    masks = dict(enumerate(MASKS))
+    long = _positions(items.where(F.size("words") >= window), masks, "item_id")
+    item_seeds = written(long.unionByName(_short_seeds(items, window, least)).select("item_id", F.col("words").alias("item"), F.col("at").alias("j"), "seed"), "seeds")
     keys = item_seeds.select("seed").distinct()
     rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    found = _positions(rows, "doc_id")
+    short = [r[0] for r in items.select(F.size("words").alias("m")).where(F.col("m") < window).distinct().collect()]
+    masks |= {len(MASKS) + n: range(n) for m in short for _, n in parts(m, window, least)}
+    found = _positions(rows, masks, "doc_id")
     # the benchmark's seeds go to every task only while they are few; else both sides are dealt out by seed
     small = item_seeds.count() <= SMALL
     hits = found.join(F.broadcast(keys), "seed", "left_semi") if small else found.join(keys, "seed", "left_semi")
     # words around the hit, as far as a window that holds the mask can reach
-    reach = window + max(m[-1] for m in MASKS)
+    reach = window + max(m[-1] for m in masks.values())
     left = F.greatest(F.col("at") - reach, F.lit(0))
     hits = hits.select("doc_id", "seed", "at", (F.col("at") - left).alias("before"),
                        F.slice("words", left + 1, F.col("at") - left + reach + 1).alias("part"))
@@ -96,9 +124,9 @@ def oracle() -> str:
         return " UNION ALL ".join(
             f"SELECT {key}, words, p, {i} AS mask, " + " || ' ' || ".join(f"words[p + {o}]" for o in m)
             + f" AS seed FROM (SELECT {key}, words, unnest(range(1, len(words) - {m[-1]} + 1)) AS p FROM {source})"
-            for i, m in enumerate(MASKS))
+            for i, m in enumerate(SQL_MASKS))
 
-    reach = WINDOW + max(m[-1] for m in MASKS)
+    reach = WINDOW + max(m[-1] for m in SQL_MASKS)
     return f"""
 WITH d AS (SELECT doc_id, {words} AS words FROM documents),
 b AS (SELECT DISTINCT item_id, words FROM (SELECT item_id, {words} AS words FROM benchmark) WHERE len(words) > 0),

@@ -43,6 +43,19 @@ def near_duplicates(rows):
     return out
 
 
+def overlaps(docs, items, window=13, least=11):
+    """``{(doc_id, item_id, matched, compared)}`` by the rule alone: every window against every window."""
+    out = set()
+    for d, dw in docs:
+        for i, iw in items:
+            m = min(window, len(iw))
+            best = max((sum(x == y for x, y in zip(dw[a:a + m], iw[b:b + m]))
+                        for a in range(len(dw) - m + 1) for b in range(len(iw) - m + 1)), default=0)
+            if m and best * window >= m * least:
+                out.add((d, i, best, m))
+    return out
+
+
 def without_repeats(rows, window=35):
     """``[(doc_id, n_words, n_removed, kept_sha256)]``."""
     all_words = [words(t) for _, t in rows]

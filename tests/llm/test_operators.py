@@ -1,5 +1,6 @@
 """Every operator against brute force on messy, empty and small tables."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -60,6 +61,28 @@ def test_decontamination_large_benchmark_takes_the_other_plan(spark, monkeypatch
     assert bag(decontaminate.overlaps(docs, items(spark, [(10, ITEM, "", 0)])).collect()) == few
 
 
+def test_masks_hit_every_window_with_two_substitutions():
+    for gone in itertools.combinations(range(decontaminate.WINDOW), decontaminate.WINDOW - decontaminate.LEAST):
+        assert any(not set(gone) & {at + o for o in m} for m in decontaminate.MASKS for at in range(decontaminate.WINDOW - m[-1])), gone
+
+
+def test_decontamination_by_the_rule_alone(spark):
+    bench, docs = [], []
+    for m in [*range(1, 15), 17]:
+        w = [f"i{m}w{k}" for k in range(m)]
+        bench.append((m, w))
+        for r in range(4 if m == 13 else 3):
+            for gone in itertools.combinations(range(m), r):
+                if r < 3 or sum(gone) % 9 == 0:
+                    docs.append((len(docs), ["a", "b", *("zz" if k in gone else x for k, x in enumerate(w)), "c"][m % 3:]))
+    docs.append((len(docs), []))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    got = decontaminate.overlaps(frame, items(spark, [(i, " ".join(w), "", 0) for i, w in bench])).collect()
+    want = brute.overlaps(docs, bench)
+    assert {i for _, i, _, _ in want} == {i for i, _ in bench}
+    assert bag(got) == bag(want)
+
+
 def test_decontamination_messy_and_empty(spark, messy, empty):
     bench = items(spark, [(1, PROSE, "", 0)])
     assert {r.doc_id for r in decontaminate.overlaps(messy, bench).collect()} == {1, 2, None}
