@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language_id, minhash, outliers, packing, pii, quality_crf, substring, url_filter
+from . import (
+    class_lm, decontaminate, language_id, minhash, outliers, packing, periodic, pii, prefix_trie, quality_crf, substring, syncmers, url_filter,
+)
 from .shared import crc_mod, table
 
 QUERIES = {}
@@ -84,3 +86,22 @@ def op9_class_lm(spark, sf_dir):
 @query
 def op10_quality_rules(spark, sf_dir):
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digest(periodic.periodic_runs(periodic.with_repeats(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.placed(table(spark, sf_dir, "conversations"))
+    return prefix_trie.digest(prefix_trie.trie(prefix_trie.rebuilt(turns), turns.select("conv_id")))
+
+
+ORACLE["op12_prefix_trie"] = prefix_trie.oracle()
+
+
+@query
+def op13_syncmers(spark, sf_dir):
+    return syncmers.digest(syncmers.edited_pairs(table(spark, sf_dir, "documents")))
