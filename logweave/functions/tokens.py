@@ -66,13 +66,30 @@ def with_logsig_tokens(df: DataFrame, line: str = "line", premask: bool = False,
     return base.withColumn(name, weekday_rule(F.col("_p6"), weekday)).drop("_p6")
 
 
-def term_pairs(df: DataFrame, tokens: str = "tokens", keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
-    """Every ordered pair (tokens[i], tokens[j]), i < j, duplicates kept: ``(*keep, a, b)``."""
+def term_pairs(df: DataFrame, tokens: str = "tokens", keep: tuple[str, ...] = ("line_id",), block: int | None = None) -> DataFrame:
+    """Every ordered pair (tokens[i], tokens[j]), i < j, duplicates kept: ``(*keep, a, b)``.
+
+    Without ``block`` a line's pairs are formed by the task that holds it.  With it a
+    line is cut into blocks of so many tokens and its pairs of blocks are dealt over
+    all tasks, so a task forms ``block`` squared pairs of a line at a time.
+    """
     # the outer form: a plain explode makes the optimizer infer size(tokens) > 0 and
     # push it below the tokenising projection, which would run the regexes twice;
     # an empty line yields one (null, null) row, and the second explode drops it
-    pos = df.select(*keep, tokens, F.posexplode_outer(tokens).alias("_i", "a"))
-    rest = F.slice(tokens, F.col("_i") + 2, F.size(tokens) - F.col("_i") - 1)
+    if block is None:
+        pos = df.select(*keep, tokens, F.posexplode_outer(tokens).alias("_i", "a"))
+        rest = F.slice(tokens, F.col("_i") + 2, F.size(tokens) - F.col("_i") - 1)
+        return pos.select(*keep, "a", F.explode(rest).alias("b"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.floor((F.greatest(F.size(tokens), F.lit(1)) - 1) / F.lit(block)).cast("int")
+    left = df.select(*keep, tokens, F.explode_outer(F.sequence(F.lit(0), last)).alias("_x"))
+    both = left.select(*keep, "_x", F.slice(tokens, F.col("_x") * block + 1, block).alias("_l"), tokens,
+                       F.explode_outer(F.sequence(F.col("_x"), last)).alias("_y"))
+    cells = both.select(*keep, "_x", "_y", "_l", F.slice(tokens, F.col("_y") * block + 1, block).alias("_r"))
+    # an explicit partition count: the rows are few beside the pairs they explode into
+    dealt = cells.repartition(n, *keep, "_x", "_y")
+    pos = dealt.select(*keep, "_x", "_y", "_r", F.posexplode_outer("_l").alias("_i", "a"))
+    rest = F.when(F.col("_x") == F.col("_y"), F.slice("_r", F.col("_i") + 2, F.size("_r") - F.col("_i") - 1)).otherwise(F.col("_r"))
     return pos.select(*keep, "a", F.explode(rest).alias("b"))
 
 

@@ -79,6 +79,20 @@ def missing_vectors(contents: DataFrame, vectors: DataFrame) -> DataFrame:
             .join(vectors.select("idx"), "idx", "left_anti"))
 
 
+def coverage(counts: DataFrame, dictionary: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """J4, M10 report: how much of a log ``(*keys, template, cnt)`` a dictionary knows.
+
+    ``(*keys, lines, known_lines, templates, known_templates, line_share)``; the rest is what ``oov="skip"`` leaves out.
+    """
+    known = dictionary.select("template", F.lit(1).alias("_known"))
+    per = counts.groupBy(*keys, "template").agg(F.sum("cnt").alias("cnt")).join(known, "template", "left")
+    has = F.col("_known").isNotNull()
+    out = per.groupBy(*keys).agg(
+        F.sum("cnt").alias("lines"), F.coalesce(F.sum(F.when(has, F.col("cnt"))), F.lit(0)).alias("known_lines"),
+        F.count(F.lit(1)).alias("templates"), F.count_if(has).alias("known_templates"))
+    return out.withColumn("line_share", F.col("known_lines") / F.col("lines"))
+
+
 def sparse_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
     """M4 edge: long-form ``(*keys, idx, freq)`` -> one sparse vector ``features`` per window.
 

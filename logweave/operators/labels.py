@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import target_times
+from .windows import calendar_window, calendar_window_before, target_times
 
 
 def target_events(masked: DataFrame, target: str) -> DataFrame:
@@ -45,18 +45,28 @@ def labelled_frequencies(freqs: DataFrame, counts: DataFrame, target: str, w: in
     return freqs.join(hits, ["ws", "we"], "left").withColumn("label", F.coalesce(F.col("label"), F.lit(0.0)))
 
 
-def count_window_targets(masked: DataFrame, target: str, w: int, kind: str, x: str = "line_id") -> DataFrame:
+def count_window_targets(masked: DataFrame, target: str, w: int, kind: str, x: str = "line_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Codes of the count windows just before a target line ``x``: ``ceil(x / w) - 1`` (fixed) or ``x - w`` (sliding)."""
-    at = target_events(masked, target).select(F.col(x).alias("_x"))
+    at = target_events(masked, target).select(*keys, F.col(x).alias("_x"))
     code = F.ceil(F.col("_x") / F.lit(w)).cast("long") - 1 if kind == "fixed" else F.col("_x") - w
-    return at.select(code.alias("win")).where(F.col("win") >= 1).distinct()
+    return at.select(*keys, code.alias("win")).where(F.col("win") >= 1).distinct()
 
 
-def labeled_count_windows(contents: DataFrame, masked: DataFrame, target: str, w: int, kind: str) -> DataFrame:
-    """J3 for count windows: ``(win, label)`` of every window in ``contents``."""
-    hits = count_window_targets(masked, target, w, kind).withColumn("label", F.lit(1.0))
-    return (contents.select("win").distinct().join(hits, "win", "left")
-            .select("win", F.coalesce(F.col("label"), F.lit(0.0)).alias("label")))
+def labeled_count_windows(contents: DataFrame, masked: DataFrame, target: str, w: int, kind: str,
+                          x: str = "line_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """J3 for count windows: ``(*keys, win, label)`` of every window in ``contents``."""
+    hits = count_window_targets(masked, target, w, kind, x, keys).withColumn("label", F.lit(1.0))
+    return (contents.select(*keys, "win").distinct().join(hits, [*keys, "win"], "left")
+            .select(*keys, "win", F.coalesce(F.col("label"), F.lit(0.0)).alias("label")))
+
+
+def labeled_calendar_windows(contents: DataFrame, masked: DataFrame, target: str, unit: str, w: int) -> DataFrame:
+    """J3, F8 for calendar windows: ``(wkey, code, label)``; 1.0 when the window after it, also in
+    the next parent unit, holds a target line."""
+    at = calendar_window(target_events(masked, target), unit, w).select("wkey", "code").distinct()
+    hits = calendar_window_before(at, unit, w).withColumn("label", F.lit(1.0))
+    return (contents.select("wkey", "code").distinct().join(hits, ["wkey", "code"], "left")
+            .select("wkey", "code", F.coalesce(F.col("label"), F.lit(0.0)).alias("label")))
 
 
 def training_set(main: DataFrame, target_freqs: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ do not depend on summation order, and nothing overflows at any size.
 
 Identical token arrays of a cluster are handled once, with a multiplicity:
 a hot template (half of all lines, say) becomes one row before any pair is
-formed.  Pairs are quadratic in a line's token count, inherent to the method.
+formed.  Pairs are quadratic in a line's token count, inherent to the method; a
+long line's pairs are dealt over tasks by blocks of tokens.
+
+Rounds work on changes: the lines' pairs and a table of each pair's counts per
+cluster are formed once, and a round adds what its moved lines change.
 """
 
 from __future__ import annotations
@@ -73,13 +77,17 @@ def _pair_key(key: str) -> list[str]:
     return PAIR_KEY if key == "hash" else TEXT_KEY
 
 
-def line_pairs(groups: DataFrame, skip_star: bool = True, key: str = "hash") -> DataFrame:
+LONG = 256            # tokens; longer lines are cut into blocks of so many
+
+
+def line_pairs(groups: DataFrame, skip_star: bool = True, key: str = "hash", long: int = LONG) -> DataFrame:
     """Distinct pairs of each distinct line with their occurrence count ``occ``.
 
-    The distinct lines are hash-partitioned by ``rep`` first (a shuffle of one
-    row per distinct line); every pair of a line is then formed in the task
-    that holds the line, and the aggregate on (cluster, rep, mult, pair) needs
-    no second shuffle of the much larger pair rows.
+    ``groups`` is a written table.  Its lines of up to ``long`` tokens are hash-partitioned
+    by ``rep`` first (a shuffle of one row per distinct line); every pair of such a line is
+    then formed in the task that holds it, and the aggregate on (cluster, rep, mult,
+    pair) needs no second shuffle of the much larger pair rows.  Longer lines are dealt
+    over all tasks by pairs of blocks, and their pairs are counted before and after a shuffle.
 
     ``key="hash"`` identifies a pair by a 128-bit fingerprint ``_p1, _p2`` (two
     independently seeded 64-bit hashes of the two terms): later shuffles, joins
@@ -87,17 +95,22 @@ def line_pairs(groups: DataFrame, skip_star: bool = True, key: str = "hash") ->
     ``key="text"`` keeps the terms ``a, b`` (for output).
     """
     cols = _pair_key(key)
+    keep = ("cluster", "rep", "mult")
+
+    def counted(pairs):
+        if skip_star:
+            pairs = pairs.where(~((F.col("a") == STAR) & (F.col("b") == STAR)))
+        if key == "hash":
+            pairs = pairs.select(*keep, F.xxhash64("a", "b").alias("_p1"),
+                                 F.xxhash64(F.lit("pair"), "a", "b").alias("_p2"))
+        return pairs.groupBy(*keep, *cols).agg(F.count(F.lit(1)).alias("occ"))
+
     # an explicit partition count: adaptive coalescing would size this shuffle by
     # its (small) input bytes, not by the pairs each line explodes into
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = term_pairs(groups.repartition(n, "rep"), keep=("cluster", "rep", "mult"))
-    if skip_star:
-        pairs = pairs.where(~((F.col("a") == STAR) & (F.col("b") == STAR)))
-    if key == "hash":
-        pairs = pairs.select("cluster", "rep", "mult",
-                             F.xxhash64("a", "b").alias("_p1"),
-                             F.xxhash64(F.lit("pair"), "a", "b").alias("_p2"))
-    return pairs.groupBy("cluster", "rep", "mult", *cols).agg(F.count(F.lit(1)).alias("occ"))
+    size = F.size("tokens")
+    short = counted(term_pairs(groups.where(size <= long).repartition(n, "rep"), keep=keep))
+    return short.unionByName(counted(term_pairs(groups.where(size > long), keep=keep, block=long)))
 
 
 def pair_counts_of(lp: DataFrame, key: str = "hash") -> DataFrame:
@@ -112,16 +125,12 @@ def cluster_lengths(groups: DataFrame) -> DataFrame:
 
 def pair_counts(clustered: DataFrame) -> DataFrame:
     """A13, F6 on ``(line_id, cluster, tokens)``: ``(cluster, a, b, n)``."""
-    return pair_counts_of(line_pairs(distinct_lines(clustered), key="text"), key="text")
+    return pair_counts_of(line_pairs(shared_lines(clustered), key="text"), key="text")
 
 
 def cluster_potential(clustered: DataFrame) -> DataFrame:
     """A12, A14 on ``(line_id, cluster, tokens)``: ``(cluster, len, potential)``."""
-    return potential_of(shared_lines(clustered))
-
-
-def potential_of(groups: DataFrame) -> DataFrame:
-    """Potential per cluster from distinct lines ``(cluster, tokens, rep, mult)``."""
+    groups = shared_lines(clustered)
     return potential_from(line_pairs(groups), cluster_lengths(groups))
 
 
@@ -137,6 +146,11 @@ def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFra
     """
     per_pair = lp.groupBy("cluster", *_pair_key(key)).agg(
         F.sum("mult").alias("n"), F.sum(F.col("mult") * F.col("occ")).alias("m"))
+    return _potential(per_pair, lens)
+
+
+def _potential(per_pair: DataFrame, lens: DataFrame) -> DataFrame:
+    """Potential per cluster from ``(cluster, n, m)`` per pair."""
     n, m = F.col("n").cast(BIG), F.col("m").cast(BIG)
     factors = per_pair.select("cluster", (m * n).cast(BIG).alias("x"), (n * n).cast(BIG).alias("y"))
     unit = 10 ** 12
@@ -154,42 +168,63 @@ def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFra
     return out.select("cluster", "len", F.coalesce(total / sq, F.lit(0.0)).alias("potential"))
 
 
-_LIMB = 10 ** 8
+def pair_table(lp: DataFrame, k: int) -> DataFrame:
+    """``(<pair>, n0.., m0..)``: per cluster the lines that contain the pair, and its occurrences in them."""
+    def of(c, value):
+        return F.coalesce(F.sum(F.when(F.col("cluster") == c, value)), F.lit(0)).cast("long")
 
+    return lp.groupBy(*PAIR_KEY).agg(*[of(c, F.col("mult")).alias(f"n{c}") for c in range(k)],
+                                     *[of(c, F.col("mult") * F.col("occ")).alias(f"m{c}") for c in range(k)])
 
-def rep_vectors(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(rep, ci, *keep, _A)`` per distinct line: its cluster and the k sums
-    A_c = sum over the line's pair occurrences of n_c(p)^2.
-
-    The pairs of every line are formed once and written.  Each pair gets the
-    vector of its k per-cluster counts (one aggregate with k conditional sums),
-    squared once per distinct pair and split into three limbs of base 10^8, so
-    a line's sums are sums of longs whatever the counts; the decimal is put
-    together once per line.  Both sides of the join are written tables, so
-    adaptive execution can split a hot pair.
+
+_BITS = 28
+_LOW = (1 << _BITS) - 1
+
+
+def _square_limbs(n):
+    """n * n of a count below 2^42 in three limbs of 28 bits.
+
+    With n = a 2^21 + b the square is a^2 2^42 + ab 2^22 + b^2; ab is cut at 6 bits to meet 2^28.
     """
-    lp = written(line_pairs(groups), "pairs")
-    counts = lp.groupBy(*PAIR_KEY).agg(
-        *[F.sum(F.when(F.col("cluster") == c, F.col("mult"))).cast(BIG).alias(f"_n{c}") for c in range(k)])
-    squares = counts.select(*PAIR_KEY, *[(F.col(f"_n{c}") * F.col(f"_n{c}")).cast(BIG).alias(f"_q{c}") for c in range(k)])
-    limbs = []
-    for c in range(k):
-        limbs += [F.expr(f"_q{c} div {_LIMB ** 2}BD").alias(f"_q{c}_2"),
-                  F.expr(f"(_q{c} % {_LIMB ** 2}BD) div {_LIMB}BD").alias(f"_q{c}_1"),
-                  (F.col(f"_q{c}") % F.lit(_LIMB)).cast("long").alias(f"_q{c}_0")]
-    squares = written(squares.select(*PAIR_KEY, *limbs), "squares")
-    joined = lp.select("rep", "occ", *PAIR_KEY).join(squares, PAIR_KEY)
-    sums = joined.groupBy("rep").agg(
-        *[F.sum(F.col("occ") * F.col(f"_q{c}_{i}")).alias(f"_A{c}_{i}") for c in range(k) for i in range(3)])
+    a, b = F.shiftright(n, 21), n.bitwiseAND(F.lit((1 << 21) - 1))
+    low = F.shiftleft((a * b).bitwiseAND(F.lit(63)), 22) + b * b
+    high = F.shiftleft(a * a, 14) + F.shiftright(a * b, 6) + F.shiftright(low, _BITS)
+    return [low.bitwiseAND(F.lit(_LOW)), high.bitwiseAND(F.lit(_LOW)), F.shiftright(high, _BITS)]
+
+
+def _sums(terms: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """``(rep, _A)``: the k sums A_c = sum over the line's pair occurrences of n_c(p)^2, from ``terms``
+    ``(rep, <pair>, occ)`` and the pair table.
+
+    Squares are summed as limbs, in longs, and put together as one decimal per
+    line: exact at any count.  Both sides are written tables, so adaptive execution can split a hot pair.
+    """
+    joined = terms.select("rep", "occ", *PAIR_KEY).join(table.select(*PAIR_KEY, *[f"n{c}" for c in range(k)]), PAIR_KEY)
+    sums = joined.groupBy("rep").agg(*[F.sum(F.col("occ") * limb).alias(f"_A{c}_{i}")
+                                       for c in range(k) for i, limb in enumerate(_square_limbs(F.col(f"n{c}")))])
 
     def whole(c):
-        limb = [F.coalesce(F.col(f"_A{c}_{i}"), F.lit(0)).cast("decimal(19,0)") for i in range(3)]
-        return ((limb[2] * F.lit(_LIMB ** 2).cast("decimal(17,0)")).cast(BIG)
-                + (limb[1] * F.lit(_LIMB).cast("decimal(9,0)")).cast(BIG) + limb[0]).cast(BIG)
+        limb = [F.col(f"_A{c}_{i}").cast("decimal(19,0)") for i in range(3)]
+        return ((limb[2] * F.lit(1 << 2 * _BITS).cast("decimal(17,0)")).cast(BIG)
+                + (limb[1] * F.lit(1 << _BITS).cast("decimal(9,0)")).cast(BIG) + limb[0]).cast(BIG)
+
+    return sums.select("rep", F.array(*[whole(c) for c in range(k)]).alias("_A"))
 
-    # lines without any pair still get a score (0) for every cluster
+
+def _with_sums(groups: DataFrame, sums: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(rep, ci, *keep, _A)``; lines without any pair still get a sum (0) for every cluster."""
+    zero = F.array(*[F.lit(0).cast(BIG) for _ in range(k)])
     return (groups.select("rep", F.col("cluster").alias("ci"), *keep).join(sums, "rep", "left")
-            .select("rep", "ci", *keep, F.array(*[whole(c) for c in range(k)]).alias("_A")))
+            .select("rep", "ci", *keep, F.coalesce("_A", zero).alias("_A")))
+
+
+def rep_vectors(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(rep, ci, *keep, _A)`` per distinct line: its cluster and its k sums (see :func:`_sums`).
+
+    The pairs of every line are formed once and written, as is the table of their counts.
+    """
+    lp = written(line_pairs(groups), "pairs")
+    return _with_sums(groups, _sums(lp, written(pair_table(lp, k), "table"), k), k, keep)
 
 
 def _score_targets(vectors: DataFrame, lens: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
@@ -264,8 +299,55 @@ def best_moves(clustered: DataFrame, k: int) -> DataFrame:
                            "gain")
 
 
-def _total(groups: DataFrame) -> float:
-    return potential_of(groups).agg(F.sum("potential")).first()[0] or 0.0
+def _table_potential(table: DataFrame, lens: DataFrame, k: int) -> float:
+    """Total potential from the pair table."""
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.col(f"n{c}").alias("n"), F.col(f"m{c}").alias("m")) for c in range(k)]))
+    per_pair = table.select(rows.alias("_r")).select("_r.*").where("n > 0")
+    return _potential(per_pair, lens).agg(F.sum("potential")).first()[0] or 0.0
+
+
+def _changed(table: DataFrame, terms: DataFrame, moves: DataFrame, k: int) -> DataFrame:
+    """The pair table after ``moves`` ``(rep, mult, _from, _to)``: only the moved lines' pairs are looked at."""
+    def change(c, value):
+        sign = F.when(F.col("_to") == c, value).when(F.col("_from") == c, -value)
+        return F.coalesce(F.sum(sign), F.lit(0)).cast("long")
+
+    moved = terms.join(moves, "rep")
+    delta = moved.groupBy(*PAIR_KEY).agg(*[change(c, F.col("mult")).alias(f"_n{c}") for c in range(k)],
+                                         *[change(c, F.col("mult") * F.col("occ")).alias(f"_m{c}") for c in range(k)])
+    cols = [f"{x}{c}" for x in "nm" for c in range(k)]
+    return table.join(delta, PAIR_KEY, "left").select(*PAIR_KEY, *[(F.col(x) + F.coalesce(F.col(f"_{x}"), F.lit(0))).alias(x) for x in cols])
+
+
+def rounds(groups: DataFrame, k: int, max_iter: int, parts: int):
+    """Rounds of moves on distinct lines; yields ``(state, table)`` before the first and after every round.
+
+    ``state``: ``(rep, cluster, mult)``; ``table``: the pair table of that state.  The lines' pairs
+    are formed once.  A round scores only the lines whose turn it is, and the table
+    follows from the moved lines' pairs alone.
+    """
+    lp = written(line_pairs(groups), "pairs")
+    terms = lp.select("rep", *PAIR_KEY, "occ")
+    state, table = groups.select("rep", "cluster", "mult"), written(pair_table(lp, k), "table")
+    best, idle = _table_potential(table, cluster_lengths(state), k), 0
+    yield state, table
+    for r in range(max_iter):
+        turn = F.pmod(F.col("rep") + r, F.lit(parts)) == 0
+        vectors = _with_sums(state.where(turn), _sums(terms.where(turn), table, k), k)
+        decided = _decide(_score_targets(vectors, cluster_lengths(state), k, ("rep",)))
+        moves = written(decided.where(F.col("_to").isNotNull()).join(state.select("rep", "mult"), "rep")
+                        .select("rep", "mult", F.col("ci").alias("_from"), F.col("_to").cast("int").alias("_to")), "moves")
+        proposal = written(state.join(moves.select("rep", "_to"), "rep", "left").select(
+            "rep", F.coalesce("_to", "cluster").alias("cluster"), "mult"), "state")
+        changed = written(_changed(table, terms, moves, k), "table")
+        value = _table_potential(changed, cluster_lengths(proposal), k)
+        if value > best:
+            state, table, best, idle = proposal, changed, value, 0
+        else:
+            idle += 1
+        yield state, table
+        if idle == parts:
+            return
 
 
 def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash",
@@ -283,21 +365,8 @@ def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash
     """
     lines = init_clusters(tokens.select("line_id", "tokens"), k, init, seed)
     groups = shared_lines(lines)
-    state = groups.select("rep", "cluster", "tokens", "mult")
-    best, idle = _total(state), 0
-    for r in range(max_iter):
-        decided = _decide(rep_scores(state, k)).select("rep", "_to")
-        turn = F.pmod(F.col("rep") + r, F.lit(parts)) == 0
-        proposal = written(state.join(decided, "rep").select(
-            "rep", F.when(turn & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("cluster")).cast("int").alias("cluster"),
-            "tokens", "mult"), "state")
-        value = _total(proposal)
-        if value > best:
-            state, best, idle = proposal, value, 0
-        else:
-            idle += 1
-            if idle == parts:
-                break
+    for state, _ in rounds(groups, k, max_iter, parts):
+        pass
     final = state.select("rep", F.col("cluster").alias("final"))
     keyed = lines.select("line_id", "cluster", "tokens", *_fingerprint())
     located = keyed.join(groups.select("cluster", *_HASH, "rep"), ["cluster", *_HASH]).join(final, "rep")

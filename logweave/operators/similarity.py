@@ -1,15 +1,25 @@
-"""Top-k similar vectors (V4, O4) for one query vector, no pairwise join.
+"""Top-k similar vectors (V4, O4, M3): for one query vector, or for all at once.
 
-The query vector enters as a scalar subquery; each task keeps its own top k
+One query vector enters as a scalar subquery; each task keeps its own top k
 and Spark merges them (``TakeOrderedAndProject``), so no shuffle of the table.
+
+For all vectors the table is cut into blocks of a fixed number of rows.  Every block
+is a query block and a base block; a task multiplies one pair of blocks as
+matrices and hands on the k best rows of the base block for each query row, so
+memory is two blocks and what is shuffled after it is k rows a query and block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import cosine
+from ..session import written
+from .numbering import number_rows
 
 
 def similar_vectors(vectors: DataFrame, query_id, k: int = 5, key: str = "vec_id",
@@ -22,3 +32,44 @@ def similar_vectors(vectors: DataFrame, query_id, k: int = 5, key: str = "vec_id
         sim = F.round(sim, digits) + F.lit(0.0)
     scored = with_q.select(key, sim.alias("similarity"))
     return scored.orderBy(F.col("similarity").desc(), F.col(key).asc()).limit(k)
+
+
+def _best_of_block(k: int, key: str, digits: int | None):
+    def run(query: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        out = {key: [], "neighbour": [], "similarity": []}
+        if len(query) and len(base):
+            sim = np.stack(query["_v"].to_numpy()) @ np.stack(base["_v"].to_numpy()).T
+            if digits is not None:
+                sim = np.round(sim, digits) + 0.0
+            ids, names = query[key].to_numpy(), base[key].to_numpy()
+            sim[ids[:, None] == names[None, :]] = -np.inf          # never its own neighbour
+            order = np.argsort(names, kind="stable")               # ties go to the lesser name
+            sim, names = sim[:, order], names[order]
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(sim, best, axis=1)
+            good = np.isfinite(value)
+            out = {key: np.repeat(ids, good.sum(axis=1)), "neighbour": names[best[good]], "similarity": value[good]}
+        return pd.DataFrame(out)
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
+                    digits: int | None = 6, block: int = 2048) -> DataFrame:
+    """M3, O4 for every vector: ``(key, rank, neighbour, similarity)``, its ``k`` nearest others by cosine similarity.
+
+    Exact: every pair is compared, in blocks of ``block`` rows.  Ranks go by the (rounded)
+    similarity, ties to the lesser key.  Vectors without length have no direction and no neighbours.
+    """
+    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("_raw"))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.withColumn("_norm", norm).where("_norm > 0").select(key, F.transform("_raw", lambda x: x / F.col("_norm")).alias("_v"))
+    placed = written(number_rows(unit, [key], name="_no").select(key, "_v", F.floor((F.col("_no") - 1) / F.lit(block)).alias("_b")), "blocks")
+    last = placed.agg(F.max("_b")).first()[0]
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(last or 0)))
+    query = placed.select(F.col("_b").alias("_q"), blocks.alias("_s"), key, "_v")
+    base = placed.select(F.col("_b").alias("_s"), blocks.alias("_q"), key, "_v")
+    kind = T.StructType([T.StructField(key, placed.schema[key].dataType), T.StructField("neighbour", placed.schema[key].dataType),
+                         T.StructField("similarity", T.DoubleType())])
+    found = (query.groupBy("_q", "_s").cogroup(base.groupBy("_q", "_s")).applyInPandas(_best_of_block(k, key, digits), kind))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("similarity").desc(), "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", "neighbour", "similarity")

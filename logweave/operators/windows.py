@@ -10,9 +10,12 @@ Time windows are closed on both ends and anchored at S, unlike the built-in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .numbering import sums_before
+
 # ---- count windows -------------------------------------------------------------------
 
 
@@ -38,15 +41,18 @@ def sliding_count_windows(x: Column, w: int, mode: str = "reference") -> Column:
 
 
 def count_window_contents(masked: DataFrame, w: int, kind: str = "fixed",
-                          mode: str = "reference", x: str = "line_id") -> DataFrame:
-    """Lines per (window code, template): ``(win, template, cnt)``."""
+                          mode: str = "reference", x: str = "line_id", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines per (window code, template): ``(*keys, win, template, cnt)``.
+
+    ``x`` numbers the lines from 1, within each ``keys`` group if there are keys.
+    """
     if kind == "fixed":
         win = fixed_count_window(F.col(x), w)
-        assigned = masked.select(win.alias("win"), "template")
+        assigned = masked.select(*keys, win.alias("win"), "template")
     else:
-        assigned = masked.select(F.explode(sliding_count_windows(F.col(x), w, mode)).alias("win"),
+        assigned = masked.select(*keys, F.explode(sliding_count_windows(F.col(x), w, mode)).alias("win"),
                                  "template")
-    return assigned.groupBy("win", "template").agg(F.count(F.lit(1)).alias("cnt"))
+    return assigned.groupBy(*keys, "win", "template").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 # ---- sliding time windows ------------------------------------------------------------
@@ -111,6 +117,11 @@ def per_second(masked: DataFrame) -> DataFrame:
     return masked.groupBy("t", "template").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def template_totals(masked: DataFrame) -> DataFrame:
+    """Lines per template ``(template, cnt)``."""
+    return masked.groupBy("template").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def time_window_contents(counts: DataFrame, w: int, s: int, key: str = "template") -> DataFrame:
     """Lines per (window, ``key``) from per-second counts: ``(win, ws, we, key, cnt)``.
 
@@ -129,8 +140,11 @@ def time_window_contents(counts: DataFrame, w: int, s: int, key: str = "template
 _PARENT = {"second": "minute", "minute": "hour", "hour": "day"}
 
 
-def calendar_window_contents(masked: DataFrame, unit: str, w: int, ts: str = "ts") -> DataFrame:
-    """code = value of ``unit`` div w + 1, restarting in each parent unit.
+_VALUES = {"second": 60, "minute": 60, "hour": 24}
+
+
+def calendar_window(masked: DataFrame, unit: str, w: int, ts: str = "ts") -> DataFrame:
+    """Adds ``wkey, code``: code = value of ``unit`` div w + 1, restarting in each parent unit.
 
     The key keeps the parent time (``wkey`` = ts truncated to the parent unit),
     so codes from different hours or days do not merge.
@@ -148,10 +162,25 @@ def calendar_window_contents(masked: DataFrame, unit: str, w: int, ts: str = "ts
         "minute": F.make_timestamp_ntz(F.year(col), F.month(col), F.dayofmonth(col), F.hour(col),
                                        F.minute(col), zero),
     }[_PARENT[unit]]
-    keyed = masked.select(parent.alias("wkey"), code.alias("code"), "template")
+    return masked.withColumns({"wkey": parent, "code": code})
+
+
+def calendar_window_contents(masked: DataFrame, unit: str, w: int, ts: str = "ts") -> DataFrame:
+    """Lines per (calendar window, template): ``(wkey, code, template, cnt)``."""
+    keyed = calendar_window(masked, unit, w, ts).select("wkey", "code", "template")
     return keyed.groupBy("wkey", "code", "template").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def calendar_window_before(windows: DataFrame, unit: str, w: int) -> DataFrame:
+    """The calendar window before each ``(wkey, code)``, across the parent's border: code 1 follows the
+    last code of the parent unit before it."""
+    last = (_VALUES[unit] - 1) // w + 1
+    border = F.col("code") == 1
+    return windows.select(
+        F.when(border, F.col("wkey") - F.expr(f"interval 1 {_PARENT[unit]}")).otherwise(F.col("wkey")).alias("wkey"),
+        F.when(border, F.lit(last)).otherwise(F.col("code") - 1).cast("int").alias("code"))
+
+
 # ---- target (pre-failure) windows ----------------------------------------------------
 
 
@@ -161,27 +190,42 @@ def target_times(counts: DataFrame, target: str) -> DataFrame:
 
 
 def target_window_contents(counts: DataFrame, target: str, w: int,
-                           include_target: bool = True, parts: int = 4, key: str = "template") -> DataFrame:
-    """For each target second t0, the window [t0-w, t0] (closed; with
+                           include_target: bool = True, key: str = "template") -> DataFrame:
+    """For each target second t0, the window [t0-w, t0] (closed; with
     ``include_target=False`` the end is open) as ``(ws, we, key, cnt)``.
 
-    ``counts``: per-second counts ``(t, template, cnt)`` (and ``idx`` for ``key="idx"``).  Range join as a
-    bucketed equi-join: rows keyed by floor(t/b) with bucket width
-    b = ceil(w/parts); a target is exploded to the buckets its window covers
-    (parts + 1 at most), and the exact bounds are checked after the join.  A
-    target reads about w + b seconds of rows for the w + 1 it needs (b = w
-    would read 2w), and a hot bucket is small.  Hot buckets are further split
-    by adaptive skew-join handling; the target side is broadcast only when
-    adaptive execution has measured it below the broadcast threshold.
+    ``counts``: per-second counts ``(t, template, cnt)`` (and ``idx`` for ``key="idx"``).  Targets lie
+    close together, so their windows share most lines; no line is joined with the
+    targets near it.  Instead cnt = C(t0) - C(t0 - w - 1), with C the running count
+    of a template:
+
+    1. The templates of a target's window lie in the buckets (of w seconds) that it
+       covers: targets meet *distinct* (bucket, template) rows, at most one per template.
+    2. Each (target, template) asks for C at two times.  The questions are sorted
+       among the template's rows of the same bucket (3 w rows at most), and one
+       running sum answers them (an as-of look-up of the last row).
+    3. What a template had before a bucket is a running sum over buckets, by
+       stretches (:func:`numbering.sums_before`), so a hot template is dealt over many groups.
     """
-    b = max(1, -(-w // parts))
-    keyed = counts.select("t", key, "cnt", F.floor(F.col("t") / F.lit(b)).alias("bucket"))
-    t0 = F.col("t")
-    covered = F.sequence(F.floor((t0 - w) / F.lit(b)), F.floor(t0 / F.lit(b)))
-    targets = target_times(counts, target).select(
-        F.col("t").alias("t0"), F.explode_outer(covered).alias("bucket"))
-    joined = keyed.join(targets, "bucket")
-    upper = (F.col("t") <= F.col("t0")) if include_target else (F.col("t") < F.col("t0"))
-    inside = joined.where((F.col("t") >= F.col("t0") - w) & upper)
-    return (inside.groupBy((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), key)
-            .agg(F.sum("cnt").alias("cnt")))
+    b = max(1, w)
+
+    def bucket(t):
+        return F.floor(t / F.lit(b))
+
+    t0 = F.col("t0")
+    rows = counts.select(key, bucket(F.col("t")).alias("bucket"), "t", "cnt")
+    targets = target_times(counts, target).withColumnRenamed("t", "t0")
+    covered = targets.select("t0", F.explode_outer(F.sequence(bucket(t0 - w), bucket(t0))).alias("bucket"))
+    pairs = rows.select("bucket", key).distinct().join(covered, "bucket").select("t0", key).distinct()
+    ends = F.array(F.struct((t0 if include_target else t0 - 1).alias("t"), F.lit(1).alias("sign")),
+                   F.struct((t0 - w - 1).alias("t"), F.lit(-1).alias("sign")))
+    asked = pairs.select(key, "t0", F.explode(ends).alias("_e")).select(
+        key, bucket(F.col("_e.t")).alias("bucket"), F.col("_e.t").alias("t"), F.lit(0).cast("long").alias("cnt"), "t0", F.col("_e.sign").alias("sign"))
+    stream = written(rows.withColumns({"t0": F.lit(None).cast("long"), "sign": F.lit(0)}).unionByName(asked), "asked")
+    # rows of one second are peers, so a question also counts the lines of its own second
+    until = Window.partitionBy(key, "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = stream.withColumn("_in", F.sum("cnt").over(until)).where("sign <> 0")
+    starts = sums_before(stream.groupBy(key, "bucket").agg(F.sum("cnt").alias("_of")), [key], "bucket", "_of", "_start")
+    both = answers.join(starts.select(key, "bucket", "_start"), [key, "bucket"])
+    cnt = both.groupBy("t0", key).agg(F.sum(F.col("sign") * (F.col("_in") + F.col("_start"))).alias("cnt")).where("cnt > 0")
+    return cnt.select((t0 - w).alias("ws"), t0.alias("we"), key, "cnt")

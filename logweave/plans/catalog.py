@@ -23,7 +23,7 @@ from ..operators import sentences as SN
 from ..operators import similarity as SM
 from ..operators import templates as TP
 from ..operators import windows as WN
-from ..operators.numbering import number_rows
+from ..operators.numbering import number_rows, number_within
 from ..session import scratch_path, written
 from ..sources import tables, text
 
@@ -137,14 +137,15 @@ def oov_templates(spark, sf_dir):
 
 @query
 def line_numbers(spark, sf_dir):
-    m = masked(spark, sf_dir).select("line_id", "template")
-    return number_rows(m, ["line_id"], name="line_no")
+    # masked after the numbering: the range exchange looks at its input twice
+    numbered = number_rows(parsed(spark, sf_dir).select("line_id", "line"), ["line_id"], name="line_no")
+    return TP.mask_templates(numbered).drop("line")
 
 
 @query
 def time_sorted_log(spark, sf_dir):
-    m = masked(spark, sf_dir).select("t", "line_id", "template")
-    return number_rows(m, ["t", "line_id"], name="rank")
+    numbered = number_rows(parsed(spark, sf_dir).select("t", "line_id", "line"), ["t", "line_id"], name="rank")
+    return TP.mask_templates(numbered).drop("line")
 
 
 @query
@@ -234,8 +235,8 @@ def window_mean_vector(spark, sf_dir):
 
 @query
 def missing_vectors(spark, sf_dir):
-    # J4 report of the mean vectors: templates that the first ten vectors leave out
-    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings")).where(F.col("idx") < OOV_TOP)
+    # J4 report of the mean vectors: templates without a vector
+    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
     return FT.missing_vectors(indexed(spark, sf_dir), vectors)
 
 
@@ -286,9 +287,54 @@ def count_window_vectors(spark, sf_dir):
         FT.with_index(WN.count_window_contents(m, COUNT_W, kind), d), ["win"], vectors))
 
 
+# ---- calendar windows: labels and mean vectors -------------------------------------------
+
+
+@query
+def calendar_window_labels(spark, sf_dir):
+    m = masked(spark, sf_dir)
+    return LB.labeled_calendar_windows(WN.calendar_window_contents(m, CAL_UNIT, CAL_W), m, TARGET, CAL_UNIT, CAL_W)
+
+
+@query
+def calendar_window_vectors(spark, sf_dir):
+    contents = FT.with_index(WN.calendar_window_contents(masked(spark, sf_dir), CAL_UNIT, CAL_W), dictionary(spark, sf_dir))
+    return FT.window_mean_vector(contents, ["wkey", "code"], FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings")))
+
+
+# ---- count windows within each controller ------------------------------------------------
+# Every controller's log is numbered on its own; windows never hold lines of two controllers.
+
+HOST = ("host",)
+
+
+def numbered_by_host(spark, sf_dir) -> DataFrame:
+    """Every controller's lines numbered from 1: ``(host, x, template)``."""
+    numbered = number_within(parsed(spark, sf_dir).select("host", "line_id", "line"), ["host"], ["line_id"], name="x")
+    return written(TP.mask_templates(numbered).select("host", "x", "template"), "by_host")
+
+
+def host_windows(by_host: DataFrame, kind: str) -> DataFrame:
+    return WN.count_window_contents(by_host, COUNT_W, kind, x="x", keys=HOST)
+
+
+@query
+def host_window_labels(spark, sf_dir):
+    by_host = numbered_by_host(spark, sf_dir)
+    return _both_kinds(lambda kind: LB.labeled_count_windows(host_windows(by_host, kind), by_host, TARGET, COUNT_W, kind, "x", HOST))
+
+
+@query
+def host_window_vectors(spark, sf_dir):
+    by_host = numbered_by_host(spark, sf_dir)
+    d = dictionary_of(WN.template_totals(by_host))
+    vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
+    return _both_kinds(lambda kind: FT.window_mean_vector(FT.with_index(host_windows(by_host, kind), d), ["host", "win"], vectors))
+
+
 # ---- milestone 3: metrics and models -------------------------------------------------
 
-TEST_HOSTS = "c0-0c1s"    # held-out evaluation: train on all other controller groups, same dictionary
+TEST_HOSTS = "c0-0c1s"    # held-out evaluation: train on all other controller groups, with their dictionary
 
 
 @query
@@ -318,14 +364,25 @@ def logreg_metrics(spark, sf_dir):
     return MD.fit_and_evaluate(MD.logistic_regression(), all_vectors(spark, sf_dir))[1]
 
 
+def side_of(host: str = "host"):
+    return F.when(F.col(host).startswith(TEST_HOSTS), F.lit("test")).otherwise(F.lit("train"))
+
+
+def by_sides(spark, sf_dir) -> DataFrame:
+    """Per-second counts by side, from one pass over the log."""
+    return written(masked(spark, sf_dir).groupBy(side_of().alias("side"), "t", "template")
+                   .agg(F.count(F.lit(1)).alias("cnt")), "sides")
+
+
+def train_dictionary(by_side: DataFrame) -> DataFrame:
+    """W7 dictionary of the training side alone; the test side's other templates follow the OOV policy (skip)."""
+    return dictionary_of(by_side.where("side = 'train'"))
+
+
 def held_out(spark, sf_dir):
-    """Training rows of all host groups but one, main windows of that one, and the dictionary."""
-    # one pass over the log: per-second counts by side.  Counts add up, so the
-    # dictionary (both sides) and each side's per-second counts are sums over it
-    side = F.when(F.col("host").startswith(TEST_HOSTS), F.lit("test")).otherwise(F.lit("train"))
-    by_side = written(masked(spark, sf_dir).groupBy(side.alias("side"), "t", "template")
-                      .agg(F.count(F.lit(1)).alias("cnt")), "sides")
-    d = dictionary_of(by_side)
+    """Training rows of all host groups but one, main windows of that one, and the training side's dictionary."""
+    by_side = by_sides(spark, sf_dir)
+    d = train_dictionary(by_side)
     train, test = (with_idx(by_side.where(F.col("side") == s).drop("side"), d) for s in ("train", "test"))
     return training_of(train), training_of(test).where(F.col("kind") == "main"), d
 
@@ -366,6 +423,33 @@ def count_window_metrics(spark, sf_dir):
     return MD.fit_and_evaluate(MD.logistic_regression(), vectors)[1]
 
 
+@query
+def held_out_coverage(spark, sf_dir):
+    # how much of either side the training side's dictionary knows
+    by_side = by_sides(spark, sf_dir)
+    return FT.coverage(by_side, train_dictionary(by_side), ("side",))
+
+
+@query
+def host_window_metrics(spark, sf_dir):
+    # count windows within each controller, fixed and sliding -> SVM and logistic regression,
+    # trained with the dictionary of all controllers but a group, tested on that group
+    by_host = numbered_by_host(spark, sf_dir).withColumn("side", side_of())
+    d = written(dictionary_of(WN.template_totals(by_host.where("side = 'train'"))), "dictionary")
+    size = d.count()
+    out = None
+    for kind in ("fixed", "sliding"):
+        contents = host_windows(by_host, kind)
+        freqs = FT.window_frequencies(contents, ["host", "win"], d)
+        lab = LB.labeled_count_windows(contents, by_host, TARGET, COUNT_W, kind, "x", HOST)
+        vectors = written(MD.labelled_vectors(freqs.join(lab, ["host", "win"]), size, ("host", "win", "label")), "vectors").withColumn("side", side_of())
+        train, test = (vectors.where(F.col("side") == side) for side in ("train", "test"))
+        for name, model in (("svm", MD.linear_svm(100)), ("logreg", MD.logistic_regression())):
+            row = MD.fit_and_evaluate(model, train, test)[1].select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def sentences_of(spark, sf_dir) -> DataFrame:
     return MD.sentences(masked(spark, sf_dir))
 
@@ -405,10 +489,24 @@ def embedding_window_metrics(spark, sf_dir):
 
 @query
 def template_synonyms(spark, sf_dir):
+    # M3: the templates nearest to the most frequent error, searched in the exported vectors by a plan
     m = masked(spark, sf_dir)
     top_error = (TP.template_counts(LB.target_events(m, TARGET))
                  .orderBy(F.col("cnt").desc(), "template").select("template").first()[0])
-    return MD.synonyms(word2vec_model(spark, sf_dir), top_error, 5)
+    vectors = written(template_embeddings(spark, sf_dir), "vectors")
+    return SM.similar_vectors(vectors, top_error, 5, key="word", vector="vector")
+
+
+@query
+def template_neighbours(spark, sf_dir):
+    # M3 for every template: its five nearest others
+    vectors = written(template_embeddings(spark, sf_dir), "vectors")
+    return SM.nearest_vectors(vectors, 5, key="word", vector="vector")
+
+
+@query
+def nearest_vectors(spark, sf_dir):
+    return SM.nearest_vectors(tables.table(spark, sf_dir, "embeddings"), 5)
 
 
 @query
@@ -504,6 +602,35 @@ def sentences_by_source(spark, sf_dir):
     return SN.sentence_stats(tables.document_lines(spark, sf_dir), "source", "line")
 
 
+FILE_LINES = 1500      # log lines per text file of a controller group
+PIECE = 400            # words of a file sentence
+
+
+@query
+def file_sentences(spark, sf_dir):
+    # The log as text files per controller group and stretch of lines, read back file by file
+    path = scratch_path(spark, "files")
+    lines = parsed(spark, sf_dir).select(F.substring("host", 1, 6).alias("grp"), F.expr(f"(line_id - 1) div {FILE_LINES}").alias("stretch"), "line_id", "line")
+    # one file per group and stretch: such rows meet in one task, in order
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (lines.repartition(n, "grp", "stretch").sortWithinPartitions("grp", "stretch", "line_id").select("grp", "stretch", "line")
+     .write.partitionBy("grp", "stretch").text(path))
+    pieces = SN.file_sentences(text.read_file_lines(spark, path + "/*/*/part-*"), PIECE)
+    return pieces.select(F.regexp_extract("path", "grp=([^/]*)", 1).alias("grp"), F.regexp_extract("path", "stretch=([0-9]+)", 1).cast("long").alias("stretch"),
+                         "piece", F.size("sentence").alias("n_words"), F.size(F.array_distinct("sentence")).alias("n_distinct"),
+                         F.element_at("sentence", 1).alias("first_word"), F.element_at("sentence", -1).alias("last_word"))
+
+
+@query
+def file_embedding_sizes(spark, sf_dir):
+    # M1 on whole-file sentences: the log written as files, read back, cut and embedded
+    path = scratch_path(spark, "files")
+    parsed(spark, sf_dir).select(F.substring("host", 1, 6).alias("grp"), "line").write.partitionBy("grp").text(path)
+    pieces = SN.file_sentences(text.read_file_lines(spark, path + "/*/part-*"))
+    model = MD.word2vec(50, 42, 1).fit(written(pieces, "sentences"))
+    return MD.embedding_table(model).select("word", F.size("vector").alias("size"))
+
+
 # ---- milestone 5: LogSig ---------------------------------------------------------------
 
 
@@ -529,7 +656,7 @@ def logsig_tokens(spark, sf_dir):
 
 @query
 def term_pairs(spark, sf_dir):
-    return TK.term_pairs(logsig_input(spark, sf_dir))
+    return TK.term_pairs(logsig_input(spark, sf_dir), block=LS.LONG)
 
 
 @query

@@ -330,7 +330,7 @@ sql("calendar_window_frequencies", """
 SELECT wkey, code, template, cnt, cnt / sum(cnt) OVER (PARTITION BY wkey, code) AS freq FROM (
   SELECT date_trunc('day', ts) AS wkey, CAST(hour(ts) // 3 + 1 AS INTEGER) AS code, template, count(*) AS cnt
   FROM masked GROUP BY 1, 2, 3)""")
-sql("missing_vectors", "SELECT idx, cnt FROM dict JOIN counts USING (template) WHERE idx NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 10)")
+sql("missing_vectors", "SELECT idx, cnt FROM dict JOIN counts USING (template) WHERE idx NOT IN (SELECT vec_id FROM embeddings)")
 
 COUNT_WINDOWS = """,
 cw AS (
@@ -353,6 +353,72 @@ cc AS (SELECT kind, win, template, count(*) AS cnt FROM cw GROUP BY ALL)
 SELECT kind, win, pos, round(sum(cnt * v) / sum(cnt), 6) + 0.0 AS val
 FROM cc JOIN dict USING (template) JOIN vec USING (idx) GROUP BY kind, win, pos""")
 
+# ---- calendar labels, windows within a controller, coverage, files, neighbours -------------
+
+VECTORS = """,
+vecpos AS (SELECT CAST(vec_id AS INTEGER) AS idx, embedding, unnest(range(len(embedding))) AS p FROM embeddings),
+vec AS (SELECT idx, CAST(p AS INTEGER) AS pos, CAST(embedding[p + 1] AS DOUBLE) AS v FROM vecpos)"""
+
+CALENDAR = """,
+cal AS (SELECT date_trunc('day', ts) AS wkey, CAST(hour(ts) // 3 + 1 AS INTEGER) AS code, ts, template FROM masked)"""
+sql("calendar_window_labels", CALENDAR + """,
+hits AS (
+  -- three hours before a target, in the day and window of that time
+  SELECT DISTINCT date_trunc('day', ts - INTERVAL 3 HOUR) AS wkey, CAST(hour(ts - INTERVAL 3 HOUR) // 3 + 1 AS INTEGER) AS code
+  FROM cal WHERE contains(template, ' error ')
+)
+SELECT k.wkey, k.code, CASE WHEN h.code IS NULL THEN 0.0 ELSE 1.0 END AS label
+FROM (SELECT DISTINCT wkey, code FROM cal) k LEFT JOIN hits h ON h.wkey = k.wkey AND h.code = k.code""")
+sql("calendar_window_vectors", CALENDAR + VECTORS + """,
+cc AS (SELECT wkey, code, template, count(*) AS cnt FROM cal GROUP BY ALL)
+SELECT wkey, code, pos, round(sum(cnt * v) / sum(cnt), 6) + 0.0 AS val
+FROM cc JOIN dict USING (template) JOIN vec USING (idx) GROUP BY wkey, code, pos""")
+
+HOST_WINDOWS = """,
+hl AS (SELECT host, row_number() OVER (PARTITION BY host ORDER BY line_id) AS x, template FROM masked),
+cw AS (
+  SELECT 'fixed' AS kind, host, CAST(ceil(x / 5) AS BIGINT) AS win, template FROM hl
+  UNION ALL SELECT 'sliding', host, x, template FROM hl WHERE x < 5
+  UNION ALL SELECT 'sliding', host, unnest(range(x - 4, x)), template FROM hl WHERE x >= 5
+),
+hit AS (
+  SELECT DISTINCT 'fixed' AS kind, host, CAST(ceil(x / 5) AS BIGINT) - 1 AS win FROM hl WHERE contains(template, ' error ')
+  UNION SELECT 'sliding', host, x - 5 FROM hl WHERE contains(template, ' error ')
+)
+"""
+sql("host_window_labels", HOST_WINDOWS + """
+SELECT k.kind, k.host, k.win, CASE WHEN hit.win IS NULL THEN 0.0 ELSE 1.0 END AS label
+FROM (SELECT DISTINCT kind, host, win FROM cw) k LEFT JOIN hit ON hit.kind = k.kind AND hit.host = k.host AND hit.win = k.win""")
+sql("host_window_vectors", HOST_WINDOWS + VECTORS + """,
+cc AS (SELECT kind, host, win, template, count(*) AS cnt FROM cw GROUP BY ALL)
+SELECT kind, host, win, pos, round(sum(cnt * v) / sum(cnt), 6) + 0.0 AS val
+FROM cc JOIN dict USING (template) JOIN vec USING (idx) GROUP BY kind, host, win, pos""")
+sql("held_out_coverage", """,
+sides AS (SELECT CASE WHEN starts_with(host, 'c0-0c1s') THEN 'test' ELSE 'train' END AS side, template FROM masked),
+known AS (SELECT DISTINCT template FROM sides WHERE side = 'train')
+SELECT side, count(*) AS lines, count(k.template) AS known_lines, count(DISTINCT s.template) AS templates,
+       count(DISTINCT k.template) AS known_templates, count(k.template) / count(*) AS line_share
+FROM sides s LEFT JOIN known k ON k.template = s.template GROUP BY side""")
+sql("file_sentences", """,
+words AS (
+  SELECT substr(host, 1, 6) AS grp, (line_id - 1) // 1500 AS stretch, line_id, template AS word FROM masked
+  UNION ALL SELECT DISTINCT substr(host, 1, 6), (line_id - 1) // 1500, 9223372036854775807, '' FROM masked
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp, stretch ORDER BY line_id) - 1 AS pos FROM words)
+SELECT grp, stretch, pos // 400 AS piece, CAST(count(*) AS INTEGER) AS n_words, CAST(count(DISTINCT word) AS INTEGER) AS n_distinct,
+       arg_min(word, pos) AS first_word, arg_max(word, pos) AS last_word
+FROM placed GROUP BY grp, stretch, pos // 400""")
+sql("file_embedding_sizes", """
+SELECT DISTINCT template AS word, CAST(50 AS INTEGER) AS size FROM masked UNION ALL SELECT '', 50 FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM masked)""")
+ORACLE["nearest_vectors"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (
+  SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS similarity
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id
+),
+r AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS INTEGER) AS rank, neighbour, similarity FROM s)
+SELECT vec_id, rank, neighbour, similarity FROM r WHERE rank <= 5"""
+
 sql("word2vec_sentences", """
 SELECT host, (r - 1) // 1000 AS piece, CAST(count(*) AS INTEGER) AS n
 FROM (SELECT host, row_number() OVER (PARTITION BY host ORDER BY line_id) AS r FROM masked) GROUP BY ALL""")

@@ -119,3 +119,33 @@ def test_target_windows_match_brute_force(spark, w, include_target):
             if t0 - w <= t and (t <= t0 if include_target else t < t0):
                 want[(t0 - w, t0, p)] = want.get((t0 - w, t0, p), 0) + c
     assert got == sorted((ws, we, p, c) for (ws, we, p), c in want.items())
+
+
+def test_target_windows_share_lines(spark):
+    # every second a target and a hot template: windows overlap in all but one second
+    per_sec = [(t, "hot", 3) for t in range(300)] + [(t, "an error here", 1) for t in range(300)] + [(-50, "old", 7), (40, "once", 2)]
+    counts = spark.createDataFrame(per_sec, "t long, template string, cnt long")
+    got = {(r.we, r.template): r.cnt for r in WN.target_window_contents(counts, " error ", 60).collect()}
+    for t0 in range(300):
+        span = range(max(t0 - 60, 0), t0 + 1)
+        assert got.pop((t0, "hot")) == 3 * len(span) and got.pop((t0, "an error here")) == len(span)
+    assert got == {**{(t0, "once"): 2 for t0 in range(40, 101)}, **{(t0, "old"): 7 for t0 in range(0, 11)}}
+
+
+def test_target_windows_carry_the_number_and_may_be_empty(spark):
+    counts = spark.createDataFrame([(5, "x", 4, 2), (9, "b error c", 1, 7)], "t long, template string, cnt long, idx int")
+    assert rows(WN.target_window_contents(counts, " error ", 4, key="idx")) == [(5, 9, 2, 4), (5, 9, 7, 1)]
+    assert WN.target_window_contents(counts, "nothing", 4).count() == 0
+
+
+@pytest.mark.parametrize("unit, w", [("hour", 3), ("hour", 5), ("minute", 7), ("second", 60)])
+def test_calendar_window_before_crosses_the_border(spark, unit, w):
+    from datetime import datetime, timedelta
+    step = {"hour": timedelta(hours=1), "minute": timedelta(minutes=1), "second": timedelta(seconds=1)}[unit]
+    at = [datetime(2024, 2, 28, 22, 57, 58) + i * step for i in range(160)]
+    df = spark.createDataFrame([(t, "m") for t in at], "ts timestamp_ntz, template string")
+    keyed = WN.calendar_window(df, unit, w)
+    order = list(dict.fromkeys(tuple(r) for r in keyed.orderBy("ts").select("wkey", "code").collect()))
+    before = WN.calendar_window_before(spark.createDataFrame(order[1:], "wkey timestamp_ntz, code int"), unit, w)
+    # units without a gap: the window before a window is the one met before it
+    assert [tuple(r) for r in before.collect()] == order[:-1]
