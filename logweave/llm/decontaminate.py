@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .shared import blank, numbered, written
 
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 3, 5, 7, 8), (0, 1, 4, 7, 8, 9, 10))
-SQL_MASKS = ((0, 1, 2, 3, 5, 6, 9), (0, 1, 3, 7, 8, 10, 11), (0, 2, 3, 4, 6, 7, 8))   # the SQL's, which miss some windows
 WINDOW, LEAST = 13, 11
 SMALL = 4_000_000                    # benchmark seeds (16 bytes each) that may be sent to every task
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -117,36 +116,38 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of :func:`overlaps` for ``documents`` and ``benchmark``."""
-    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-
-    def seeds(source, key):
-        return " UNION ALL ".join(
-            f"SELECT {key}, words, p, {i} AS mask, " + " || ' ' || ".join(f"words[p + {o}]" for o in m)
-            + f" AS seed FROM (SELECT {key}, words, unnest(range(1, len(words) - {m[-1]} + 1)) AS p FROM {source})"
-            for i, m in enumerate(SQL_MASKS))
+    """DuckDB SQL of :func:`overlaps` for ``documents`` and ``benchmark``, by the rule alone: no masks, no seeds.
 
-    reach = WINDOW + max(m[-1] for m in SQL_MASKS)
+    Equal words of a document and an item lie on a diagonal (the difference of their
+    places).  On each diagonal with enough of them the fullest window starts or ends at an equal
+    word, or lies at an end of the overlap.
+    """
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
     return f"""
-WITH d AS (SELECT doc_id, {words} AS words FROM documents),
-b AS (SELECT DISTINCT item_id, words FROM (SELECT item_id, {words} AS words FROM benchmark) WHERE len(words) > 0),
-ds AS ({seeds('d', 'doc_id')}),
-bs AS ({seeds('b', 'item_id')}),
-hit AS (
-  SELECT DISTINCT doc_id, item_id, ds.words AS dw, bs.words AS bw, ds.p - bs.p AS diag, ds.p AS p
-  FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+b AS (SELECT row_number() OVER () AS s, * FROM (SELECT DISTINCT item_id, words FROM (SELECT item_id, {words} AS words FROM benchmark) WHERE len(words) > 0)),
+dw AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
+bw AS (SELECT s, unnest(words) AS w, unnest(range(len(words))) AS j FROM b),
+dense AS (
+  SELECT r, s, i - j AS diag FROM dw JOIN bw USING (w) GROUP BY ALL
+  HAVING count(*) * {WINDOW} >= (SELECT min(least({WINDOW}, len(words))) FROM b) * {LEAST}
+),
+spans AS (
+  SELECT r, s, diag, least({WINDOW}, len(b.words)) AS m, greatest(0, diag) AS lo, least(len(d.words), len(b.words) + diag) - 1 AS hi, d.words AS dx, b.words AS bx
+  FROM dense JOIN d USING (r) JOIN b USING (s) WHERE least(len(d.words), len(b.words) + diag) - greatest(0, diag) >= least({WINDOW}, len(b.words))
+),
+eq AS (
+  SELECT r, s, diag, m, lo, hi, i FROM (SELECT *, unnest(range(lo, hi + 1)) AS i FROM spans) WHERE dx[i + 1] = bx[i - diag + 1]
 ),
-al AS (
-  SELECT doc_id, item_id, len(bw) AS m,
-         list_transform(range(greatest(1, p - {reach}, diag + 1), least(len(dw), p + {reach}, diag + len(bw)) + 1),
-                        lambda i: CAST(dw[i] = bw[i - diag] AS INT)) AS equal
-  FROM hit
+near AS (
+  SELECT *, count(*) OVER (PARTITION BY r, s, diag ORDER BY i RANGE BETWEEN CURRENT ROW AND m - 1 FOLLOWING) AS ahead,
+         count(*) OVER (PARTITION BY r, s, diag ORDER BY i RANGE BETWEEN m - 1 PRECEDING AND CURRENT ROW) AS behind
+  FROM eq
 ),
-win AS (
-  SELECT doc_id, item_id, least({WINDOW}, m) AS compared,
-         list_max(list_transform(range(1, len(equal) - least({WINDOW}, m) + 2),
-                                 lambda s: list_sum(equal[s:s + least({WINDOW}, m) - 1]))) AS matched
-  FROM al
+best AS (
+  SELECT r, s, m, greatest(coalesce(max(ahead) FILTER (i + m - 1 <= hi), 0), coalesce(max(behind) FILTER (i - m + 1 >= lo), 0),
+                           count(*) FILTER (i <= lo + m - 1), count(*) FILTER (i >= hi - m + 1)) AS matched
+  FROM near GROUP BY r, s, diag, m, lo, hi
 )
-SELECT doc_id, item_id, CAST(max(matched) AS INT) AS matched, CAST(max(compared) AS INT) AS compared
-FROM win WHERE matched * {WINDOW} >= compared * {LEAST} GROUP BY doc_id, item_id"""
+SELECT d.doc_id, b.item_id, CAST(max(matched) AS INT) AS matched, CAST(max(m) AS INT) AS compared
+FROM best JOIN d USING (r) JOIN b USING (s) WHERE matched * {WINDOW} >= m * {LEAST} GROUP BY d.doc_id, b.item_id"""

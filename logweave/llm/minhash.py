@@ -11,9 +11,14 @@ central class, in the next rounds one that hashing picks.  A pair is kept when
 the bit count of its signatures, corrected for chance matches of 4-bit values,
 is not clearly under the threshold, and becomes a link when the Jaccard
 similarity of the whole sets reaches it.  Pairs inside one component need no
-test, so each round leaves less; in the buckets that hold several components at
-the end, every member outside the most common one is tested against all members
-of the others that a longer signature (1024 minima, 2 bits) finds likely.
+test, so each round leaves less.  For what the buckets of several components then
+hold, shared shingles give an exact bound: classes x and y of different components
+share at most the r shingles of x, and of y, that occur in another component at
+all, and a link needs (100 + p) shared >= p (n_x + n_y).  So x fits sets of up to
+(100 + p) r / p - n_x shingles only.  A class that fits none in its bucket is left out, which are
+the variants of one text that are too far from it and the texts that share just a passage; the
+others outside the bucket's most common component are tested against the members
+of other components that fit and that a longer signature (1024 minima, 2 bits) finds likely.
 
 Bands miss a pair at the threshold with probability (1 - 0.75^4)^32 < 1e-5, and
 less above it; the signature filter with less than 1e-5 (4.2e-6 at the threshold
@@ -218,12 +223,31 @@ def _fine(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(packed(least, FINE_BITS)), pa.list_(pa.int64()))], ["c", "fine"])
 
 
+def _fitting(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open ``members`` that another component's class in their bucket may be linked with, with ``n`` (their set's
+    size) and ``most`` (the largest set that they can be linked with); see the module's text for the bound."""
+    open_sets = sets.join(members.select("c", "component").distinct(), "c")
+    shingles = written(open_sets.select("c", "component", F.explode("shingles").alias("s")), "shingles")
+    foreign = (shingles.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+               .where("a <> b").select("s"))
+    shared = shingles.join(foreign, "s").groupBy("c").agg(F.count(F.lit(1)).alias("r"))
+    sized = open_sets.select("c", F.size("shingles").cast("long").alias("n")).join(shared, "c").select(
+        "c", "n", F.expr(f"({100 + percent} * r - {percent} * n) div {percent}").alias("most"))
+    rows = written(members.join(written(sized, "fits"), "c"), "fitting")
+    for _ in range(2):
+        # against the bucket's smallest set and widest bound; fewer members tighten both
+        ends = rows.groupBy("band", "key").agg(F.min("n").alias("_n"), F.max("most").alias("_most"),
+                                               F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").drop("a", "b")
+        rows = written(rows.join(ends, ["band", "key"]).where("_n <= most AND n <= _most").drop("_n", "_most"), "fitting")
+    return rows
+
+
 def _rest_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Likely pairs between what is left: every member outside its bucket's most common component
-    against the bucket's members of other components.
+    against the bucket's members of other components.  ``members`` come from :func:`_fitting`.
 
-    A longer signature decides what is likely.  It is part of the join's
-    condition, and so is that the bucket is the first one the two share: a
+    The sets' sizes have to fit each other, and a longer signature decides what is likely.  Both are part of the
+    join's condition, and so is that the bucket is the first one the two share: a
     likely pair leaves the join once, others never.
     """
     sizes = members.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -232,16 +256,16 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, classes: DataFrame, percent
             .join(classes.select("c", "bands"), "c"))
     rows = written(members.join(main, ["band", "key"]).join(written(fine, "fine"), "c"), "rest")
     outside = rows.where("component <> main").select("band", "key", F.col("c").alias("x"), F.col("component").alias("cx"),
-                                                     F.col("fine").alias("fx"), F.col("bands").alias("bx"))
+                                                     F.col("fine").alias("fx"), F.col("bands").alias("bx"), F.col("n").alias("nx"), F.col("most").alias("mx"))
     inside = rows.select("band", "key", F.col("c").alias("y"), F.col("component").alias("cy"), F.col("main"),
-                         F.col("fine").alias("fy"), F.col("bands").alias("by"))
+                         F.col("fine").alias("fy"), F.col("bands").alias("by"), F.col("n").alias("ny"), F.col("most").alias("my"))
     # two members outside are one pair
     once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
     likely = _estimate("fx", "fy", FINE, FINE_BITS) >= percent / 100 - FINE_MARGIN
     first = ~F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i < outside["band"]) & (
         F.substr(F.col("bx"), i * 8 + 1, F.lit(8)) == F.substr(F.col("by"), i * 8 + 1, F.lit(8))))
     pairs = outside.join(inside, (outside["band"] == inside["band"]) & (outside["key"] == inside["key"])
-                         & (F.col("cx") != F.col("cy")) & once & likely & first)
+                         & (F.col("cx") != F.col("cy")) & once & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my")) & likely & first)
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
@@ -278,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         pick = F.xxhash64("c", "band", F.lit(r))
         label = _joined(label, linked(written(_likely(_star_pairs(now, pick), classes, least), "likely")))
     # what is left in buckets with several components
-    rest = written(_rest_pairs(_open_members(members, label), sets, classes, percent), "rest_pairs")
+    rest = written(_rest_pairs(_fitting(_open_members(members, label), sets, percent), sets, classes, percent), "rest_pairs")
     label = _joined(label, linked(rest))
 
     group = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -81,6 +82,11 @@ def test_decontamination_by_the_rule_alone(spark):
     want = brute.overlaps(docs, bench)
     assert {i for _, i, _, _ in want} == {i for i, _ in bench}
     assert bag(got) == bag(want)
+    # the SQL states the same rule
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in docs], "text": [" ".join(w) for _, w in docs]}))
+    con.register("benchmark", pa.table({"item_id": [i for i, _ in bench], "text": [" ".join(w) for _, w in bench]}))
+    assert bag(con.execute(decontaminate.oracle()).fetchall()) == bag(want)
 
 
 def test_decontamination_messy_and_empty(spark, messy, empty):
