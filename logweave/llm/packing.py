@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import prepare, written
+from .words import groups, mix, word_hashes
 
 CAPACITY = 1024
 END_ID = 2
-CACHE = 1 << 18                     # young words whose ids a worker remembers (about 150 MB in all)
+KNOWN = 1 << 21                     # words whose ids a worker remembers (about 40 bytes each)
+PARTS = 1 << 17                     # young parts of words whose ids it remembers
 
 # White space as the tokenizer's pattern knows it.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -76,15 +78,20 @@ class _Known(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, with a bounded memory of words.
+    """Ids of whole texts, with a bounded memory of words.
 
     The tokenizer's pattern always cuts before a single space and around a
     single line feed that stand between other characters, so ids of the parts
-    can be joined.  Any text where white space meets white space is encoded
+    can be joined.  Any text where white space meets white space, or stands at an end, is encoded
     whole instead.
+
+    A batch's words are hashed together, its distinct words are looked up in a sorted table of
+    64-bit hashes, only unknown ones are encoded, and the ids of all words are put together by
+    their offsets in one array.  When the table is over its bound, words not met since
+    the last time go (all go if those are too many).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int = KNOWN):
         import regex
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
@@ -94,10 +101,16 @@ class Encoder:
         self._characters = _byte_characters()
         self._space = self._characters[32]
         self._four = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
-        self._part = _Known(self._merge, CACHE // 2)     # by part of the pattern
-        self._first = _Known(lambda word: self._word("", word), CACHE // 4)
-        self._later = _Known(lambda word: self._word(" ", word), CACHE)
-        self._line_feed = self.whole("\n")
+        self._part = _Known(self._merge, PARTS)          # by part of the pattern
+        self._known = known
+        self._feed = np.frombuffer(self.whole("\n"), "<u4")
+        self._empty()
+
+    def _empty(self):
+        self._keys = np.empty(0, np.uint64)              # sorted
+        self._at, self._size = np.empty(0, np.int64), np.empty(0, np.int32)   # size -1: an odd word
+        self._met = np.empty(0, bool)
+        self._ids = self._feed.copy()                    # the line feed's ids, then the words'
 
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -117,17 +130,82 @@ class Encoder:
             raise _Odd
         return b"".join([self._part[p] for p in self._split(lead + word)])
 
+    def _forget(self):
+        keep = np.flatnonzero(self._met)
+        if len(keep) > self._known // 2:
+            return self._empty()
+        size = np.maximum(self._size[keep], 0).astype(np.int64)
+        to = np.cumsum(size) - size
+        ids = self._ids[np.repeat(self._at[keep] - to, size) + np.arange(int(size.sum()))]
+        self._keys, self._size = self._keys[keep], self._size[keep]
+        self._at, self._met = to + len(self._feed), np.zeros(len(keep), bool)
+        self._ids = np.concatenate([self._feed, ids])
+
+    def _learn(self, keys: np.ndarray, words: list[tuple[str, str]]):
+        """Adds words under their sorted keys."""
+        found, size = [], np.empty(len(words), np.int32)
+        for i, (lead, word) in enumerate(words):
+            try:
+                data = self._word(lead, word)
+                found.append(data)
+                size[i] = len(data) // 4
+            except _Odd:
+                size[i] = -1
+        used = np.maximum(size, 0).astype(np.int64)
+        at = np.cumsum(used) - used + len(self._ids)
+        place = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, place, keys)
+        self._at, self._size = np.insert(self._at, place, at), np.insert(self._size, place, size)
+        self._met = np.insert(self._met, place, False)
+        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(found), "<u4")])
+
+    def batch(self, column):
+        """``(ids, ends, odd)`` of an Arrow string column: ids of all texts one after another, each text's end in
+        them, and the texts that have to be encoded whole."""
+        h, counts, s, e, data, offsets = word_hashes(column, spans=True)
+        n = len(counts)
+        odd = np.zeros(n, bool)
+        white = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+        here = np.searchsorted(offsets, white, side="right") - 1
+        kind = data[white]
+        odd[here[((kind != 32) & (kind != 10)) | (white == offsets[here]) | (white == offsets[here + 1] - 1)]] = True
+        odd[here[1:][(white[1:] == white[:-1] + 1) & (here[1:] == here[:-1])]] = True
+        feeds = white[kind == 10]
+        doc = np.repeat(np.arange(n), counts)
+        first = (s == offsets[doc]) | (data[np.maximum(s - 1, 0)] == 10)
+        key, at, word = np.unique(mix(h ^ np.where(first, np.uint64(0), np.uint64(0x5851F42D4C957F2D))), return_index=True, return_inverse=True)
+        if len(self._keys) > self._known:
+            self._forget()
+        place = np.searchsorted(self._keys, key)
+        have = np.zeros(len(key), bool)
+        inside = place < len(self._keys)
+        have[inside] = self._keys[place[inside]] == key[inside]
+        if not have.all():
+            new = at[~have]
+            self._learn(key[~have], [("" if f else " ", data[a:z].tobytes().decode()) for f, a, z in zip(first[new], s[new].tolist(), e[new].tolist())])
+            place = np.searchsorted(self._keys, key)
+        self._met[place] = True
+        size, start = self._size[place][word].astype(np.int64), self._at[place][word]
+        odd[doc[size < 0]] = True
+        # words and line feeds in text order
+        order = np.argsort(np.concatenate([s, feeds]), kind="stable")
+        size = np.concatenate([np.maximum(size, 0), np.full(len(feeds), len(self._feed))])[order]
+        start = np.concatenate([start, np.zeros(len(feeds), np.int64)])[order]
+        owner = np.concatenate([doc, here[kind == 10]])[order]
+        to = np.cumsum(size) - size
+        ids = self._ids[np.repeat(start - to, size) + np.arange(int(size.sum()))]
+        return ids, np.cumsum(np.bincount(owner, weights=size, minlength=n).astype(np.int64)), odd
+
+    def texts(self, column):
+        """The ids of every text of an Arrow string column (null: none)."""
+        ids, ends, odd = self.batch(column)
+        lo = 0
+        for i, hi in enumerate(ends.tolist()):
+            yield np.frombuffer(self.whole(column[i].as_py()), "<u4") if odd[i] else ids[lo:hi]
+            lo = hi
+
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        try:
-            lines = []
-            for line in text.split("\n"):
-                words = iter(line.split(" "))
-                lines.append(self._first[next(words)] + b"".join(map(self._later.__getitem__, words)))
-            return self._line_feed.join(lines)
-        except _Odd:
-            return self.whole(text)
+        return next(self.texts(pa.array([text], pa.string()))).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -152,20 +230,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     prepare(docs.sparkSession)
     narrow = docs.select("doc_id", "text")
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def pieces(batches):
         encode = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in groups(whole)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                data = encode(text) + end
-                for i, (s, n) in enumerate(cut(len(data) // 4, capacity)):
-                    part = data[4 * s:4 * (s + n)]
+            for row, found in enumerate(encode.texts(batch.column(1))):
+                data = np.concatenate([found, end])
+                for i, (s, n) in enumerate(cut(len(data), capacity)):
+                    part = data[s:s + n]
                     rows.append(row), piece.append(i), start.append(s), length.append(n)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(part)
+                        ids.append(part.tobytes())
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]

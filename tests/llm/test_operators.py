@@ -215,6 +215,19 @@ def test_encoder_equals_the_tokenizer(text):
     assert e(text) == e.whole(text)
 
 
+TEXTS = st.lists(st.lists(st.sampled_from(["a", "word", "B", "é", " ", "\n", "  ", "1", "!", "'s", "\t", "\x85", "日本", " x", " the", "\nof"]), max_size=9).map("".join)
+                 | st.none(), max_size=6)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=4), st.sampled_from([1, 6, 1000]))
+def test_encoder_batches_and_bounded_memory(batches, known):
+    e = packing.Encoder(BPE, known)
+    for texts in batches:
+        got = [x.tobytes() for x in e.texts(pa.array(["skipped", *texts], pa.string()).slice(1))]
+        assert got == [e.whole(t) if t else b"" for t in texts]
+
+
 def check_packing(df, capacity=packing.CAPACITY):
     pieces = packing.token_pieces(df, BPE, capacity)
     got = packing.pack(pieces, capacity).collect()
@@ -311,6 +324,34 @@ def test_bucket_of_many_short_texts(spark):
     assert got == bag(brute.near_duplicates(rows))
 
 
+def test_rest_step_grows_with_its_rows(spark, monkeypatch):
+    """Variants of one text that stay under the threshold, and texts that share one long passage: what the last step
+    compares and hands on follows the number of texts, and the groups are those of all pairs."""
+    seen = []
+
+    def counted(members, *rest, of=minhash._rest_pairs):
+        pairs = of(members, *rest)
+        seen.append((members.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(minhash, "_rest_pairs", counted)
+    for n in (150, 300):
+        rng = np.random.default_rng(5)
+        base, passage = [f"b{i}" for i in range(200)], [f"p{i}" for i in range(120)]
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for k in rng.choice(200, 1 + i % 7, replace=False):
+                w[k] = f"x{i}_{k}"
+            rows.append((2 * i, " ".join(w)))
+            rows.append((2 * i + 1, " ".join(passage + [f"o{i}_{k}" for k in range(40)])))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = bag((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+        assert got == bag(brute.near_duplicates(rows))
+    (m1, p1), (m2, p2) = seen
+    assert m2 <= 2.2 * m1 + 50 and p2 <= 2.2 * p1 + 50
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5)], "u bigint, v bigint")
     got = {r.u: r.component for r in components.components(links).collect()}
