@@ -3,9 +3,11 @@
 Per language and source the minimum covariance determinant is estimated by
 concentration steps: start from the rows nearest to the median (scaled by the
 median absolute deviation), then take mean and covariance of the ``share`` of
-rows with the least Mahalanobis distance, again and again.  A row is rejected
+rows with the least Mahalanobis distance, again and again.  Three starts, which
+measure nearness differently, run side by side, and each group takes the
+estimate whose covariance has the least determinant.  A row is rejected
 when its squared distance to its group, rescaled by the group's median, exceeds
-``cutoff``.  Statistics are transformed to tame their tails, and every variance
+``cutoff``, a chi-square quantile.  Statistics are transformed to tame their tails, and every variance
 has a floor, so a statistic that hardly varies in a group cannot reject a row on
 its own small scale.
 
@@ -30,7 +32,7 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHARE, STEPS = 0.75, 3
 CHI2_MEDIAN = 4.3515                 # median of chi-square with 5 degrees of freedom
-CUTOFF = 60.0                        # squared robust distance; chi-square exceeds it once in 10^11 rows
+CUTOFF = 30.856                      # squared robust distance: chi-square's 0.99999 quantile with 5 degrees of freedom
 STATISTICS = ("z_length", "z_symbols", "z_lines", "z_repeats", "z_upper")
 FLOORS = (0.1, 0.1, 0.1, 0.1, 0.1)   # least standard deviation of each statistic
 
@@ -134,10 +136,21 @@ def _distance(stats):
     return total
 
 
+def _starts(stats, floors) -> list:
+    """Distances from the median in units of the median absolute deviation, one per start: the sum of squares,
+    the sum of bounded squares (a far value counts no more than a near outlier), and the largest one."""
+    z = [(F.col(s) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + floors[i]) for i, s in enumerate(stats)]
+    squares = sum((x * x for x in z), F.lit(0.0))
+    bounded = sum((F.pow(F.tanh(x / 2), F.lit(2.0)) for x in z), F.lit(0.0))
+    return [squares, bounded, F.greatest(*[F.abs(x) for x in z])]
+
+
 def robust_distance(rows: DataFrame, group=("lang", "source"), stats=STATISTICS, floors=FLOORS, share: float = SHARE,
                     steps: int = STEPS, fit_on=None) -> DataFrame:
     """``rows`` with ``robust_distance``: squared, rescaled so that a group's median is chi-square's.
 
+    Concentration runs from several fixed starts side by side (they are one more grouping column),
+    and every group takes the estimate with the least determinant.
     ``fit_on``: condition on the rows that the estimates are made of.
     """
     names = list(group)
@@ -147,17 +160,25 @@ def robust_distance(rows: DataFrame, group=("lang", "source"), stats=STATISTICS,
     off = _with_group(fit, centre, names).select(*names, *[F.abs(F.col(s) - F.col(f"m_{i}")).alias(s) for i, s in enumerate(stats)])
     spread = off.groupBy(*names).agg(*[F.percentile_approx(s, 0.5, 10000).alias(f"s_{i}") for i, s in enumerate(stats)])
     start = written(_with_group(centre, spread, names), "estimates")
-    near = sum((((F.col(s) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + floors[i])) ** 2 for i, s in enumerate(stats)), F.lit(0.0))
-    scored = _with_group(fit, start, names).select(*names, *stats, near.alias("_d"))
+    runs = [*names, "_start"]
+    first = F.posexplode(F.array(*_starts(stats, floors))).alias("_start", "_d")
+    scored = _with_group(fit, start, names).select(*names, *stats, first)
+    several = fit.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(len(_starts(stats, floors)) - 1))))
     for _ in range(steps + 1):
-        limit = scored.groupBy(*names).agg(F.percentile_approx("_d", share, 10000).alias("_limit"))
-        core = _with_group(scored, limit, names).where(F.col("_d") <= F.col("_limit"))
-        estimate = written(_moments(core, names, stats, floors), "estimates")
-        scored = _with_group(fit, estimate, names).select(*names, *stats, _distance(stats).alias("_d"))
-    scale = scored.groupBy(*names).agg(F.greatest(F.percentile_approx("_d", 0.5, 10000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
-    final = written(_with_group(estimate, scale, names), "estimates")
-    gone = [c for c in final.columns if c not in names]
-    return _with_group(rows, final, names).withColumn("robust_distance", _distance(stats) / F.col("_scale")).drop(*gone)
+        limit = scored.groupBy(*runs).agg(F.percentile_approx("_d", share, 10000).alias("_limit"))
+        core = _with_group(scored, limit, runs).where(F.col("_d") <= F.col("_limit"))
+        estimate = written(_moments(core, runs, stats, floors), "estimates")
+        scored = _with_group(several, estimate, runs).select(*runs, *stats, _distance(stats).alias("_d"))
+    # the least determinant; the factor's diagonal holds its inverse root
+    inverse_root = sum((F.log(F.col(f"f_{i}_{i}")) for i in range(len(stats))), F.lit(0.0))
+    own = [c for c in estimate.columns if c not in runs]
+    best = estimate.groupBy(*names).agg(F.max_by(F.struct(*own), F.struct(inverse_root, -F.col("_start"))).alias("_b")).select(*names, "_b.*")
+    best = written(best, "estimates")
+    final = _with_group(fit, best, names).select(*names, _distance(stats).alias("_d"))
+    scale = final.groupBy(*names).agg(F.greatest(F.percentile_approx("_d", 0.5, 10000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
+    both = written(_with_group(best, scale, names), "estimates")
+    gone = [c for c in both.columns if c not in names]
+    return _with_group(rows, both, names).withColumn("robust_distance", _distance(stats) / F.col("_scale")).drop(*gone)
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -498,6 +498,62 @@ def test_base_rules(messy, small, empty):
     assert all(not r.kept for r in outliers.quality_rules(messy).collect() if r.base_failed)
 
 
+def plain_mcd(x, floors, share, steps):
+    """Concentration from the three starts on one group; squared distances by the least determinant."""
+    def quantile(values, p):
+        return np.sort(values)[max(int(np.ceil(p * len(values))) - 1, 0)]
+
+    centre = np.array([quantile(c, 0.5) for c in x.T])
+    spread = np.array([quantile(np.abs(c - m), 0.5) for c, m in zip(x.T, centre)])
+    z = (x - centre) / (1.4826 * spread + floors)
+    best = None
+    for d in ((z * z).sum(axis=1), (np.tanh(z / 2) ** 2).sum(axis=1), np.abs(z).max(axis=1)):
+        for _ in range(steps + 1):
+            core = x[d <= quantile(d, share)]
+            cov = np.cov(core.T, bias=True) + np.diag(np.square(floors))
+            off = x - core.mean(axis=0)
+            d = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+        if best is None or np.linalg.det(cov) < best[0] * (1 - 1e-9):
+            best = np.linalg.det(cov), d
+    return best[1] / max(quantile(best[1], 0.5) / outliers.CHI2_MEDIAN, 1.0)
+
+
+def test_robust_distance_takes_the_least_determinant(spark):
+    rng = np.random.default_rng(12)
+    groups = {"a": rng.normal(0, 1, (150, 3)) @ rng.normal(0, 1, (3, 3)), "b": np.r_[rng.normal(0, 1, (110, 3)), rng.normal(6, 0.2, (45, 3))]}
+    rows = [(g, i, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double, z double")
+    floors = (0.05, 0.05, 0.05)
+    got = {(r.g, r.i): r.robust_distance for r in outliers.robust_distance(df, ("g",), ("x", "y", "z"), floors).collect()}
+    for g, x in groups.items():
+        want = plain_mcd(x, np.array(floors), outliers.SHARE, outliers.STEPS)
+        assert np.allclose([got[g, i] for i in range(len(x))], want, rtol=1e-6)
+
+
+def test_rules_reject_one_extreme_statistic_each(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(4000)]
+
+    def prose(n=120):
+        w = list(rng.choice(vocabulary, n, replace=False))
+        return "\n".join(" ".join(["The", *w[k:k + 12]]) for k in range(0, n, 12))
+
+    rows = [(i, prose()) for i in range(400)]
+    half = prose(60)
+    planted = {
+        1000: " ".join(x * 4 for x in prose().split()),                                        # long words
+        1001: " # ".join(prose().split()),                                                     # symbols
+        1002: half + "\n" + "\n".join(["one line"] * 9) + "\n" + prose(60),                     # equal lines
+        1003: prose(96) + " " + " ".join(vocabulary[:30] * 2),                                 # repeated words
+        1004: prose().upper(),                                                                 # upper case
+    }
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in [*rows, *planted.items()]], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.quality_rules(df).collect()}
+    assert not any(got[i].base_failed for i in planted)
+    assert not any(got[i].kept for i in planted)
+    assert all(got[i].kept for i, _ in rows)
+
+
 def test_robust_distance_finds_planted_outliers(spark):
     rng = np.random.default_rng(2)
     rows = []
