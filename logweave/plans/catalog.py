@@ -696,6 +696,13 @@ def logsig_two_rounds(spark, sf_dir):
     return LS.logsig(logsig_input(spark, sf_dir), K, 2, init="round_robin").select("line_id", "cluster")
 
 
+@query
+def stored_clusters(spark, sf_dir):
+    # K6: the cluster state of a run, written as a table and read back
+    path = FL.write_dictionary(logsig_two_rounds(spark, sf_dir), scratch_path(spark, "clusters"))
+    return text.read_dictionary(spark, path)
+
+
 def signature_input(spark, sf_dir) -> DataFrame:
     p = parsed(spark, sf_dir)
     cluster = F.concat_ws(" ", F.col("program"), F.regexp_extract("message", r"^(\S+)", 1))
@@ -711,3 +718,10 @@ def logsig_signatures(spark, sf_dir):
 @query
 def logsig_signatures_literal(spark, sf_dir):
     return LS.signatures(signature_input(spark, sf_dir), "literal")
+
+
+@query
+def stored_signatures(spark, sf_dir):
+    # K6: the signatures of all clusters, written as a table and read back
+    path = FL.write_dictionary(logsig_signatures(spark, sf_dir), scratch_path(spark, "signatures"))
+    return text.read_dictionary(spark, path)

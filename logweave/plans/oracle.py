@@ -479,3 +479,5 @@ state{r + 1} AS MATERIALIZED (
 ORACLE["logsig_two_rounds"] = LOGSIG + """,
 state0 AS MATERIALIZED (SELECT line_id, cluster, min(line_id) OVER (PARTITION BY cluster, tokens) AS rep FROM ls)""" + _round(0) + _round(1) + """
 SELECT line_id, cluster FROM state2"""
+ORACLE["stored_clusters"] = ORACLE["logsig_two_rounds"]
+ORACLE["stored_signatures"] = ORACLE["logsig_signatures"]
