@@ -156,8 +156,10 @@ class LanguageModel:
 def learn(train: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on all rows of ``train(text, lang)`` with a language; memory grows with the languages only."""
     prepare(train.sparkSession)
-    train = train.where(F.col("lang").isNotNull()).select(_padded(F.col("text")).alias("text"), "lang")
-    counted = train.mapInArrow(_count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the sample below is drawn by id and text: a text that many documents share is not all in or all out
+    dice = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in train.columns)), F.lit(1_000_000))
+    train = train.where(F.col("lang").isNotNull()).select(_padded(F.col("text")).alias("text"), "lang", dice.alias("_dice"))
+    counted = train.select("text", "lang").mapInArrow(_count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()                             # at most 2 ** GRAM_BITS rows per language
     languages = sorted(set(table["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
@@ -174,7 +176,7 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         share = F.lit(0.0)
         for x, n in sizes.items():
             share = F.when(F.col("lang") == x, F.lit(min(1.0, sample / n))).otherwise(share)
-        some = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+        some = train.where(F.col("_dice") < share * 1_000_000).select("text", "lang")
         shared = train.sparkSession.sparkContext.broadcast((weights, code, number))
 
         def right(batches):

@@ -33,7 +33,8 @@ from .words import groups, mix, word_hashes
 
 CAPACITY = 1024
 END_ID = 2
-KNOWN = 1 << 21                     # words whose ids a worker remembers (about 40 bytes each)
+KNOWN = 1 << 20                     # words whose ids a worker remembers (about 40 bytes each)
+SLICE = 1 << 20                     # bytes of text that are encoded together
 PARTS = 1 << 17                     # young parts of words whose ids it remembers
 
 # White space as the tokenizer's pattern knows it.
@@ -87,8 +88,8 @@ class Encoder:
 
     A batch's words are hashed together, its distinct words are looked up in a sorted table of
     64-bit hashes, only unknown ones are encoded, and the ids of all words are put together by
-    their offsets in one array.  When the table is over its bound, words not met since
-    the last time go (all go if those are too many).
+    their offsets in one array.  When the table is over its bound, words not met again since
+    the last time go (all go if too many were).
     """
 
     def __init__(self, path: str, known: int = KNOWN):
@@ -184,7 +185,7 @@ class Encoder:
             new = at[~have]
             self._learn(key[~have], [("" if f else " ", data[a:z].tobytes().decode()) for f, a, z in zip(first[new], s[new].tolist(), e[new].tolist())])
             place = np.searchsorted(self._keys, key)
-        self._met[place] = True
+        self._met[place[have]] = True
         size, start = self._size[place][word].astype(np.int64), self._at[place][word]
         odd[doc[size < 0]] = True
         # words and line feeds in text order
@@ -234,7 +235,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def pieces(batches):
         encode = encoder(tokenizer_path)
-        for batch in (part for whole in batches for part in groups(whole)):
+        for batch in (part for whole in batches for part in groups(whole, SLICE)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, found in enumerate(encode.texts(batch.column(1))):
                 data = np.concatenate([found, end])

@@ -230,7 +230,12 @@ def _kept(batches):
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, kept_text)``, one row per input row."""
+    """``(doc_id, n_words, n_removed, kept_sha256, kept_text)``, one row per input row.
+
+    A segment's windows are one long of bits: ``window`` has ``k`` words at least and ``k`` + 63 at most.
+    """
+    if not 1 <= k <= window <= k + 63:
+        raise ValueError("a window has k to k + 63 words")
     texts = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", blank(F.col("text"))))
     spans = repeated_spans(texts, window, k)
     # adjacent window spans of a document merge before they are gathered

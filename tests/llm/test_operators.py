@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -133,6 +134,36 @@ def test_url_index_token_is_the_rarest(spark):
     assert url_filter.verdicts(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
+def test_thousands_of_rules_equal_every_rule_on_every_url(spark):
+    rng = np.random.default_rng(9)
+    names = [f"n{i}" for i in range(60)]
+    sites = {}
+    while len(sites) < 1500:
+        host = ".".join(rng.choice(names, rng.integers(1, 3))) + "." + str(rng.choice(["com", "org", "net"]))
+        path = "/".join(rng.choice(names[:6], rng.integers(0, 3)))
+        sites[f"{host}/{path + '/' if path else ''}"] = str(rng.choice(["allow", "block"]))
+    patterns = [f"/{a}/[0-9]{{{d}}}\\b" for a in names for d in (2, 3, 4)] + [f"[?&]{a}={b}\\b" for a in names[:30] for b in names[:30]]
+    table = [("site", r, v, url_filter.site_pattern(r), [t for t in re.split("[^a-z0-9]+", r) if t]) for r, v in sites.items()]
+    table += [("pattern", p, "block", p, url_filter.literal_tokens(p) or [""]) for p in patterns]
+    urls = []
+    for i in range(400):
+        host = ".".join(rng.choice(names, rng.integers(1, 4))) + "." + str(rng.choice(["com", "org", "net"]))
+        urls.append(f"https://{host}/" + "/".join(rng.choice([*names[:8], "123", "45"], rng.integers(0, 4))) + str(rng.choice(["", f"?{names[3]}={names[5]}", "/?x=1", "#a"])))
+    rules = spark.createDataFrame(table, "kind string, rule string, verdict string, pattern string, tokens array<string>")
+    got = {r.page_id: r for r in url_filter.verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules).collect()}
+    ruled, matched = 0, 0
+    for i, u in enumerate(urls):
+        rest = re.split("[?#]", u.split("://", 1)[1])[0]
+        host, path = rest.split("/", 1)[0], "/" + rest.split("/", 1)[1]
+        fits = [(len(r), r, v) for r, v in sites.items()
+                if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        hit = any(re.search(p, u) for p in patterns)
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if hit else "allow")
+        assert (got[i].rule, got[i].verdict) == (rule, verdict), u
+        ruled, matched = ruled + bool(fits), matched + (hit and not fits)
+    assert ruled > 20 and matched > 5
+
+
 # ---- 3 language id ------------------------------------------------------------------------
 
 def test_codewords_differ():
@@ -392,6 +423,18 @@ def test_repeats_in_tangled_texts(spark, seed):
         assert {i: len(g) for i, g in gone.items()} == {r[0]: r[2] for r in brute.without_repeats(rows)}
 
 
+@pytest.mark.parametrize("window, k", [(5, 3), (70, 7)])
+def test_other_windows(spark, window, k):
+    rng = np.random.default_rng(window)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join([*(f"o{i}_{x}" for x in range(rng.integers(0, 9))), *passage[int(rng.integers(0, 15)):], *rng.choice(list("abc"), 12)])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(df, window, k).collect())
+    assert got == bag(brute.without_repeats(rows, window))
+    with pytest.raises(ValueError):
+        substring.without_repeats(df, k + 64, k)
+
+
 # ---- 8 quality ------------------------------------------------------------------------------------
 
 def test_quality_on_held_out_documents(spark, small):
