@@ -7,10 +7,13 @@ dictionary join and all arithmetic work on that, never on per-line lists.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..session import scratch_path
 
 
 def with_index(contents: DataFrame, dictionary: DataFrame, oov: str = "skip") -> DataFrame:
@@ -97,11 +100,17 @@ def sparse_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
     """M4 edge: long-form ``(*keys, idx, freq)`` -> one sparse vector ``features`` per window.
 
     A window holds an entry per distinct template in it, whatever the dictionary
-    has.  The vector type has no SQL constructor, so one small Python function
-    per window (not per line) wraps the sorted entries.
+    has.  SQL has no constructor for a sparse vector, but a vector is stored as a
+    struct: the windows' structs are written once to the shared folder (models pass
+    over them many times anyway) and read back as vectors, without a Python function.
     """
-    make = F.udf(lambda n, idx, freq: Vectors.sparse(n, idx, freq), VectorUDT())
     entries = F.sort_array(F.collect_list(F.struct("idx", "freq")))
     n = F.lit(size) if isinstance(size, int) else size
     packed = freqs.groupBy(*keys).agg(entries.alias("_e")).withColumn("_n", n.cast("int"))
-    return packed.select(*keys, make("_n", F.col("_e.idx"), F.col("_e.freq")).alias("features"))
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.col("_n").alias("size"),
+                      F.col("_e.idx").cast("array<int>").alias("indices"), F.col("_e.freq").cast("array<double>").alias("values"))
+    rows = packed.select(*keys, sparse.alias("features"))
+    path = scratch_path(freqs.sparkSession, "features")
+    rows.write.parquet(path)
+    kind = StructType([*(rows.schema[k] for k in keys), StructField("features", VectorUDT())])
+    return freqs.sparkSession.read.schema(kind).parquet(path)

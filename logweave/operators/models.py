@@ -86,13 +86,20 @@ def word2vec(size: int = 50, seed: int = 42, min_count: int = 1, max_len: int =
     """M1: template embedding; each template is a word, each sentence a log piece.
 
     ``partitions`` tasks train on their share of the sentences and are averaged
-    after each of ``iterations`` passes; raise both with the corpus (passes
-    should not be fewer than partitions).
+    after each of ``iterations`` passes (no more passes than partitions, as Spark
+    advises); :func:`fit_word2vec` takes the partitions from the corpus.
     """
     return Word2Vec(vectorSize=size, seed=seed, minCount=min_count, maxSentenceLength=max_len,
                     numPartitions=partitions, maxIter=iterations, inputCol="sentence", outputCol="vec")
 
 
+def fit_word2vec(sentences: DataFrame, size: int = 50, seed: int = 42, min_count: int = 1, per_task: int = 2000):
+    """M1 on ``sentences``, written once: a task for every ``per_task`` pieces, four at least."""
+    sentences = written(sentences, "sentences")
+    partitions = max(4, -(-sentences.count() // per_task))
+    return word2vec(size, seed, min_count, partitions=partitions).fit(sentences)
+
+
 def embedding_table(model) -> DataFrame:
     """M2: ``(word, vector array<float>)``."""
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))

@@ -442,7 +442,7 @@ def host_window_metrics(spark, sf_dir):
         contents = host_windows(by_host, kind)
         freqs = FT.window_frequencies(contents, ["host", "win"], d)
         lab = LB.labeled_count_windows(contents, by_host, TARGET, COUNT_W, kind, "x", HOST)
-        vectors = written(MD.labelled_vectors(freqs.join(lab, ["host", "win"]), size, ("host", "win", "label")), "vectors").withColumn("side", side_of())
+        vectors = MD.labelled_vectors(freqs.join(lab, ["host", "win"]), size, ("host", "win", "label")).withColumn("side", side_of())
         train, test = (vectors.where(F.col("side") == side) for side in ("train", "test"))
         for name, model in (("svm", MD.linear_svm(100)), ("logreg", MD.logistic_regression())):
             row = MD.fit_and_evaluate(model, train, test)[1].select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*")
@@ -460,7 +460,7 @@ def word2vec_sentences(spark, sf_dir):
 
 
 def word2vec_model(spark, sf_dir):
-    return MD.word2vec(50, 42, 1).fit(sentences_of(spark, sf_dir))
+    return MD.fit_word2vec(sentences_of(spark, sf_dir))
 
 
 @query
@@ -627,8 +627,7 @@ def file_embedding_sizes(spark, sf_dir):
     path = scratch_path(spark, "files")
     parsed(spark, sf_dir).select(F.substring("host", 1, 6).alias("grp"), "line").write.partitionBy("grp").text(path)
     pieces = SN.file_sentences(text.read_file_lines(spark, path + "/*/part-*"))
-    model = MD.word2vec(50, 42, 1).fit(written(pieces, "sentences"))
-    return MD.embedding_table(model).select("word", F.size("vector").alias("size"))
+    return MD.embedding_table(MD.fit_word2vec(pieces)).select("word", F.size("vector").alias("size"))
 
 
 # ---- milestone 5: LogSig ---------------------------------------------------------------

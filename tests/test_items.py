@@ -117,6 +117,12 @@ def test_file_sentences_are_cut(spark):
     assert got["f", 2][-1] == "" and got["f", 0][0] == "n * mem_addr"
 
 
+def test_word2vec_tasks_follow_the_corpus(spark):
+    from logweave.operators import models as MD
+    pieces = spark.createDataFrame([(i, [f"t{i % 5}", "x", f"t{i % 3}"]) for i in range(25)], "piece int, sentence array<string>")
+    assert [MD.fit_word2vec(pieces, size=4, per_task=n).getNumPartitions() for n in (5, 2000)] == [5, 4]
+
+
 # ---- nearest vectors ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [3, 7, 1000])
