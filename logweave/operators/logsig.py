@@ -15,6 +15,11 @@ a hot template (half of all lines, say) becomes one row before any pair is
 formed.  Pairs are quadratic in a line's token count, inherent to the method; a
 long line's pairs are dealt over tasks by blocks of tokens.
 
+A pair with a word that no other distinct line has (an id, an address) is never
+shared: its count is the line's multiplicity in the line's cluster and 0 elsewhere.
+Such pairs are not formed but counted (``own`` occurrences), and lines that differ in
+such words alone become one row (:func:`merged_lines`).  All sums stay exact.
+
 Rounds work on changes: the lines' pairs and a table of each pair's counts per
 cluster are formed once, and a round adds what its moved lines change.
 """
@@ -43,8 +48,9 @@ def init_clusters(lines: DataFrame, k: int, mode: str = "hash", seed: int = 42)
 
 def _fingerprint(tokens: str = "tokens"):
     """Two independent 64-bit hashes of a token array (a 128-bit key for joins)."""
-    return [F.xxhash64(F.col(tokens)).alias("_h1"),
-            F.xxhash64(F.lit("logsig"), F.col(tokens)).alias("_h2")]
+    # a missing and an empty array hash alike, so the key says which it is
+    return [F.xxhash64(F.col(tokens), F.col(tokens).isNull()).alias("_h1"),
+            F.xxhash64(F.lit("logsig"), F.col(tokens), F.col(tokens).isNull()).alias("_h2")]
 
 
 def distinct_lines(clustered: DataFrame) -> DataFrame:
@@ -64,7 +70,55 @@ def shared_lines(clustered: DataFrame) -> DataFrame:
     re-tokenise the log, since pushed-down filters and pruned columns make the
     branches differ and Spark cannot reuse one exchange for them.
     """
-    return written(distinct_lines(clustered), "lines")
+    return written(distinct_lines(clustered).withColumn("_row", F.monotonically_increasing_id()), "lines")
+
+
+_HASH = ("_h1", "_h2")
+_GROUP = ("_g1", "_g2")
+
+
+def merged_lines(groups: DataFrame, parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines of :func:`shared_lines` that differ only in words of their own, as one row.
+
+    Returns ``(members, merged)``.  ``members``: the group ``_g1, _g2`` of every distinct line
+    ``(cluster, _h1, _h2)``.  ``merged``: ``(cluster, tokens, rep, mult, each, own, _g1, _g2)``
+    with the shared tokens, the lowest line id, all lines, the lines of one
+    distinct line, and its pair occurrences that hold a word of its own.
+
+    Lines of a group have equal multiplicities and equal line ids modulo ``parts``, so
+    they score alike and move in the same rounds.  ``*`` is never a word of its own.
+    """
+    words = groups.select("_row", F.explode(F.array_distinct("tokens")).alias("_w")).where(F.col("_w") != STAR)
+    single = (words.groupBy("_w").agg(F.min("_row").alias("_row"), F.max("_row").alias("_last"))
+              .where(F.col("_row") == F.col("_last")))
+    own = single.groupBy("_row").agg(F.collect_list("_w").alias("_own"))
+    shared = F.when(F.col("_own").isNull(), F.col("tokens")).otherwise(
+        F.filter("tokens", lambda x: ~F.coalesce(F.array_contains(F.col("_own"), x), F.lit(False))))
+
+    def pairs(tokens):
+        n = F.greatest(F.size(tokens), F.lit(0)).cast("long")
+        return F.shiftright(n * (n - 1), 1)
+
+    marked = groups.join(own, "_row", "left").select("cluster", "rep", "mult", *_HASH, "tokens", shared.alias("_shared"))
+    marked = marked.select("cluster", "rep", "mult", *_HASH, F.col("_shared").alias("tokens"),
+                           (pairs("tokens") - pairs("_shared")).alias("own"),
+                           F.pmod("rep", F.lit(parts)).alias("_turn"))
+    key = ["cluster", "tokens", "mult", "own", "_turn"]
+    marked = written(marked.withColumns({
+        "_g1": F.xxhash64(*key, F.col("tokens").isNull()),
+        "_g2": F.xxhash64(F.lit("group"), *key, F.col("tokens").isNull())}), "marked")
+    merged = marked.groupBy(*key).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("_n"),
+                                      *[F.first(c).alias(c) for c in _GROUP])
+    merged = merged.select("cluster", "tokens", "rep", (F.col("mult") * F.col("_n")).alias("mult"),
+                           F.col("mult").alias("each"), "own", *_GROUP)
+    return marked.select("cluster", *_HASH, *_GROUP), written(merged, "merged")
+
+
+def _with_own(groups: DataFrame) -> DataFrame:
+    """Distinct lines that were not merged have no own pairs: all their pairs are formed."""
+    if "own" in groups.columns:
+        return groups
+    return groups.withColumns({"each": F.col("mult"), "own": F.lit(0).cast("long")})
 
 
 PAIR_KEY = ["_p1", "_p2"]
@@ -130,11 +184,11 @@ def pair_counts(clustered: DataFrame) -> DataFrame:
 
 def cluster_potential(clustered: DataFrame) -> DataFrame:
     """A12, A14 on ``(line_id, cluster, tokens)``: ``(cluster, len, potential)``."""
-    groups = shared_lines(clustered)
-    return potential_from(line_pairs(groups), cluster_lengths(groups))
+    _, groups = merged_lines(shared_lines(clustered))
+    return potential_from(line_pairs(groups), cluster_lengths(groups), groups=groups)
 
 
-def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFrame:
+def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash", groups: DataFrame | None = None) -> DataFrame:
     """A14 from line pairs ``(cluster, rep, mult, <pair>, occ)`` and lengths ``(cluster, len)``.
 
     Every occurrence of a pair adds n^3/len^2: per (cluster, pair) one
@@ -142,26 +196,32 @@ def potential_from(lp: DataFrame, lens: DataFrame, key: str = "hash") -> DataFra
     sum(m * n^3), with no join of the line pairs back to their counts.  The
     product (m * n) * (n * n) is summed exactly in three limbs of base 10^12,
     so the same sums are taken at every size and do not depend on their order;
-    the limbs meet in one double at the end.
+    the limbs meet in one double at the end.  ``groups``: merged lines, whose own pairs are added.
     """
     per_pair = lp.groupBy("cluster", *_pair_key(key)).agg(
         F.sum("mult").alias("n"), F.sum(F.col("mult") * F.col("occ")).alias("m"))
-    return _potential(per_pair, lens)
+    return _potential(per_pair, lens, groups)
 
 
-def _potential(per_pair: DataFrame, lens: DataFrame) -> DataFrame:
-    """Potential per cluster from ``(cluster, n, m)`` per pair."""
+def _potential(per_pair: DataFrame, lens: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Potential per cluster from ``(cluster, n, m)`` per pair and the own pairs of ``groups``."""
+    per_pair = per_pair.select("cluster", "n", "m", F.lit(1).cast("long").alias("w"))
+    if groups is not None:
+        # a distinct line's own pairs have n = each and each * own occurrences; mult / each such lines
+        per_pair = per_pair.unionByName(groups.where("own > 0").select(
+            "cluster", F.col("each").alias("n"), (F.col("each") * F.col("own")).alias("m"), F.expr("mult div each").alias("w")))
     n, m = F.col("n").cast(BIG), F.col("m").cast(BIG)
-    factors = per_pair.select("cluster", (m * n).cast(BIG).alias("x"), (n * n).cast(BIG).alias("y"))
+    factors = per_pair.select("cluster", "w", (m * n).cast(BIG).alias("x"), (n * n).cast(BIG).alias("y"))
     unit = 10 ** 12
     split = factors.select(
-        "cluster",
+        "cluster", F.col("w").cast("decimal(19,0)").alias("w"),
         F.expr(f"x div {unit}BD").alias("x1"), (F.col("x") % F.lit(unit)).cast("long").alias("x0"),
         F.expr(f"y div {unit}BD").alias("y1"), (F.col("y") % F.lit(unit)).cast("long").alias("y0"))
     x1, x0, y1, y0 = (F.col(c).cast("decimal(19,0)") for c in ("x1", "x0", "y1", "y0"))
-    num = split.groupBy("cluster").agg(F.sum((x1 * y1).cast(BIG)).alias("_s2"),
-                                       F.sum((x1 * y0).cast(BIG) + (x0 * y1).cast(BIG)).alias("_s1"),
-                                       F.sum((x0 * y0).cast(BIG)).alias("_s0"))
+    w = F.col("w")
+    num = split.groupBy("cluster").agg(F.sum(((x1 * y1).cast(BIG) * w).cast(BIG)).alias("_s2"),
+                                       F.sum((((x1 * y0).cast(BIG) + (x0 * y1).cast(BIG)).cast(BIG) * w).cast(BIG)).alias("_s1"),
+                                       F.sum(((x0 * y0).cast(BIG) * w).cast(BIG)).alias("_s0"))
     out = lens.join(num, "cluster", "left")
     total = (F.col("_s2").cast("double") * 1e24 + F.col("_s1").cast("double") * 1e12 + F.col("_s0").cast("double"))
     sq = F.pow(F.col("len").cast("double"), 2)     # len^2 passes a long past 3e9 lines
@@ -212,10 +272,16 @@ def _sums(terms: DataFrame, table: DataFrame, k: int) -> DataFrame:
 
 
 def _with_sums(groups: DataFrame, sums: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(rep, ci, *keep, _A)``; lines without any pair still get a sum (0) for every cluster."""
+    """``(rep, ci, *keep, _A)``; lines without any pair still get a sum (0) for every cluster.
+
+    Own pairs add ``own * each^2`` to the sum of the line's own cluster.
+    """
     zero = F.array(*[F.lit(0).cast(BIG) for _ in range(k)])
-    return (groups.select("rep", F.col("cluster").alias("ci"), *keep).join(sums, "rep", "left")
-            .select("rep", "ci", *keep, F.coalesce("_A", zero).alias("_A")))
+    square = (F.col("each").cast(BIG) * F.col("each").cast(BIG)).cast(BIG)
+    rows = _with_own(groups).select("rep", F.col("cluster").alias("ci"), *keep, (square * F.col("own").cast(BIG)).cast(BIG).alias("_own"))
+    full = rows.join(sums, "rep", "left").withColumn("_A", F.coalesce("_A", zero))
+    added = F.transform("_A", lambda a, c: F.when(c == F.col("ci"), (a + F.col("_own")).cast(BIG)).otherwise(a))
+    return full.select("rep", "ci", *keep, added.alias("_A"))
 
 
 def rep_vectors(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -252,9 +318,6 @@ def rep_scores(groups: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFra
     return _score_targets(rep_vectors(groups, k, keep), cluster_lengths(groups), k, ("rep", *keep))
 
 
-_HASH = ("_h1", "_h2")
-
-
 def _keyed(clustered: DataFrame) -> DataFrame:
     """Lines with the 128-bit fingerprint of their tokens instead of the tokens."""
     return clustered.select("line_id", "cluster", *_fingerprint())
@@ -263,16 +326,15 @@ def _keyed(clustered: DataFrame) -> DataFrame:
 def move_scores(clustered: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
     """L3: ``(line_id, cluster, target, score)`` for every line and every other cluster.
 
-    Lines meet their distinct line's score vector in one join on (cluster,
-    fingerprint), before the k-1 targets are exploded.
+    A group of merged lines is scored once; lines meet their group by one join on
+    (cluster, fingerprint), and its k-1 scores by another.
     """
-    groups = shared_lines(clustered)
-    vectors = written(rep_vectors(groups, k, _HASH).withColumnRenamed("ci", "cluster"), "vectors")
-    per_line = (_keyed(clustered).join(vectors.select("cluster", *_HASH, "_A"), ["cluster", *_HASH])
-                .select("line_id", F.col("cluster").alias("ci"), "_A"))
-    scored = _score_targets(per_line, cluster_lengths(groups), k, ("line_id",))
+    members, groups = merged_lines(shared_lines(clustered))
+    scored = _score_targets(rep_vectors(groups, k, _GROUP), cluster_lengths(groups), k, _GROUP)
     score = F.round("score", digits) + F.lit(0.0) if digits is not None else F.col("score")
-    return scored.select("line_id", F.col("ci").alias("cluster"), F.col("cj").alias("target"), score.alias("score"))
+    scores = written(scored.select(*_GROUP, F.col("cj").alias("target"), score.alias("score")), "scores")
+    located = _keyed(clustered).join(members, ["cluster", *_HASH])
+    return located.join(scores, [*_GROUP]).select("line_id", "cluster", "target", "score")
 
 
 def _decide(scores: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -291,19 +353,19 @@ def best_moves(clustered: DataFrame, k: int) -> DataFrame:
 
     ``(line_id, cluster, new_cluster, gain)``; ``gain`` is the exact double.
     """
-    groups = shared_lines(clustered)
-    decided = written(_decide(rep_scores(groups, k, _HASH), _HASH).withColumnRenamed("ci", "cluster"), "moves")
-    per_line = _keyed(clustered).join(decided.drop("rep"), ["cluster", *_HASH])
+    members, groups = merged_lines(shared_lines(clustered))
+    decided = written(_decide(rep_scores(groups, k, _GROUP), _GROUP), "moves")
+    per_line = _keyed(clustered).join(members, ["cluster", *_HASH]).join(decided.select(*_GROUP, "_to", "gain"), [*_GROUP])
     return per_line.select("line_id", "cluster",
                            F.coalesce(F.col("_to"), F.col("cluster")).cast("int").alias("new_cluster"),
                            "gain")
 
 
-def _table_potential(table: DataFrame, lens: DataFrame, k: int) -> float:
-    """Total potential from the pair table."""
+def _table_potential(table: DataFrame, state: DataFrame, k: int) -> float:
+    """Total potential from the pair table and the own pairs of ``state``."""
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.col(f"n{c}").alias("n"), F.col(f"m{c}").alias("m")) for c in range(k)]))
     per_pair = table.select(rows.alias("_r")).select("_r.*").where("n > 0")
-    return _potential(per_pair, lens).agg(F.sum("potential")).first()[0] or 0.0
+    return _potential(per_pair, cluster_lengths(state), state).agg(F.sum("potential")).first()[0] or 0.0
 
 
 def _changed(table: DataFrame, terms: DataFrame, moves: DataFrame, k: int) -> DataFrame:
@@ -322,14 +384,14 @@ def _changed(table: DataFrame, terms: DataFrame, moves: DataFrame, k: int) -> Da
 def rounds(groups: DataFrame, k: int, max_iter: int, parts: int):
     """Rounds of moves on distinct lines; yields ``(state, table)`` before the first and after every round.
 
-    ``state``: ``(rep, cluster, mult)``; ``table``: the pair table of that state.  The lines' pairs
+    ``state``: ``(rep, cluster, mult, each, own)``; ``table``: the pair table of that state.  The lines' pairs
     are formed once.  A round scores only the lines whose turn it is, and the table
     follows from the moved lines' pairs alone.
     """
     lp = written(line_pairs(groups), "pairs")
     terms = lp.select("rep", *PAIR_KEY, "occ")
-    state, table = groups.select("rep", "cluster", "mult"), written(pair_table(lp, k), "table")
-    best, idle = _table_potential(table, cluster_lengths(state), k), 0
+    state, table = _with_own(groups).select("rep", "cluster", "mult", "each", "own"), written(pair_table(lp, k), "table")
+    best, idle = _table_potential(table, state, k), 0
     yield state, table
     for r in range(max_iter):
         turn = F.pmod(F.col("rep") + r, F.lit(parts)) == 0
@@ -338,9 +400,9 @@ def rounds(groups: DataFrame, k: int, max_iter: int, parts: int):
         moves = written(decided.where(F.col("_to").isNotNull()).join(state.select("rep", "mult"), "rep")
                         .select("rep", "mult", F.col("ci").alias("_from"), F.col("_to").cast("int").alias("_to")), "moves")
         proposal = written(state.join(moves.select("rep", "_to"), "rep", "left").select(
-            "rep", F.coalesce("_to", "cluster").alias("cluster"), "mult"), "state")
+            "rep", F.coalesce("_to", "cluster").alias("cluster"), "mult", "each", "own"), "state")
         changed = written(_changed(table, terms, moves, k), "table")
-        value = _table_potential(changed, cluster_lengths(proposal), k)
+        value = _table_potential(changed, proposal, k)
         if value > best:
             state, table, best, idle = proposal, changed, value, 0
         else:
@@ -355,8 +417,8 @@ def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash
     """L1-L4: iterate synchronous moves while the total potential rises.
 
     ``tokens``: ``(line_id, tokens)`` -> ``(line_id, cluster, tokens)``.  The state is
-    one row per distinct line of the initial clustering (identical lines of a
-    cluster always score alike, so they move together).  In round r only the
+    one row per group of merged lines of the initial clustering (they
+    always score alike and share their turns, so they move together).  In round r only the
     lines with (rep + r) mod ``parts`` = 0 may move: if all moved at once on the
     old counts, groups would swap places or fall together.  A round that does
     not raise the potential is taken back; ``parts`` such rounds in a row end the
@@ -364,12 +426,12 @@ def logsig(tokens: DataFrame, k: int = 10, max_iter: int = 10, init: str = "hash
     short; only one number per round (the potential) reaches the driver.
     """
     lines = init_clusters(tokens.select("line_id", "tokens"), k, init, seed)
-    groups = shared_lines(lines)
+    members, groups = merged_lines(shared_lines(lines), parts)
     for state, _ in rounds(groups, k, max_iter, parts):
         pass
-    final = state.select("rep", F.col("cluster").alias("final"))
+    final = written(groups.select("rep", *_GROUP).join(state.select("rep", F.col("cluster").alias("final")), "rep").drop("rep"), "final")
     keyed = lines.select("line_id", "cluster", "tokens", *_fingerprint())
-    located = keyed.join(groups.select("cluster", *_HASH, "rep"), ["cluster", *_HASH]).join(final, "rep")
+    located = keyed.join(members, ["cluster", *_HASH]).join(final, [*_GROUP])
     return located.select("line_id", F.col("final").alias("cluster"), "tokens")
 
 
