@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .numbering import sums_before
 
 # ---- count windows -------------------------------------------------------------------
 
@@ -41,18 +40,20 @@ def sliding_count_windows(x: Column, w: int, mode: str = "reference") -> Column:
 
 
 def count_window_contents(masked: DataFrame, w: int, kind: str = "fixed",
-                          mode: str = "reference", x: str = "line_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Lines per (window code, template): ``(*keys, win, template, cnt)``.
+                          mode: str = "reference", x: str = "line_id", keys: tuple[str, ...] = (),
+                          key: str = "template") -> DataFrame:
+    """Lines per (window code, ``key``): ``(*keys, win, key, cnt)``.
 
     ``x`` numbers the lines from 1, within each ``keys`` group if there are keys.
+    ``key="idx"`` carries the dictionary's number instead of the template text.
     """
     if kind == "fixed":
         win = fixed_count_window(F.col(x), w)
-        assigned = masked.select(*keys, win.alias("win"), "template")
+        assigned = masked.select(*keys, win.alias("win"), key)
     else:
         assigned = masked.select(*keys, F.explode(sliding_count_windows(F.col(x), w, mode)).alias("win"),
-                                 "template")
-    return assigned.groupBy(*keys, "win", "template").agg(F.count(F.lit(1)).alias("cnt"))
+                                 key)
+    return assigned.groupBy(*keys, "win", key).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 # ---- sliding time windows ------------------------------------------------------------
@@ -189,6 +190,9 @@ def target_times(counts: DataFrame, target: str) -> DataFrame:
     return counts.where(F.col("template").contains(target)).select("t").distinct()
 
 
+ROWS_PER_TASK = 1 << 20      # rows that a task of the target windows sorts
+
+
 def target_window_contents(counts: DataFrame, target: str, w: int,
                            include_target: bool = True, key: str = "template") -> DataFrame:
     """For each target second t0, the window [t0-w, t0] (closed; with
@@ -196,36 +200,50 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
 
     ``counts``: per-second counts ``(t, template, cnt)`` (and ``idx`` for ``key="idx"``).  Targets lie
     close together, so their windows share most lines; no line is joined with the
-    targets near it.  Instead cnt = C(t0) - C(t0 - w - 1), with C the running count
-    of a template:
-
-    1. The templates of a target's window lie in the buckets (of w seconds) that it
-       covers: targets meet *distinct* (bucket, template) rows, at most one per template.
-    2. Each (target, template) asks for C at two times.  The questions are sorted
-       among the template's rows of the same bucket (3 w rows at most), and one
-       running sum answers them (an as-of look-up of the last row).
-    3. What a template had before a bucket is a running sum over buckets, by
-       stretches (:func:`numbering.sums_before`), so a hot template is dealt over many groups.
+    targets near it.  Time is cut into buckets of w seconds.  A window that ends at second o of a
+    bucket holds the bucket's lines up to o and the lines of the bucket before it from o on:
+
+    1. For every (bucket, template) a running count over the seconds of the bucket starts with all lines
+       of the bucket before it, takes in the bucket's lines and lets go of the earlier ones.
+    2. Targets meet the *distinct* templates of their two buckets; each such question is sorted
+       among the running count's rows (3 w of them at most) and reads it off.
+
+    One shuffle, by (template number, bucket), over tasks that follow from the number of rows, so a
+    task's memory does not grow with the log.
     """
     b = max(1, w)
-
-    def bucket(t):
-        return F.floor(t / F.lit(b))
-
-    t0 = F.col("t0")
-    rows = counts.select(key, bucket(F.col("t")).alias("bucket"), "t", "cnt")
-    targets = target_times(counts, target).withColumnRenamed("t", "t0")
-    covered = targets.select("t0", F.explode_outer(F.sequence(bucket(t0 - w), bucket(t0))).alias("bucket"))
-    pairs = rows.select("bucket", key).distinct().join(covered, "bucket").select("t0", key).distinct()
-    ends = F.array(F.struct((t0 if include_target else t0 - 1).alias("t"), F.lit(1).alias("sign")),
-                   F.struct((t0 - w - 1).alias("t"), F.lit(-1).alias("sign")))
-    asked = pairs.select(key, "t0", F.explode(ends).alias("_e")).select(
-        key, bucket(F.col("_e.t")).alias("bucket"), F.col("_e.t").alias("t"), F.lit(0).cast("long").alias("cnt"), "t0", F.col("_e.sign").alias("sign"))
-    stream = written(rows.withColumns({"t0": F.lit(None).cast("long"), "sign": F.lit(0)}).unionByName(asked), "asked")
-    # rows of one second are peers, so a question also counts the lines of its own second
-    until = Window.partitionBy(key, "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    answers = stream.withColumn("_in", F.sum("cnt").over(until)).where("sign <> 0")
-    starts = sums_before(stream.groupBy(key, "bucket").agg(F.sum("cnt").alias("_of")), [key], "bucket", "_of", "_start")
-    both = answers.join(starts.select(key, "bucket", "_start"), [key, "bucket"])
-    cnt = both.groupBy("t0", key).agg(F.sum(F.col("sign") * (F.col("_in") + F.col("_start"))).alias("cnt")).where("cnt > 0")
-    return cnt.select((t0 - w).alias("ws"), t0.alias("we"), key, "cnt")
+    seconds = F.col("t") - F.col("bucket") * b
+    bucket = F.floor(F.col("t") / F.lit(b))
+    # the texts of templates stay out of the shuffle
+    names = written(counts.select(key).distinct().withColumn("_k", F.monotonically_increasing_id()), "names")
+    rows = counts.join(names, key).select("_k", "t", bucket.alias("bucket"), "cnt")
+    totals = written(rows.groupBy("_k", "bucket").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n")), "buckets")
+    targets = target_times(counts, target).select(F.col("t").alias("t0"), "t", bucket.alias("bucket")).select("t0", "bucket", seconds.alias("at"))
+    covers = totals.select("_k", "bucket")
+    if w > 0:
+        covers = covers.unionByName(totals.select("_k", (F.col("bucket") + 1).alias("bucket"))).distinct()
+    n = _target_tasks(covers, targets, totals)
+
+    none = F.lit(None).cast("long")
+    enter = rows.select("_k", "bucket", (seconds if include_target else seconds + 1).alias("at"), "cnt", none.alias("t0"))
+    stream = enter.unionByName(covers.join(targets, "bucket").select("_k", "bucket", "at", F.lit(0).cast("long").alias("cnt"), "t0"))
+    if w > 0:
+        after = (F.col("bucket") + 1).alias("bucket")
+        stream = (stream.unionByName(totals.select("_k", after, F.lit(-1).cast("long").alias("at"), "cnt", none.alias("t0")))
+                  .unionByName(rows.select("_k", after, (seconds + 1).alias("at"), (-F.col("cnt")).alias("cnt"), none.alias("t0"))))
+    # changes come before the questions of the same second
+    until = (Window.partitionBy("_k", "bucket").orderBy("at", F.col("t0").asc_nulls_first())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    answers = (stream.repartition(n, "_k", "bucket").withColumn("_in", F.sum("cnt").over(until))
+               .where(F.col("t0").isNotNull() & (F.col("_in") > 0)))
+    return answers.join(names, "_k").select((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), key, F.col("_in").alias("cnt"))
+
+
+def _target_tasks(covers: DataFrame, targets: DataFrame, totals: DataFrame) -> int:
+    """Tasks for the rows of the running counts and their questions; one row of sums reaches the driver."""
+    asked = (covers.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c"))
+             .join(targets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_t")), "bucket")
+             .agg(F.coalesce(F.sum(F.col("_c") * F.col("_t")), F.lit(0)))).first()[0]
+    held = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(asked + 2 * held) // ROWS_PER_TASK))

@@ -149,3 +149,16 @@ def test_calendar_window_before_crosses_the_border(spark, unit, w):
     before = WN.calendar_window_before(spark.createDataFrame(order[1:], "wkey timestamp_ntz, code int"), unit, w)
     # units without a gap: the window before a window is the one met before it
     assert [tuple(r) for r in before.collect()] == order[:-1]
+
+
+def test_target_windows_take_more_tasks_for_more_rows(spark, monkeypatch):
+    # 400 targets with 2 templates and 800 rows: the questions alone are over 800
+    per_sec = [(t, "hot", 3) for t in range(400)] + [(t, "an error here", 1) for t in range(400)]
+    counts = spark.createDataFrame(per_sec, "t long, template string, cnt long")
+    want = rows(WN.target_window_contents(counts, " error ", 50))
+    seen = []
+    real = WN._target_tasks
+    monkeypatch.setattr(WN, "_target_tasks", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(WN, "ROWS_PER_TASK", 20)
+    assert rows(WN.target_window_contents(counts, " error ", 50)) == want
+    assert seen[0] >= 800 / 20 and len(want) == 800
