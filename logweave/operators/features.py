@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def with_index(contents: DataFrame, dictionary: DataFrame, oov: str = "skip") -> DataFrame:
     """Attach ``idx`` from the dictionary.
@@ -48,15 +50,29 @@ def vector_dictionary(embeddings: DataFrame, key: str = "vec_id", vector: str =
 
 
 def window_mean_vector(contents: DataFrame, keys: list[str], vectors: DataFrame,
-                       digits: int | None = 6, oov: str = "skip") -> DataFrame:
+                       digits: int | None = 6, oov: str = "skip", long: bool = True) -> DataFrame:
     """Element-wise mean of template vectors, weighted by line count.
 
     ``contents``: ``(*keys, idx, cnt)``; ``vectors``: ``(idx, vec)``.  Templates
     without a vector follow ``oov``: ``skip`` leaves them out of both sides of
     the mean, ``error`` fails the query (:func:`missing_vectors` lists them).
-    One row per (window, template) is joined and one aggregate per window takes
-    the mean.  Returns ``(*keys, pos, val)``.
+    Windows are packed to their sorted entries first, and windows with equal
+    entries share one mean: vectors meet each distinct content once, not every
+    window.  Returns ``(*keys, pos, val)``, or ``(*keys, mean)`` without ``long``.
     """
+    entries = F.sort_array(F.collect_list(F.struct("idx", "cnt")))
+    windows = written(contents.groupBy(*keys).agg(entries.alias("_e")), "contents")
+    means = _content_means(windows.select("_e").distinct(), vectors, oov)
+    if digits is not None:
+        # + 0.0 turns -0.0 into 0.0
+        means = means.withColumn("mean", F.transform("mean", lambda x: F.round(x, digits) + F.lit(0.0)))
+    found = windows.join(written(means, "means"), "_e").drop("_e")
+    return found.select(*keys, F.posexplode("mean").alias("pos", "val")) if long else found
+
+
+def _content_means(distinct: DataFrame, vectors: DataFrame, oov: str) -> DataFrame:
+    """``(_e, mean array<double>)`` of every distinct content ``_e`` with a vector."""
+    contents = distinct.select("_e", F.explode("_e").alias("_x")).select("_e", "_x.idx", "_x.cnt")
     if oov == "error":
         contents = contents.join(vectors, "idx", "left")
         fail = F.raise_error(F.concat(F.lit("no vector for template "), F.col("idx").cast("string")))
@@ -66,11 +82,7 @@ def window_mean_vector(contents: DataFrame, keys: list[str], vectors: DataFrame,
     else:
         raise ValueError("oov must be 'skip' or 'error'")
     mean = Summarizer.mean(array_to_vector("vec"), F.col("cnt").cast("double"))
-    means = contents.groupBy(*keys).agg(vector_to_array(mean).alias("_mean"))
-    out = means.select(*keys, F.posexplode("_mean").alias("pos", "val"))
-    if digits is not None:
-        out = out.withColumn("val", F.round("val", digits) + F.lit(0.0))   # + 0.0 turns -0.0 into 0.0
-    return out
+    return contents.groupBy("_e").agg(vector_to_array(mean).alias("mean"))
 
 
 def missing_vectors(contents: DataFrame, vectors: DataFrame) -> DataFrame:

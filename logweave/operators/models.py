@@ -24,7 +24,13 @@ def labelled_vectors(training_long: DataFrame, size, keys=("kind", "ws", "we", "
 
 
 def mean_vectors(means: DataFrame, keys: list[str]) -> DataFrame:
-    """Long-form window means ``(*keys, pos, val)`` -> one dense vector ``features`` per window (embedding size)."""
+    """Window means -> one dense vector ``features`` per window (embedding size).
+
+    ``means``: long form ``(*keys, pos, val)``, or packed ``(*keys, mean)`` as
+    :func:`features.window_mean_vector` gives without ``long``.
+    """
+    if "mean" in means.columns:
+        return means.select(*keys, array_to_vector("mean").alias("features"))
     entries = F.sort_array(F.collect_list(F.struct("pos", "val")))
     packed = means.groupBy(*keys).agg(entries.alias("_e"))
     return packed.select(*keys, array_to_vector(F.col("_e.val")).alias("features"))

@@ -280,11 +280,12 @@ def count_window_labels(spark, sf_dir):
 
 @query
 def count_window_vectors(spark, sf_dir):
-    m = masked(spark, sf_dir)
-    d = dictionary(spark, sf_dir)
+    # lines get their dictionary number before any window is formed
+    m = written(masked(spark, sf_dir).select("line_id", "template"), "masked")
+    lines = written(FT.with_index(m, dictionary_of(WN.template_totals(m))).select("line_id", "idx"), "lines")
     vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
     return _both_kinds(lambda kind: FT.window_mean_vector(
-        FT.with_index(WN.count_window_contents(m, COUNT_W, kind), d), ["win"], vectors))
+        WN.count_window_contents(lines, COUNT_W, kind, key="idx"), ["win"], vectors))
 
 
 # ---- calendar windows: labels and mean vectors -------------------------------------------
@@ -310,12 +311,13 @@ HOST = ("host",)
 
 def numbered_by_host(spark, sf_dir) -> DataFrame:
     """Every controller's lines numbered from 1: ``(host, x, template)``."""
-    numbered = number_within(parsed(spark, sf_dir).select("host", "line_id", "line"), ["host"], ["line_id"], name="x")
-    return written(TP.mask_templates(numbered).select("host", "x", "template"), "by_host")
+    # masked and written before the numbering, which looks at its input twice
+    m = written(masked(spark, sf_dir).select("host", "line_id", "template"), "masked")
+    return written(number_within(m, ["host"], ["line_id"], name="x").select("host", "x", "template"), "by_host")
 
 
-def host_windows(by_host: DataFrame, kind: str) -> DataFrame:
-    return WN.count_window_contents(by_host, COUNT_W, kind, x="x", keys=HOST)
+def host_windows(by_host: DataFrame, kind: str, key: str = "template") -> DataFrame:
+    return WN.count_window_contents(by_host, COUNT_W, kind, x="x", keys=HOST, key=key)
 
 
 @query
@@ -329,7 +331,8 @@ def host_window_vectors(spark, sf_dir):
     by_host = numbered_by_host(spark, sf_dir)
     d = dictionary_of(WN.template_totals(by_host))
     vectors = FT.vector_dictionary(tables.table(spark, sf_dir, "embeddings"))
-    return _both_kinds(lambda kind: FT.window_mean_vector(FT.with_index(host_windows(by_host, kind), d), ["host", "win"], vectors))
+    lines = written(FT.with_index(by_host, d).select("host", "x", "idx"), "lines")
+    return _both_kinds(lambda kind: FT.window_mean_vector(host_windows(lines, kind, "idx"), ["host", "win"], vectors))
 
 
 # ---- milestone 3: metrics and models -------------------------------------------------
@@ -483,7 +486,7 @@ def embedding_window_metrics(spark, sf_dir):
                .select("idx", F.col("vector").cast("array<double>").alias("vec")))
     contents = WN.time_window_contents(si, W_SIZE, W_STEP, "idx")
     keys = ["win", "ws", "we"]
-    means = MD.mean_vectors(FT.window_mean_vector(contents, keys, vectors, digits=None), keys)
+    means = MD.mean_vectors(FT.window_mean_vector(contents, keys, vectors, digits=None, long=False), keys)
     return MD.fit_and_evaluate(MD.logistic_regression(), LB.labelled_frequencies(means, si, TARGET, W_SIZE))[1]
 
 

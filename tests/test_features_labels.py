@@ -60,3 +60,20 @@ def test_confusion_fixture(spark):
     assert (r.tp, r.tn, r.fp, r.fn, r.n) == (1, 1, 1, 2, 5)
     assert r.error == pytest.approx(0.6)
     assert r.precision == pytest.approx(0.5) and r.recall == pytest.approx(1 / 3)
+
+
+def test_equal_windows_share_one_mean(spark):
+    # 300 windows of three contents: vectors meet three rows, whatever the windows
+    contents = [(w, i, 1 + (w % 3) * i) for w in range(300) for i in (0, 1)] + [(300, 9, 1)]
+    frame = spark.createDataFrame(contents, "win long, idx int, cnt long")
+    vectors = spark.createDataFrame([(0, [1.0, -2.0]), (1, [4.0, 0.0])], "idx int, vec array<double>")
+    got = {}
+    for r in FT.window_mean_vector(frame, ["win"], vectors).collect():
+        got.setdefault(r.win, {})[r.pos] = r.val
+    assert sorted(got) == list(range(300))               # window 300 has no vector
+    for w, v in got.items():
+        c = 1 + w % 3
+        assert v == {0: round((1 + 4 * c) / (1 + c), 6), 1: round(-2 / (1 + c), 6)}
+    packed = FT.window_mean_vector(frame, ["win"], vectors, digits=None, long=False)
+    assert packed.columns == ["win", "mean"] and packed.count() == 300
+    assert packed.select("mean").distinct().count() == 3
