@@ -7,10 +7,11 @@ dictionary join and all arithmetic work on that, never on per-line lists.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import written
 
@@ -109,11 +110,17 @@ def sparse_features(freqs: DataFrame, keys: list[str], size) -> DataFrame:
     """M4 edge: long-form ``(*keys, idx, freq)`` -> one sparse vector ``features`` per window.
 
     A window holds an entry per distinct template in it, whatever the dictionary
-    has.  The vector type has no SQL constructor, so one small Python function
-    per window (not per line) wraps the sorted entries.
+    has.  The vector type has no SQL constructor, but it is stored as a struct:
+    the windows are written once in that form and read back as vectors, so no
+    row passes through Python.  Reading checks that a window's numbers rise and
+    lie below ``size``.
     """
-    make = F.udf(lambda n, idx, freq: Vectors.sparse(n, idx, freq), VectorUDT())
     entries = F.sort_array(F.collect_list(F.struct("idx", "freq")))
     n = F.lit(size) if isinstance(size, int) else size
-    packed = freqs.groupBy(*keys).agg(entries.alias("_e")).withColumn("_n", n.cast("int"))
-    return packed.select(*keys, make("_n", F.col("_e.idx"), F.col("_e.freq")).alias("features"))
+    # numbers first: the aggregate sorts by its keys in turn, and texts often tie
+    texts = {k for k, kind in freqs.dtypes if kind == "string"}
+    packed = freqs.groupBy(*sorted(keys, key=lambda k: k in texts)).agg(entries.alias("_e"))
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), n.cast("int").alias("size"),      # 0: sparse
+                     F.col("_e.idx").alias("indices"), F.col("_e.freq").alias("values"))
+    stored = packed.select(*keys, parts.alias("features"))
+    return written(stored, "vectors", StructType([*stored.schema.fields[:-1], StructField("features", VectorUDT())]))

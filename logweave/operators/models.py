@@ -19,7 +19,7 @@ from .numbering import number_rows
 
 
 def labelled_vectors(training_long: DataFrame, size, keys=("kind", "ws", "we", "label")) -> DataFrame:
-    """M4: ``(kind, ws, we, label, idx, freq)`` -> ``(kind, ws, we, label, features)``."""
+    """M4: ``(kind, ws, we, label, idx, freq)`` -> ``(kind, ws, we, label, features)``, written once."""
     return sparse_features(training_long, list(keys), size)
 
 
@@ -55,14 +55,12 @@ def decision_tree(max_depth: int = 5, max_bins: int = 32) -> DecisionTreeClassif
 def fit_and_evaluate(estimator, train: DataFrame, test: DataFrame | None = None):
     """Fit on ``train``, predict ``test`` (default: ``train``), return (model, metrics row).
 
-    The solvers pass over their input many times; the vectors are written
-    once to the shared checkpoint folder, so no pass recomputes the window
-    pipeline and a lost executor does not either.
+    The solvers pass over their input many times: it should be read from a
+    table, as :func:`labelled_vectors` gives it, so that no pass recomputes the
+    window pipeline and a lost executor does not either.
     """
-    train = written(train, "train")
-    test = train if test is None else written(test, "test")
     model = estimator.fit(train)
-    return model, with_rates(confusion_matrix(model.transform(test)))
+    return model, with_rates(confusion_matrix(model.transform(train if test is None else test)))
 
 
 def tree_description(model) -> str:

@@ -9,17 +9,23 @@ from ..functions import logline as L
 from .numbering import number_rows
 
 
+WORDS = 5      # leading tokens of a line that hold fields
+
+
 def _field(k: int) -> Column:
-    """Token ``k`` (from 0) of the line, null when the line is shorter."""
-    return F.nullif(F.regexp_extract("line", r"^\s*(?:\S+\s+){%d}(\S+)" % k, 1), F.lit(""))
+    """Token ``k`` (from 0) of the cut line ``_w``, null when the line is shorter."""
+    blank = (F.get("_w", F.lit(0)) == "").cast("int")      # a line that begins with blanks
+    return F.nullif(F.get("_w", k + blank), F.lit(""))
 
 
 def _parsed_columns(lines: DataFrame) -> DataFrame:
-    # one regular expression per field: filters pushed below this projection
-    # repeat only the fields they use.  ``t`` reads the projected ``ts`` in a
-    # second projection, so the timestamp expression is not copied into it
-    # four times (that made plans large and slow to optimize)
-    fields = lines.select(
+    # a generator cuts the line into tokens: filters on the fields stay above it.
+    # Through a mere projection they are pushed down, and for every field they
+    # use cut the line anew and build it anew, if it is built by an expression.
+    # ``t`` reads the projected ``ts`` in a second projection, so the timestamp
+    # expression is not copied into it four times
+    cut = lines.select("line_id", "line", F.explode_outer(F.array(F.split("line", r"\s+", WORDS + 2))).alias("_w"))
+    fields = cut.select(
         "line_id",
         L.priority(_field(0)).alias("pri"),
         L.timestamp_of(_field(1)).alias("ts"),

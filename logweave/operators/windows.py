@@ -208,7 +208,7 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
     2. Targets meet the *distinct* templates of their two buckets; each such question is sorted
        among the running count's rows (3 w of them at most) and reads it off.
 
-    One shuffle, by (template number, bucket), over tasks that follow from the number of rows, so a
+    One shuffle, by (bucket, template number), over tasks that follow from the number of rows, so a
     task's memory does not grow with the log.
     """
     b = max(1, w)
@@ -231,10 +231,11 @@ def target_window_contents(counts: DataFrame, target: str, w: int,
         after = (F.col("bucket") + 1).alias("bucket")
         stream = (stream.unionByName(totals.select("_k", after, F.lit(-1).cast("long").alias("at"), "cnt", none.alias("t0")))
                   .unionByName(rows.select("_k", after, (seconds + 1).alias("at"), (-F.col("cnt")).alias("cnt"), none.alias("t0"))))
-    # changes come before the questions of the same second
-    until = (Window.partitionBy("_k", "bucket").orderBy("at", F.col("t0").asc_nulls_first())
+    # changes come before the questions of the same second; buckets are many and templates may be few,
+    # so sorting by the bucket first tells most rows apart
+    until = (Window.partitionBy("bucket", "_k").orderBy("at", F.col("t0").asc_nulls_first())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    answers = (stream.repartition(n, "_k", "bucket").withColumn("_in", F.sum("cnt").over(until))
+    answers = (stream.repartition(n, "bucket", "_k").withColumn("_in", F.sum("cnt").over(until))
                .where(F.col("t0").isNotNull() & (F.col("_in") > 0)))
     return answers.join(names, "_k").select((F.col("t0") - w).alias("ws"), F.col("t0").alias("we"), key, F.col("_in").alias("cnt"))
 

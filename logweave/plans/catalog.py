@@ -445,7 +445,7 @@ def host_window_metrics(spark, sf_dir):
         contents = host_windows(by_host, kind)
         freqs = FT.window_frequencies(contents, ["host", "win"], d)
         lab = LB.labeled_count_windows(contents, by_host, TARGET, COUNT_W, kind, "x", HOST)
-        vectors = written(MD.labelled_vectors(freqs.join(lab, ["host", "win"]), size, ("host", "win", "label")), "vectors").withColumn("side", side_of())
+        vectors = MD.labelled_vectors(freqs.join(lab, ["host", "win"]), size, ("host", "win", "label")).withColumn("side", side_of())
         train, test = (vectors.where(F.col("side") == side) for side in ("train", "test"))
         for name, model in (("svm", MD.linear_svm(100)), ("logreg", MD.logistic_regression())):
             row = MD.fit_and_evaluate(model, train, test)[1].select(F.lit(kind).alias("kind"), F.lit(name).alias("model"), "*")
@@ -487,7 +487,8 @@ def embedding_window_metrics(spark, sf_dir):
     contents = WN.time_window_contents(si, W_SIZE, W_STEP, "idx")
     keys = ["win", "ws", "we"]
     means = MD.mean_vectors(FT.window_mean_vector(contents, keys, vectors, digits=None, long=False), keys)
-    return MD.fit_and_evaluate(MD.logistic_regression(), LB.labelled_frequencies(means, si, TARGET, W_SIZE))[1]
+    train = written(LB.labelled_frequencies(means, si, TARGET, W_SIZE), "train")
+    return MD.fit_and_evaluate(MD.logistic_regression(), train)[1]
 
 
 @query

@@ -63,7 +63,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df, name: str = "table"):
+def written(df, name: str = "table", schema=None):
     """``df`` written once as Parquet below the shared folder and read back.
 
     For a derived table that feeds several branches of one plan (pushed-down
@@ -71,10 +71,11 @@ def written(df, name: str = "table"):
     them): the input is scanned and parsed once, later plans stay small, and a
     lost executor re-reads the table instead of recomputing the lineage.  The
     folder is deleted by :func:`drop_written` or when the driver process ends.
+    ``schema`` reads it back as other types that are stored alike.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def drop_written() -> None:

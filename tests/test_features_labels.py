@@ -34,6 +34,18 @@ def test_sparse_features(spark):
     assert got.size == 4 and got.indices.tolist() == [0, 2] and got.values.tolist() == [0.5, 0.5]
 
 
+def test_sparse_features_without_python(spark, capsys):
+    freqs = spark.createDataFrame([("b", 1, 3, 0.25), ("b", 1, 1, 0.75), ("a", 1, 0, 1.0), ("a", None, 2, 1.0)], "kind string, win long, idx int, freq double")
+    found = FT.sparse_features(freqs, ["kind", "win"], F.lit(4))
+    found.explain()
+    assert "Python" not in capsys.readouterr().out
+    assert found.columns == ["kind", "win", "features"]
+    got = {(r.kind, r.win): (r.features.size, r.features.indices.tolist(), r.features.values.tolist()) for r in found.collect()}
+    assert got == {("b", 1): (4, [1, 3], [0.75, 0.25]), ("a", 1): (4, [0], [1.0]), ("a", None): (4, [2], [1.0])}
+    with pytest.raises(Exception):                          # a number past the size
+        FT.sparse_features(freqs, ["kind", "win"], 3).collect()
+
+
 def test_count_window_labels(spark):
     lines = spark.createDataFrame([(i, "x error y" if i in (1, 7, 15) else "a") for i in range(1, 16)], "line_id long, template string")
     from logweave.operators import windows as WN

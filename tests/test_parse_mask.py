@@ -37,6 +37,24 @@ def test_parse_cases(spark):
                    (6, "bad timestamp"), (7, "bad timestamp"), (8, "bad timestamp"), (9, "too few tokens")]
 
 
+def test_filters_on_fields_do_not_build_the_line_again(spark, capsys):
+    lines = spark.range(3).select(F.col("id").alias("line_id"), F.concat(F.lit("<1>1 2031-08-19T04:55:36 r p 1 - -  0x"), F.hex("id")).alias("line"))
+    counts = TP.mask_templates(TP.parse_log(lines)).groupBy("t", "template").count()
+    counts.explain()
+    assert capsys.readouterr().out.count("hex(") == 1
+    assert [r["count"] for r in counts.collect()] == [3]
+
+
+def test_fields_between_any_blanks(spark):
+    words = GOOD.split()
+    lines = spark.createDataFrame([(1, " \t" + "\t ".join(words)), (2, "\n".join(words)), (3, " " + " ".join(words[:3]) + "  "),
+                                   (4, " ".join(words[:4]) + " ")], "line_id long, line string")
+    assert rows(TP.parse_log(lines), "line_id", "pri", "host", "program", "pid", "t") == [
+        (1, 86, "rack7s2", "pumpd", "415", 1944881736), (2, 86, "rack7s2", "pumpd", "415", 1944881736),
+        (4, 86, "rack7s2", "pumpd", None, 1944881736)]
+    assert rows(TP.quarantined_lines(lines), "line_id", "reason") == [(3, "too few tokens")]
+
+
 def test_parse_independent_of_session_zone(spark):
     winter = GOOD.replace("2031-08-19", "2031-01-19")
     lines = spark.createDataFrame([(1, GOOD), (2, winter)], "line_id long, line string")
