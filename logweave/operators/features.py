@@ -9,12 +9,41 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
 from ..session import written
 
+SENT_BYTES = 1 << 24      # of a table in memory that a join sends to every task
+
+
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About the bytes of a value in a row in memory."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16).cast("long"))
+    if isinstance(kind, ArrayType):
+        if not isinstance(kind.elementType, StringType | BinaryType | StructType | ArrayType):
+            return F.coalesce(F.size(value), F.lit(0)).cast("long") * 8 + 24
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda acc, x: acc + _bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(0).cast("long")) + 24
+    return F.lit(8).cast("long")
+
+
+def join_smaller(large: DataFrame, small: DataFrame, on: str, how: str = "inner", most: int = SENT_BYTES) -> DataFrame:
+    """Join with a table that has a row per key, at most as many as ``large``.
+
+    Spark goes by the size of a table's files, where texts and contents that repeat are kept once:
+    a log of millions of lines can seem smaller there than its dictionary, and then all of it goes through
+    the driver to every task.  Here the bytes of ``small`` in memory are summed up (one row reaches the
+    driver): ``most`` of them at most are sent, else both sides are shuffled.  ``large`` is never sent.
+    """
+    held = sum((_bytes(F.col(f.name), f.dataType) for f in small.schema), F.lit(16).cast("long"))
+    sent = (small.agg(F.sum(held)).first()[0] or 0) <= most
+    return large.join(F.broadcast(small) if sent else small.hint("merge"), on, how)
+
 
 def with_index(contents: DataFrame, dictionary: DataFrame, oov: str = "skip") -> DataFrame:
     """Attach ``idx`` from the dictionary.
@@ -23,9 +52,9 @@ def with_index(contents: DataFrame, dictionary: DataFrame, oov: str = "skip") ->
     denominators alike).  ``error``: the query fails when one is met.
     """
     if oov == "skip":
-        return contents.join(dictionary, "template")
+        return join_smaller(contents, dictionary, "template")
     if oov == "error":
-        joined = contents.join(dictionary, "template", "left")
+        joined = join_smaller(contents, dictionary, "template", "left")
         check = F.when(F.col("idx").isNull(),
                        F.raise_error(F.concat(F.lit("template not in dictionary: "), F.col("template"))))
         return joined.withColumn("idx", F.coalesce(F.col("idx"), check.cast("int")))
@@ -67,7 +96,7 @@ def window_mean_vector(contents: DataFrame, keys: list[str], vectors: DataFrame,
     if digits is not None:
         # + 0.0 turns -0.0 into 0.0
         means = means.withColumn("mean", F.transform("mean", lambda x: F.round(x, digits) + F.lit(0.0)))
-    found = windows.join(written(means, "means"), "_e").drop("_e")
+    found = join_smaller(windows, written(means, "means"), "_e").drop("_e")
     return found.select(*keys, F.posexplode("mean").alias("pos", "val")) if long else found
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from logweave.operators import evaluation as EV
 from logweave.operators import features as FT
 from logweave.operators import labels as LB
+from logweave.operators import templates as TP
+from logweave.session import written
 from tests.conftest import rows
 
 
@@ -89,3 +91,34 @@ def test_equal_windows_share_one_mean(spark):
     packed = FT.window_mean_vector(frame, ["win"], vectors, digits=None, long=False)
     assert packed.columns == ["win", "mean"] and packed.count() == 300
     assert packed.select("mean").distinct().count() == 3
+
+
+def plan_of(df, capsys):
+    got = rows(df)
+    df.explain()
+    return got, capsys.readouterr().out.split("Initial Plan")[0]
+
+
+def test_joins_never_send_the_larger_table(spark, capsys):
+    # 20000 lines of three templates: fewer bytes on disk than the plan expects of their dictionary
+    log = written(spark.range(20000).select(F.lit("h").alias("host"), F.concat(F.lit("t"), F.col("id") % 3).alias("template")), "log")
+    got, plan = plan_of(FT.with_index(log, TP.template_dictionary(TP.template_counts(log))).groupBy("idx").count(), capsys)
+    assert got == [(0, 6666), (1, 6667), (2, 6667)]
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    # windows of three contents, whose means take more bytes than all windows
+    contents = spark.range(3000).select("id", (F.col("id") % 3).cast("int").alias("idx"), F.lit(1).alias("cnt"))
+    vectors = spark.createDataFrame([(i, [i + p / 7 for p in range(2000)]) for i in range(3)], "idx int, vec array<double>")
+    got, plan = plan_of(FT.window_mean_vector(contents, ["id"], vectors, long=False).select("id", F.get("mean", F.lit(0)).alias("first")), capsys)
+    assert got == [(i, float(i % 3)) for i in range(3000)]
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_tables_past_the_limit_are_not_sent(spark, capsys):
+    large = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "zz")], "id int, name string")
+    small = spark.createDataFrame([("a", [1, 2], [("x", 1)]), ("b", None, []), (None, [], None)],
+                                  "name string, numbers array<int>, pairs array<struct<s:string,n:int>>")
+    for most in (0, 1 << 20):
+        got, plan = plan_of(FT.join_smaller(large, small, "name", "left", most).select("id", "numbers"), capsys)
+        assert got == [(1, [1, 2]), (2, None), (3, None), (4, None)]
+        assert ("Broadcast" in plan) == bool(most) and ("SortMergeJoin" in plan) != bool(most)
+    assert rows(FT.join_smaller(large, small, "name", most=0), "id") == [(1,), (2,)]
