@@ -1,11 +1,14 @@
 """Windows within controllers, calendar labels, coverage, file sentences and all nearest vectors against plain loops."""
 
+import contextlib
 import math
 import os
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +153,60 @@ def test_nearest_vectors_small_tables_and_words(spark):
     got = rows(SM.nearest_vectors(words, 1, key="word", vector="vector").select("word", "neighbour"))
     assert got == [("a", "b"), ("b", "a"), ("c", "b")]
     assert SM.nearest_vectors(words.where(F.col("word") == "a"), 5, key="word", vector="vector").count() == 0
+
+
+@contextlib.contextmanager
+def dealt_over(spark, n):
+    """Exchanges of ``n`` partitions that stay apart."""
+    conf = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_nearest_vectors_over_many_tasks(spark, ties):
+    rng = random.Random(5)
+    vecs = {i: [rng.choice([1.0, 2.0]) if ties else rng.gauss(0, 1) for _ in range(3)] for i in range(60)}
+    frame = spark.createDataFrame([*vecs.items()], "vec_id long, embedding array<float>")
+    with dealt_over(spark, 7):
+        got = {(r.vec_id, r["rank"]): (r.neighbour, r.similarity) for r in SM.nearest_vectors(frame, 4, block=5).collect()}
+
+    def cos(a, b):
+        a, b = (np.array(v, dtype=np.float32).astype(float) for v in (a, b))
+        return round(float(a @ b / math.sqrt((a @ a) * (b @ b))), 6) + 0.0
+
+    for i in vecs:
+        want = sorted((-cos(vecs[i], vecs[j]), j) for j in vecs if j != i)[:4]
+        assert [got[i, r] for r in (1, 2, 3, 4)] == [(j, -s + 0.0) for s, j in want]
+    assert len(got) == 240
+
+
+def test_nearest_vectors_shuffle_follows_the_vectors(spark, capsys):
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)], "vec_id long, embedding array<float>")
+
+    def moved(block):
+        found = SM.nearest_vectors(frame, 1, block=block)
+        assert len(found.collect()) == 400
+        found.explain("formatted")
+        units = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}
+        plan = capsys.readouterr().out.split("Initial Plan")[0]
+        return sum(float(x) * units[u] for x, u in re.findall(r"ShuffleQueryStage.*?sizeInBytes=([\d.]+) (\w+)", plan))
+
+    assert moved(10) < 1.5 * moved(100)                      # 40 blocks and 4
+
+
+def test_nearest_vectors_odd_rows(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [0.0, 1.0]), (4, None), (5, [math.nan, 1.0]), (6, [math.inf, 1.0])],
+                                  "vec_id long, embedding array<double>")
+    for block in (1, 2, 100):
+        got = rows(SM.nearest_vectors(frame, 2, block=block).select("vec_id", "rank", "neighbour"))
+        assert got == [(1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 2, 1), (3, 1, 2), (3, 2, 1)]
+    with pytest.raises(Exception, match="differ in length"):
+        SM.nearest_vectors(spark.createDataFrame([(1, [1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")).collect()
